@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 from spindrift.llm.op3_simhash import op3_simhash_near_dedup
+from spindrift.llm.op5_quality import ORACLE_SQL as OP5_SQL
+from spindrift.llm.op5_quality import op5_quality_rules
 
 QUERIES = {
+    "op5_quality_rules": op5_quality_rules,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op5_quality_rules": OP5_SQL,
+}
