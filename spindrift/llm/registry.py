@@ -5,8 +5,10 @@ from __future__ import annotations
 from spindrift.llm.op3_simhash import op3_simhash_near_dedup
 from spindrift.llm.op5_quality import ORACLE_SQL as OP5_SQL
 from spindrift.llm.op5_quality import op5_quality_rules
+from spindrift.llm.op8_bpe import op8_byte_bpe
 
 QUERIES = {
+    "op8_byte_bpe": op8_byte_bpe,
     "op5_quality_rules": op5_quality_rules,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
 }
