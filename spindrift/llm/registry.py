@@ -7,8 +7,10 @@ from spindrift.llm.op5_quality import ORACLE_SQL as OP5_SQL
 from spindrift.llm.op5_quality import op5_quality_rules
 from spindrift.llm.op8_bpe import op8_byte_bpe
 from spindrift.llm.op10_pii import op10_pii
+from spindrift.llm.op2_mixing import op2_mixing
 
 QUERIES = {
+    "op2_mixing": op2_mixing,
     "op10_pii": op10_pii,
     "op8_byte_bpe": op8_byte_bpe,
     "op5_quality_rules": op5_quality_rules,
