@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
 from spindrift.llm.common import table, text_or_empty
 
@@ -86,20 +87,22 @@ def _edges(pattern: str, chunk: int, overlap: int):
     return run
 
 
-def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, chunk: int = 65536, overlap: int = 1024) -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, chunk: int = 65536, overlap: int = 1024, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, ids array<int>) of every row of ``docs`` (doc_id, text), as the tiktoken library encodes the whole text.
 
     A null text counts as empty and has no ids.  Rows equal in doc_id and text get
-    equal ids, each row its own; a null doc_id is kept.  Other columns are ignored.
+    equal ids, each row its own; a null doc_id is kept.  Of other columns those in
+    ``keep`` follow doc_id.
     """
     if path is None or pattern is None:
         path, pattern = path or _public_tokenizer()[0], pattern or _public_tokenizer()[1]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, text_or_empty().alias("text"))
     size = F.length("text")
-    whole = rows.where(size <= chunk + overlap).mapInArrow(_encoder(path, pattern), "doc_id long, ids array<int>")
+    kept = StructType([*rows.drop("text").schema.fields, StructField("ids", ArrayType(IntegerType()))])
+    whole = rows.where(size <= chunk + overlap).mapInArrow(_encoder(path, pattern), kept)
 
     keyed = rows.where(size > chunk + overlap).withColumn("digest", F.sha2("text", 256))
-    once = keyed.dropDuplicates(["doc_id", "digest"])
+    once = keyed.select("doc_id", "digest", "text").dropDuplicates(["doc_id", "digest"])
     k = F.explode(F.sequence(F.lit(0), F.floor((size - overlap - 1) / chunk).cast("int"))).alias("k")
     cut = once.select("doc_id", "digest", "text", k).select("doc_id", "digest", "k", F.expr(f"substring(text, k * {chunk} + 1, {chunk + overlap})").alias("part"))
     edges = cut.repartition("doc_id", "digest", "k").mapInArrow(_edges(pattern, chunk, overlap), "doc_id long, digest string, k int, head array<long>, tail array<long>")
@@ -115,12 +118,12 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
     )
     coded = pieces.repartition("doc_id", "digest", "n").mapInArrow(_encoder(path, pattern), "doc_id long, digest string, n int, ids array<int>")
     joined = coded.groupBy("doc_id", "digest").agg(F.expr("flatten(transform(array_sort(collect_list(struct(n, ids))), x -> x.ids))").alias("ids"))
-    ids = keyed.select("doc_id", "digest")
-    return whole.unionByName(ids.join(joined, same(ids, joined)).select(ids["doc_id"], "ids"))
+    ids = keyed.drop("text")
+    return whole.unionByName(ids.join(joined, same(ids, joined)).select(ids["doc_id"], *keep, "ids"))
 
 
 def decode(coded: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """``coded`` (doc_id, ids) with ``decoded`` binary, the tokens' raw bytes in sequence; no ids give no bytes."""
+    """``coded`` (its last column ids) with ``decoded`` binary, the tokens' raw bytes in sequence; no ids give no bytes."""
     if path is None or pattern is None:
         path, pattern = path or _public_tokenizer()[0], pattern or _public_tokenizer()[1]
 
@@ -130,15 +133,15 @@ def decode(coded: DataFrame, path: str | None = None, pattern: str | None = None
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 raw = [b"" if x is None else enc.decode_bytes(x) for x in part.column("ids").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), pa.array(raw, pa.binary())], names=["doc_id", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(raw, pa.binary())], names=[*part.schema.names, "decoded"])
 
-    return coded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+    return coded.mapInArrow(run, StructType([*coded.schema.fields, StructField("decoded", BinaryType())]))
 
 
 def digests(coded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens and SHA-256 digests of the ids and of the decoded bytes."""
+    """``coded`` with n_tokens and SHA-256 digests in place of the ids and of the decoded bytes."""
     return coded.select(
-        "doc_id",
+        *(c for c in coded.columns if c not in ("ids", "decoded")),
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
