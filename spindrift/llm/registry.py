@@ -8,8 +8,10 @@ from spindrift.llm.op5_quality import op5_quality_rules
 from spindrift.llm.op8_bpe import op8_byte_bpe
 from spindrift.llm.op10_pii import op10_pii
 from spindrift.llm.op2_mixing import op2_mixing
+from spindrift.llm.op1_html import op1_html_extraction
 
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_mixing": op2_mixing,
     "op10_pii": op10_pii,
     "op8_byte_bpe": op8_byte_bpe,
