@@ -9,8 +9,10 @@ from spindrift.llm.op8_bpe import op8_byte_bpe
 from spindrift.llm.op10_pii import op10_pii
 from spindrift.llm.op2_mixing import op2_mixing
 from spindrift.llm.op1_html import op1_html_extraction
+from spindrift.llm.op4_substring import op4_substring_dedup
 
 QUERIES = {
+    "op4_substring_dedup": op4_substring_dedup,
     "op1_html_extraction": op1_html_extraction,
     "op2_mixing": op2_mixing,
     "op10_pii": op10_pii,
