@@ -10,8 +10,11 @@ from spindrift.llm.op10_pii import op10_pii
 from spindrift.llm.op2_mixing import op2_mixing
 from spindrift.llm.op1_html import op1_html_extraction
 from spindrift.llm.op4_substring import op4_substring_dedup
+from spindrift.llm.op7_sharding import op7_sharding
+from spindrift.llm.op7_sharding import oracle_sql as op7_sql
 
 QUERIES = {
+    "op7_sharding": op7_sharding,
     "op4_substring_dedup": op4_substring_dedup,
     "op1_html_extraction": op1_html_extraction,
     "op2_mixing": op2_mixing,
@@ -23,5 +26,6 @@ QUERIES = {
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE: dict[str, str] = {
+    "op7_sharding": op7_sql(),
     "op5_quality_rules": OP5_SQL,
 }
