@@ -12,8 +12,10 @@ from spindrift.llm.op1_html import op1_html_extraction
 from spindrift.llm.op4_substring import op4_substring_dedup
 from spindrift.llm.op7_sharding import op7_sharding
 from spindrift.llm.op7_sharding import oracle_sql as op7_sql
+from spindrift.llm.op9_chat import op9_chat_format
 
 QUERIES = {
+    "op9_chat_format": op9_chat_format,
     "op7_sharding": op7_sharding,
     "op4_substring_dedup": op4_substring_dedup,
     "op1_html_extraction": op1_html_extraction,
