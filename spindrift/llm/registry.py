@@ -13,8 +13,10 @@ from spindrift.llm.op4_substring import op4_substring_dedup
 from spindrift.llm.op7_sharding import op7_sharding
 from spindrift.llm.op7_sharding import oracle_sql as op7_sql
 from spindrift.llm.op9_chat import op9_chat_format
+from spindrift.llm.op6_ann import op6_nearest_neighbours
 
 QUERIES = {
+    "op6_nearest_neighbours": op6_nearest_neighbours,
     "op9_chat_format": op9_chat_format,
     "op7_sharding": op7_sharding,
     "op4_substring_dedup": op4_substring_dedup,
