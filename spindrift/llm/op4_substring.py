@@ -2,11 +2,11 @@
 
 Units are the sentences of each line (a line without inner sentence ends is one
 unit), normalised to lower-case words; a long sentence is cut further at words
-that their own hash chooses, so that the cuts of equal passages agree.  Digests are grouped globally; the earliest
-occurrence by (doc_id, text digest, position) is kept.  Runs of later occurrences
-are removed where they have at least ``min_words`` words, so that a short phrase
-which happens to recur is left alone; removed spans keep their offsets in the
-original text.
+that their own hash chooses, so that the cuts of equal passages agree.  Digests
+are grouped globally; the earliest occurrence by doc_id and position is kept.
+Runs of later occurrences are removed where they have at least ``min_words``
+words, so that a short phrase which happens to recur is left alone; removed spans
+keep their offsets in the original text.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from spindrift.llm.common import materialize, table, text_or_empty
 _UNIT = re.compile(r"[^\n]*?[.!?…][\"')\]]*[\x20\t]+|[^\n]+")
 _WORD = re.compile(r"\S+")
 #: A sentence of more words is cut after words whose own hash is a multiple of _CUT.
-_LONG, _CUT = 16, 6
+_LONG, _CUT = 24, 8
 
 
 def _digest(text: str) -> int:
@@ -57,62 +57,48 @@ def units(text: str) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.int32()
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            found = [units(t.as_py()) for t in part.column(2)]
-            take = pa.array(np.repeat(np.arange(part.num_rows), [len(u) for u in found]))
-            flat = [x for u in found for x in u]
-            order = [k for u in found for k in range(len(u))]
-            columns = [pa.array([x[i] for x in flat], t) for i, t in enumerate((kind, kind, kind, pa.int64()))]
-            yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(order, kind), *columns], names=["doc_id", "doc_digest", "n", "start", "end", "words", "digest"])
+def _looked_up(min_unit: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                count, order, again, digests = [], [], [], []
+                for t in part.column(2):
+                    seen: set[int] = set()
+                    rows = [(k, d) for k, (_, _, words, d) in enumerate(units(t.as_py())) if words >= min_unit]
+                    for k, d in rows:
+                        order.append(k)
+                        again.append(d in seen)
+                        seen.add(d)
+                        digests.append(d)
+                    count.append(len(rows))
+                take = pa.array(np.repeat(np.arange(part.num_rows), count))
+                columns = [pa.array(digests, pa.int64()), part.column(0).take(take), part.column(1).take(take), pa.array(order, pa.int32()), pa.array(again, pa.bool_())]
+                yield pa.RecordBatch.from_arrays(columns, names=["digest", "doc_id", "doc_digest", "n", "again"])
 
+    return run
 
-def removed_spans(docs: DataFrame, min_words: int = 30, unit_words: int = 3) -> DataFrame:
-    """(doc_id, doc_digest, spans, words): what is removed of each document that loses anything.
 
-    ``spans`` is an array of (start, end) in code points of the original text, in
-    order.  Units of fewer than ``unit_words`` words are not looked up; between
-    removed ones they go too.  Rows equal in doc_id and text are one document.
-    """
-    once = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).select("doc_id", F.xxhash64("text").alias("doc_digest"), "text")
-    found, _ = materialize(once.mapInArrow(_split, "doc_id long, doc_digest long, n int, start int, end int, words int, digest long"), "substring-units")
-    asked = found.where(F.col("words") >= unit_words)
-    # combined before the shuffle: a line that a third of all documents hold is one row for each task
-    first = asked.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "doc_digest", "n")).alias("first")).where("copies > 1")
-    later = asked.join(first, "digest").where(~F.struct("doc_id", "doc_digest", "n").eqNullSafe(F.col("first"))).select("doc_id", "doc_digest", "n", "start", "end", "words")
-    short = found.where(F.col("words") < unit_words).select("doc_id", "doc_digest", "n", "start", "end", F.lit(0).alias("words"))
-    held = later.select("doc_id", "doc_digest").distinct()
-    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["doc_digest"] == b["doc_digest"])
-    near = short.join(held, same(short, held), "left_semi")
-    listed = later.unionByName(near).distinct().groupBy("doc_id", "doc_digest").agg(F.sort_array(F.collect_list(F.struct("n", "start", "end", "words"))).alias("u"))
-    return listed.mapInArrow(_runs(min_words), "doc_id long, doc_digest long, spans array<struct<start:int,end:int>>, words int").where("size(spans) > 0")
-
-
-def _runs(min_words: int):
-    def spans(found: list[dict]) -> tuple[list[dict], int]:
+def _cut(min_words: int, min_unit: int):
+    def spans(text: str, gone: set[int]) -> tuple[list[dict], int]:
         out, total, run = [], 0, []
 
         def close() -> None:
             nonlocal total
-            while run and not run[0]["words"]:
-                run.pop(0)
-            while run and not run[-1]["words"]:
+            while run and run[-1][2] < min_unit:
                 run.pop()
-            size = sum(x["words"] for x in run)
-            if run and size >= min_words:
-                out.append({"start": run[0]["start"], "end": run[-1]["end"]})
+            size = sum(u[2] for u in run)
+            # short units between removed ones do not count towards the least size
+            if run and sum(u[2] for u in run if u[2] >= min_unit) >= min_words:
+                out.append({"start": run[0][0], "end": run[-1][1]})
                 total += size
             run.clear()
 
-        last = None
-        for x in found:
-            if last is not None and x["n"] != last + 1:
+        for n, unit in enumerate(units(text)):
+            if n in gone or run and unit[2] < min_unit:
+                run.append(unit)
+            else:
                 close()
-            run.append(x)
-            last = x["n"]
         close()
         return out, total
 
@@ -121,35 +107,50 @@ def _runs(min_words: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                found = [spans(u) for u in part.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x[0] for x in found], kind), pa.array([x[1] for x in found], pa.int32())], names=["doc_id", "doc_digest", "spans", "words"])
+                texts, removed, words = [], [], []
+                for text, gone in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                    found, n = spans(text, set(gone)) if gone else ([], 0)
+                    ends = [0, *(x["end"] for x in found)]
+                    starts = [*(x["start"] for x in found), len(text)]
+                    texts.append("".join(text[a:b] for a, b in zip(ends, starts, strict=True)) if found else text)
+                    removed.append(found)
+                    words.append(n)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), pa.array(removed, kind), pa.array(words, pa.int64())], names=["doc_id", "text", "removed", "n_removed_words"])
 
     return run
 
 
-def _without(text: str, spans: str) -> str:
-    """SQL: ``text`` without ``spans``; what stood between two spans keeps its own white space."""
-    step = f"(a, s) -> struct(s.`end` AS at, array_append(a.o, substring({text}, a.at + 1, s.start - a.at)) AS o)"
-    return f"aggregate({spans}, struct(0 AS at, cast(array() AS array<string>) AS o), {step}, a -> concat(array_join(a.o, ''), substring({text}, a.at + 1)))"
+def later_units(docs: DataFrame, min_unit: int = 4) -> DataFrame:
+    """(doc_id, doc_digest, gone): numbers of a document's units that an earlier document, or the document before, has.
+
+    Only digests with ranks travel, no texts; a digest is combined with its smallest
+    doc_id before the shuffle, so a line of a third of all documents is one row a task.
+    """
+    once = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).select("doc_id", F.xxhash64("text").alias("doc_digest"), "text")
+    found, _ = materialize(once.mapInArrow(_looked_up(min_unit), "digest long, doc_id long, doc_digest long, n int, again boolean"), "substring-units")
+    fresh = found.where("NOT again").select("digest", "doc_id", "doc_digest", "n")
+    one = fresh.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n_rows"), F.count("doc_id").alias("n_ids"))
+    first = one.where("first <> last OR (n_ids > 0 AND n_ids < n_rows)").select("digest", "first")
+    later = fresh.join(first, "digest").where(~F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "doc_digest", "n")
+    both = later.unionByName(found.where("again").select("doc_id", "doc_digest", "n"))
+    return both.groupBy("doc_id", "doc_digest").agg(F.collect_set("n").alias("gone"))
 
 
-def dedup_substrings(docs: DataFrame, **options) -> DataFrame:
+def dedup_substrings(docs: DataFrame, min_words: int = 30, min_unit: int = 4) -> DataFrame:
     """(doc_id, text, removed, n_removed_words) of every row of ``docs`` (doc_id, text).
 
-    ``removed`` holds the spans' offsets in the original text (empty: none) and
-    ``text`` what is left.  A null text counts as empty; rows that repeat doc_id and
-    text are one document for ranking, so each of them gets the same text and none
-    is lost; an empty table gives no rows.  Other columns are ignored.
+    ``removed`` holds the spans' offsets in the original text, in code points
+    (empty: none), and ``text`` what is left.  Units of fewer than ``min_unit``
+    words are not looked up; inside a removed run they go too.  A null text counts
+    as empty.  Rows of one doc_id rank alike: what only they share stays in each,
+    and each row is returned; null ids rank last.  An empty table gives no rows;
+    other columns are ignored.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("doc_digest", F.xxhash64("text"))
-    gone = removed_spans(docs, **options).select(F.col("doc_id").alias("__id"), F.col("doc_digest").alias("__digest"), "spans", "words")
-    joined = rows.join(gone, rows["doc_id"].eqNullSafe(gone["__id"]) & (rows["doc_digest"] == gone["__digest"]), "left")
-    return joined.select(
-        "doc_id",
-        F.expr(f"CASE WHEN spans IS NULL THEN text ELSE {_without('text', 'spans')} END").alias("text"),
-        F.expr("coalesce(spans, cast(array() AS array<struct<start:int,`end`:int>>))").alias("removed"),
-        F.coalesce("words", F.lit(0)).cast("long").alias("n_removed_words"),
-    )
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    gone = later_units(docs, min_unit).select(F.col("doc_id").alias("__id"), F.col("doc_digest").alias("__digest"), "gone")
+    joined = rows.join(gone, rows["doc_id"].eqNullSafe(gone["__id"]) & (F.xxhash64(rows["text"]) == gone["__digest"]), "left")
+    schema = "doc_id long, text string, removed array<struct<start:int,end:int>>, n_removed_words long"
+    return joined.select("doc_id", "text", "gone").mapInArrow(_cut(min_words, min_unit), schema)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
