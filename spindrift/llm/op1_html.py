@@ -13,9 +13,11 @@ paired by many tasks.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -23,29 +25,35 @@ from pyspark.sql import Window
 from spindrift.llm.common import materialize, table
 from spindrift.llm.html_kernels import article, blocks
 
-_LINES = "page_id long, url string, row long, texts array<string>, digests array<long>, skipped array<boolean>, roots array<int>"
+_PAGE = "page_id long, url string, row long"
 
 
-def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [[x.digest for x in blocks(h.as_py())] for h in batch.column(2)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.list_(pa.int64()))], names=["url", "row", "digests"])
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of each page, compressed: the pages' texts are shuffled once, to meet their partners' digests."""
+    press = zstandard.ZstdCompressor(level=3)
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
-            found = [blocks(h.as_py()) for h in part.column(3)]
-            columns = [
-                pa.array([[x.text for x in b] for b in found], pa.list_(pa.string())),
-                pa.array([[x.digest for x in b] for b in found], pa.list_(pa.int64())),
-                pa.array([[x.skipped for x in b] for b in found], pa.list_(pa.bool_())),
-                pa.array([[x.root for x in b] for b in found], pa.list_(pa.int32())),
-            ]
-            yield pa.RecordBatch.from_arrays([*part.columns[:3], *columns], names=["page_id", "url", "row", "texts", "digests", "skipped", "roots"])
+            packs = []
+            for h in part.column(3):
+                found = blocks(h.as_py())
+                packs.append(press.compress(json.dumps([[x.text for x in found], [x.digest for x in found], [x.skipped for x in found], [x.root for x in found]]).encode()))
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(packs, pa.binary())], names=["page_id", "url", "row", "pack"])
 
 
 def _articles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    loosen = zstandard.ZstdDecompressor()
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
-            rows = zip(*(part.column(c).to_pylist() for c in ("texts", "digests", "skipped", "roots", "partner")), strict=True)
-            texts = ["\n\n".join(article(*row)) for row in rows]
+            rows = zip(part.column("pack").to_pylist(), part.column("partner").to_pylist(), strict=True)
+            texts = ["\n\n".join(article(*json.loads(loosen.decompress(pack)), partner)) for pack, partner in rows]
             yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
@@ -89,12 +97,16 @@ def main_text(pages: DataFrame) -> DataFrame:
     of its host, is extracted by elements alone; repeated rows each get a row, and a
     copy as neighbour deletes nothing.  Other columns are ignored.
     """
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.monotonically_increasing_id().alias("row"), F.col("html").cast("string").alias("html"))
-    lines, _ = materialize(rows.mapInArrow(_parsed, _LINES), "html-lines")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    # a row is known by what it holds, so that both passes over the pages agree
+    rows = rows.select("page_id", "url", F.xxhash64("page_id", "url", "html").alias("row"), "html")
+    narrow = rows.select("url", "row", "html").mapInArrow(_digested, "url string, row long, digests array<long>")
+    lines, _ = materialize(narrow.dropDuplicates(["row"]), "html-lines")
     pairs = neighbours(lines.select("row", "url"))
     other = lines.select(F.col("row").alias("partner_row"), F.col("digests").alias("partner"))
     partners = pairs.join(other, pairs["partner"] == other["partner_row"]).select("row", other["partner"])
-    return lines.join(partners, "row", "left").mapInArrow(_articles, "page_id long, url string, text string")
+    packed = rows.mapInArrow(_packed, f"{_PAGE}, pack binary")
+    return packed.join(partners, "row", "left").select("page_id", "url", "pack", "partner").mapInArrow(_articles, "page_id long, url string, text string")
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
