@@ -49,17 +49,26 @@ def supports(points: np.ndarray, vertices: np.ndarray, tolerance: float = 1e-9)
     scale = max(float(np.ptp(vertices, axis=0).max()), 1.0)
     slack, reach = max(10 * tolerance, 1e-10), 10 * max(tolerance * scale, 1e-12)
     out: list[Support | None] = []
-    for p in points:
-        if not np.isfinite(p).all():
-            out.append(None)
-            continue
-        first = np.einsum("tij,tj->ti", inverse, p - tets[:, 3])
-        w = np.concatenate((first, 1 - first.sum(axis=1, keepdims=True)), axis=1)
-        error = np.linalg.norm(np.einsum("ti,tij->tj", w, tets) - p, axis=1)
-        held = np.flatnonzero((w >= -slack).all(axis=1) & (w <= 1 + slack).all(axis=1) & (error <= reach))
-        if not len(held):
-            out.append(None)
-            continue
-        best = held[np.lexsort((error[held], condition[held], -w[held].min(axis=1)))[0]]
-        out.append(Support(tuple(int(i) for i in combos[best]), w[best], float(error[best]), float(condition[best]), float(w[best].min())))
+    # points in blocks: a block's weights take 32 bytes for each point and tetrahedron
+    block = max(1, 500_000 // len(combos))
+    for at in range(0, len(points), block):
+        out += _block(points[at : at + block], combos, tets, inverse, condition, slack, reach)
+    return out
+
+
+def _block(points: np.ndarray, combos: np.ndarray, tets: np.ndarray, inverse: np.ndarray, condition: np.ndarray, slack: float, reach: float) -> list[Support | None]:
+    with np.errstate(invalid="ignore", over="ignore"):
+        first = np.einsum("tij,ptj->pti", inverse, points[:, None] - tets[None, :, 3])
+        w = np.concatenate((first, 1 - first.sum(axis=2, keepdims=True)), axis=2)
+        error = np.linalg.norm(np.einsum("pti,tij->ptj", w, tets) - points[:, None], axis=2)
+        held = (w >= -slack).all(axis=2) & (w <= 1 + slack).all(axis=2) & (error <= reach)
+    # each key narrows the tetrahedra left over by the one before
+    margin = np.where(held, w.min(axis=2), -np.inf)
+    held &= margin == margin.max(axis=1, keepdims=True)
+    worst = np.where(held, condition[None, :], np.inf)
+    held &= worst == worst.min(axis=1, keepdims=True)
+    best = np.where(held, error, np.inf).argmin(axis=1)
+    out: list[Support | None] = []
+    for p, (t, found) in enumerate(zip(best, held.any(axis=1), strict=True)):
+        out.append(Support(tuple(int(i) for i in combos[t]), w[p, t], float(error[p, t]), float(condition[t]), float(margin[p, t])) if found else None)
     return out
