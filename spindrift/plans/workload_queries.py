@@ -12,7 +12,7 @@ from spindrift.plans.session import MeshSession
 from spindrift.sources.lattice import lattice_mesh, probe_points, with_lattice
 
 _P = f"(SELECT cell_id, value FROM cell_scalar WHERE var = 'P' AND step = {STEP})"
-_REDUCED = f"count(value) AS count, {_r('sum(value)', 4)} AS sum, {_r('avg(value)', 5)} AS mean, max(value) AS max, min(value) AS min"
+_REDUCED = f"count(value) AS count, {_r('sum(value)', 4)} AS sum, {_r('avg(value)', 8)} AS mean, max(value) AS max, min(value) AS min"
 
 
 def _session(spark: SparkSession, sf_dir: str) -> MeshSession:
@@ -20,7 +20,7 @@ def _session(spark: SparkSession, sf_dir: str) -> MeshSession:
 
 
 def _short(df: DataFrame) -> DataFrame:
-    return df.select("count", (F.round("sum", 4) + 0.0).alias("sum"), (F.round("mean", 5) + 0.0).alias("mean"), "max", "min")
+    return df.select("count", (F.round("sum", 4) + 0.0).alias("sum"), (F.round("mean", 8) + 0.0).alias("mean"), "max", "min")
 
 
 @query(f"SELECT {_REDUCED} FROM (SELECT point_id, arg_min(cell_id, ({_DISTANCE}) * 1e6 + cell_id * 1e-9) AS cell_id FROM points, cells WHERE {_INSIDE} GROUP BY 1) JOIN {_P} USING (cell_id)")

@@ -15,6 +15,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -288,7 +289,9 @@ def _matrix(dataset: Any) -> np.ndarray:
 def _reduced(spark: SparkSession, values: np.ndarray, at: int | None) -> DataFrame:
     """(row, value): one component, the only one, or the norm of several."""
     index = at if at is not None else 0 if values.shape[1] == 1 else None
-    frame = spark.createDataFrame(pd.DataFrame({"row": np.arange(len(values)), "values": list(values)}), "row long, values array<double>")
+    flat = pa.array(np.ascontiguousarray(values).ravel())
+    table = pa.table({"row": pa.array(np.arange(len(values))), "values": pa.FixedSizeListArray.from_arrays(flat, values.shape[1]).cast(pa.list_(pa.float64()))})
+    frame = spark.createDataFrame(table)
     return frame.select("row", component(F.col("values"), index).alias("value"))
 
 

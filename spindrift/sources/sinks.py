@@ -27,9 +27,9 @@ def write_coupling(coupled: DataFrame, path: str, metadata: dict[str, str] | Non
 
 
 def coupling_csv(coupled: DataFrame, path: str, variables: Sequence[str]) -> None:
-    """Status names and %.17g numbers; values that are not finite are empty."""
+    """Status names and numbers with the digits that read back as the same double; values that are not finite are empty."""
     names = F.array(*(F.lit(s) for s in STATUS))
-    number = lambda c: F.when(finite(F.col(c)).isNotNull(), F.format_string("%.17g", F.col(c)))
+    number = lambda c: F.when(finite(F.col(c)).isNotNull(), F.col(c).cast("string"))
     flat = coupled.select("point_id", *(number(a).alias(a) for a in "xyz"), F.get(names, F.col("status")).alias("status"), "cell_id", *(number(v).alias(v) for v in variables))
     flat.write.mode("overwrite").option("header", True).csv(path)
 
