@@ -68,14 +68,15 @@ def blocks(page: str | None) -> list[Block]:
     """
     out: list[Block] = []
     buffer: list[str] = []
-    stack: list[tuple[str, bool, int, bool]] = []  # tag, skipped, root, in an article's header
-    skipped, root, in_header, roots = False, -1, False, 0
+    # tag, skipped, root, and of an article's header: 1 in it, 2 in a heading of it
+    stack: list[tuple[str, bool, int, int]] = []
+    skipped, root, header, roots = False, -1, 0, 0
 
     def flush() -> None:
         text = " ".join("".join(buffer).split())
         buffer.clear()
         if text:
-            out.append(Block(text, xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63), skipped, root))
+            out.append(Block(text, xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63), skipped or header == 1, root))
 
     page = page or ""
     at, n = 0, len(page)
@@ -102,7 +103,7 @@ def blocks(page: str | None) -> list[Block]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
                     del stack[k:]
-                    skipped, root, in_header = stack[-1][1:] if stack else (False, -1, False)
+                    skipped, root, header = stack[-1][1:] if stack else (False, -1, 0)
                     break
             continue
         if tag in _RAW:
@@ -113,14 +114,12 @@ def blocks(page: str | None) -> list[Block]:
         skipped = skipped or _boilerplate(tag, attributes, root >= 0)
         if root < 0 and tag == "article" and not skipped:
             root, roots = roots, roots + 1
-        in_header = in_header or tag == "header" and root >= 0
+        # of a header inside the article only headings are the article's
+        header = 1 if tag == "header" and root >= 0 else 2 if header == 1 and tag in _HEADINGS else header
         if m[3].endswith("/") and tag in ("svg", "math"):
-            skipped, root, in_header = stack[-1][1:] if stack else (False, -1, False)
+            skipped, root, header = stack[-1][1:] if stack else (False, -1, 0)
             continue
-        # of a header inside the article only headings are the article's
-        stack.append((tag, skipped, root, in_header))
-        if in_header:
-            skipped = stack[-1][1] or tag not in _HEADINGS
+        stack.append((tag, skipped, root, header))
     flush()
     return out
 

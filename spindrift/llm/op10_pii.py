@@ -167,18 +167,20 @@ def redact(docs: DataFrame, **options) -> DataFrame:
     Columns are those of ``docs``; of overlapping spans the first stays.  A null
     text stays null.
     """
-    rows = docs.withColumn("__digest", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    # packed, so that no column of docs can clash with one of the join
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")
+    rows = docs.select(whole, F.col("doc_id").cast("long").alias("key"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("digest"))
     found = find_spans(docs.select("doc_id", "text"), **options).where(F.size("spans") > 0)
-    spans = found.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__key"), F.col("spans").alias("__spans")).dropDuplicates(["__id", "__key"])
-    joined = rows.join(spans, rows["doc_id"].cast("long").eqNullSafe(spans["__id"]) & (rows["__digest"] == spans["__key"]), "left")
+    spans = found.select(F.col("doc_id").alias("span_key"), F.col("digest").alias("span_digest"), "spans").dropDuplicates(["span_key", "span_digest"])
+    joined = rows.join(spans, rows["key"].eqNullSafe(spans["span_key"]) & (rows["digest"] == spans["span_digest"]), "left")
     names = "array(" + ", ".join(f"'<{k.upper()}>'" for k in KINDS) + ")"
-    step = f"(a, s) -> CASE WHEN s.start < a.at THEN a ELSE struct(s.`end` AS at, array_append(a.o, concat(substring(text, a.at + 1, s.start - a.at), {names}[s.ord])) AS o) END"
-    walk = f"aggregate(__spans, struct(0 AS at, cast(array() AS array<string>) AS o), {step}, a -> concat(array_join(a.o, ''), substring(text, a.at + 1)))"
-    clean = F.expr(f"CASE WHEN __spans IS NULL OR text IS NULL THEN text ELSE {walk} END")
-    shown = joined.withColumn("text", clean)
+    step = f"(a, s) -> CASE WHEN s.start < a.at THEN a ELSE struct(s.`end` AS at, array_append(a.o, concat(substring(doc.text, a.at + 1, s.start - a.at), {names}[s.ord])) AS o) END"
+    walk = f"aggregate(spans, struct(0 AS at, cast(array() AS array<string>) AS o), {step}, a -> concat(array_join(a.o, ''), substring(doc.text, a.at + 1)))"
+    shown = joined.select("doc", "spans", F.expr(f"CASE WHEN spans IS NULL OR doc.text IS NULL THEN doc.text ELSE {walk} END").alias("clean"))
+    new = {"text": F.col("clean")}
     if "n_chars" in docs.columns:
-        shown = shown.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return shown.select(*(F.col(f"`{c}`") for c in docs.columns))
+        new["n_chars"] = F.when(F.col("spans").isNull(), F.col("doc.n_chars")).otherwise(F.length("clean").cast(docs.schema["n_chars"].dataType))
+    return shown.select(*(new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns))
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

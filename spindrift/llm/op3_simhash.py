@@ -156,9 +156,11 @@ def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
     with a null doc_id stays only if its component has no other id.
     """
     found = simhash_components(docs, **options)
-    keep = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("__kept_id")).distinct()
-    held = docs.join(keep, docs["doc_id"].eqNullSafe(F.col("__kept_id")), "left_semi")
-    return held.dropDuplicates(["doc_id"])
+    keep = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    # packed, so that no column of docs can clash with one of the join
+    packed = docs.select(F.col("doc_id").cast("long").alias("key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    held = packed.join(keep, packed["key"].eqNullSafe(keep["kept_id"]), "left_semi")
+    return held.dropDuplicates(["key"]).select("doc.*")
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
