@@ -2,12 +2,13 @@
 
 Cells enter a pyramid of grids: each at the finest level at which its box spans at
 most two buckets an axis, hence at most eight rows a cell however large it is.  A
-point probes its bucket at each level in use.  Both sides meet on (level, ix, iy,
+point probes its bucket at each level that boxes of the mesh's widths can be at.  Both sides meet on (level, ix, iy,
 iz), which hashes and splits like any equi-join.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -20,11 +21,12 @@ DEEPEST = 12
 
 @dataclass(frozen=True)
 class Grid:
-    """Origin, bucket size and number of buckets by axis."""
+    """Origin, bucket size and number of buckets by axis; the first and last level of the pyramid that cells use."""
 
     origin: tuple[float, float, float]
     step: tuple[float, float, float]
     dims: tuple[int, int, int]
+    levels: tuple[int, int] = (0, DEEPEST)
 
     def bucket(self, value: Column, axis: int, level: int = 0) -> Column:
         """Bucket of a coordinate, clamped to the grid."""
@@ -36,12 +38,19 @@ class Grid:
 
 
 def grid_of(cells: DataFrame, dims: tuple[int, int, int] = (80, 80, 40)) -> Grid:
-    """Grid over the bounds of ``cells``; one row of bounds reaches the driver."""
-    b = cells.agg(*(f(c).alias(c) for a in "xyz" for f, c in ((F.min, f"{a}min"), (F.max, f"{a}max")))).first()
-    if b is None or b["xmin"] is None:
-        return Grid((0.0, 0.0, 0.0), (1.0, 1.0, 1.0), (1, 1, 1))
-    step = tuple(max((b[f"{a}max"] - b[f"{a}min"]) / n, 1e-12) for a, n in zip("xyz", dims, strict=True))
-    return Grid(tuple(b[f"{a}min"] for a in "xyz"), step, dims)  # type: ignore[arg-type]
+    """Grid over the bounds of ``cells``; one row of bounds and widths reaches the driver."""
+    sides = [e for a in "xyz" for e in (F.min(f"{a}min").alias(f"{a}0"), F.max(f"{a}max").alias(f"{a}1"))]
+    widths = [e for a in "xyz" for e in (F.min(F.col(f"{a}max") - F.col(f"{a}min")).alias(f"{a}w"), F.max(F.col(f"{a}max") - F.col(f"{a}min")).alias(f"{a}W"))]
+    b = cells.agg(*sides, *widths).first()
+    if b is None or b["x0"] is None:
+        return Grid((0.0, 0.0, 0.0), (1.0, 1.0, 1.0), (1, 1, 1), (0, 0))
+    step = tuple(max((b[f"{a}1"] - b[f"{a}0"]) / n, 1e-12) for a, n in zip("xyz", dims, strict=True))
+    # a box of up to one bucket's width spans two at most, one of over two buckets' width at least three
+    top = min(DEEPEST, max(n - 1 for n in dims).bit_length())
+    last = max(b[f"{a}W"] / s for a, s in zip("xyz", step, strict=True)) * (1 + 1e-6)
+    first = max(b[f"{a}w"] / s for a, s in zip("xyz", step, strict=True)) / 2 * (1 - 1e-6)
+    level = lambda w: 0 if w <= 1 else min(top, math.ceil(math.log2(w)))
+    return Grid(tuple(b[f"{a}0"] for a in "xyz"), step, dims, (level(first), level(last)))  # type: ignore[arg-type]
 
 
 def grid_buckets(cells: DataFrame, grid: Grid, mode: str = "aabb") -> DataFrame:
@@ -55,17 +64,16 @@ def grid_buckets(cells: DataFrame, grid: Grid, mode: str = "aabb") -> DataFrame:
 
 
 def _levelled(cells: DataFrame, grid: Grid, eps: float) -> DataFrame:
+    """A row for each bucket of a cell at its level; at the last level any number of buckets is taken."""
+    low, high = grid.levels
     spans = []
-    for level in range(DEEPEST):
+    for level in range(low, high):
         ok = [grid.bucket(F.col(f"{a}max") + eps, i, level) - grid.bucket(F.col(f"{a}min") - eps, i, level) <= 1 for i, a in enumerate("xyz")]
         spans.append(F.when(ok[0] & ok[1] & ok[2], level))
-    # at DEEPEST a grid of up to 2^DEEPEST buckets an axis is one bucket
-    level = F.coalesce(*spans, F.lit(DEEPEST)).alias("level")
-    placed = cells.withColumn("level", level)
+    placed = cells.withColumn("level", F.coalesce(*spans, F.lit(high)))
+    at = lambda e, i: F.coalesce(*(F.when(F.col("level") == k, grid.bucket(e, i, k)) for k in range(low, high + 1)))
     for i, a in enumerate("xyz"):
-        low = F.coalesce(*(F.when(F.col("level") == k, grid.bucket(F.col(f"{a}min") - eps, i, k)) for k in range(DEEPEST + 1)))
-        high = F.coalesce(*(F.when(F.col("level") == k, grid.bucket(F.col(f"{a}max") + eps, i, k)) for k in range(DEEPEST + 1)))
-        placed = placed.withColumn(f"i{a}", F.explode(F.sequence(low, high)))
+        placed = placed.withColumn(f"i{a}", F.explode(F.sequence(at(F.col(f"{a}min") - eps, i), at(F.col(f"{a}max") + eps, i))))
     return placed
 
 
@@ -75,11 +83,10 @@ def candidates(points: DataFrame, cells: DataFrame, grid: Grid, eps: float = 0.0
     slack = [1e-9 * max(1.0, abs(a), abs(b)) + eps for a, b in zip(low, high, strict=True)]
     at = [F.col(a) for a in "xyz"]
     inside = points.where(point_in_box(at, [a - s for a, s in zip(low, slack, strict=True)], [b + s for b, s in zip(high, slack, strict=True)]))
-    levels = max(1, min(DEEPEST, max(n - 1 for n in grid.dims).bit_length()) + 1)
-    keys = [F.struct(F.lit(k).alias("level"), *(grid.bucket(F.col(a), i, k).alias(f"i{a}") for i, a in enumerate("xyz"))) for k in range(levels)]
+    first, last = grid.levels
+    keys = [F.struct(F.lit(k).alias("level"), *(grid.bucket(F.col(a), i, k).alias(f"i{a}") for i, a in enumerate("xyz"))) for k in range(first, last + 1)]
     probes = inside.select("point_id", "x", "y", "z", F.inline(F.array(*keys)))
     boxes = _levelled(cells.select("cell_id", "cx", "cy", "cz", *(f"{a}{s}" for a in "xyz" for s in ("min", "max"))), grid, eps)
-    boxes = boxes.withColumn("level", F.least("level", F.lit(levels - 1)))
     joined = probes.join(boxes, ["level", "ix", "iy", "iz"])
     return joined.where(point_in_box(at, [F.col(f"{a}min") for a in "xyz"], [F.col(f"{a}max") for a in "xyz"], eps)).drop("level", "ix", "iy", "iz")
 

@@ -240,6 +240,17 @@ def make_server(store: str, work: str, host: str, port: int, read=None, command:
                 if job["status"] != "succeeded":
                     raise Refused(409, f"the job is {job['status']}")
                 return 200, {"output": job["arguments"][-1] if "--output" in job["arguments"] else None, "log": jobs.log(key)}
+            case "GET", ["jobs", key, "result.csv"]:
+                job = jobs.get(key)
+                if job["status"] != "succeeded" or job["kind"] != "run":
+                    raise Refused(409, "the job has no result file")
+                with open(job["arguments"][-1]) as f:
+                    return 200, {"csv": f.read()}
+            case "POST", ["uploads", key, "inspect-h5"]:
+                state = uploads.get(key)
+                if not state["complete"] or read is None:
+                    raise Refused(409, "the upload is not complete" if read else "no session")
+                return 200, read("inspect-h5", {"path": os.path.join(uploads.root, key, next(iter(state["files"])))})
             case "POST", ["jobs", key, "cancel"]:
                 return 200, jobs.cancel(key)
         raise Refused(404, "no such resource")
@@ -282,6 +293,11 @@ def serve(store: str, work: str, host: str = "127.0.0.1", port: int = 8080) -> N
     def read(name: str, body: dict) -> object:
         if name == "datasets":
             return [r.asDict() for r in discover(read_table(spark, store, "cell_scalar")).collect()]
+        if name == "inspect-h5":
+            from spindrift.sources.odbh5 import OdbReader, open_tree
+
+            found = OdbReader(open_tree(body["path"])).inspect()
+            return {"parts": found["parts"], "instances": found["instances"], "frames": [f.path for f, _ in found["frames"]]}
         session = stored_session(spark, store, body["dataset"], body.get("zone"), body.get("step"))
         return [session.interpolate(p, body.get("variables")) for p in body["points"]]
 

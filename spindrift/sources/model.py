@@ -100,6 +100,16 @@ def read_mesh(spark: SparkSession, root: str, dataset: str, zone: str) -> Mesh:
     return Mesh(**found, meta={"dataset": dataset, "zone": zone_token(zone)})
 
 
+def register_tables(spark: SparkSession, root: str, database: str = "mesh") -> None:
+    """External tables over a store, partitioned as it is, for ``spark.sql``; safe to repeat."""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
+    for name, schema in SCHEMAS.items():
+        keys = {"dataset": "STRING", "zone": "STRING"} | ({"step": "INT"} if name in FRAMES else {})
+        columns = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields if f.name not in keys] + [f"`{k}` {t}" for k, t in keys.items()])
+        spark.sql(f"CREATE TABLE IF NOT EXISTS `{database}`.`{name}` ({columns}) USING parquet PARTITIONED BY ({', '.join(keys)}) LOCATION '{root}/{name}'")
+        spark.sql(f"MSCK REPAIR TABLE `{database}`.`{name}`")
+
+
 def discover(cell_scalar: DataFrame) -> DataFrame:
     """(dataset, zone, steps, variables): the frames of each zone and the variables present in all of them."""
     seen = cell_scalar.groupBy("dataset", "zone", "step", "var").agg(F.count(F.lit(1)).alias("n"))

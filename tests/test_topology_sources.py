@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from spindrift.operators import topology
 from spindrift.plans.workload_queries import TWO_ZONES
 from spindrift.sources import odbh5, sinks, tecplot
-from spindrift.sources.model import discover, preferred_zone, read_mesh, read_table, surface_zone_order, write_mesh
+from spindrift.sources.model import discover, preferred_zone, read_mesh, read_table, register_tables, surface_zone_order, write_mesh
 from tests.meshes import CUBE, TETRA, mesh
 
 
@@ -168,6 +168,9 @@ def test_store_round_trip_and_discovery(spark, case, tmp_path):
     assert m.cells.count() == 2 and m.cell_scalar.count() == 36 and m.edges.count() == 2
     found = {r["zone"]: r for r in discover(read_table(spark, root, "cell_scalar")).collect()}
     assert found["0_Fluid"]["steps"] == [200, 400, 1000] and found["0_Wall_hull"]["variables"] == sorted("UVWPKE")
+    register_tables(spark, root, "mesh_test")
+    assert spark.sql("SELECT count(*) FROM mesh_test.cell_scalar WHERE zone = '0_Fluid' AND step = 400").first()[0] == 12
+    spark.sql("DROP DATABASE mesh_test CASCADE")
     assert preferred_zone(list(found)) == "0_Fluid" and surface_zone_order(list(found)) == ["0_Wall_hull", "0_Fluid"]
 
 
