@@ -26,6 +26,8 @@ from pyspark.sql import Window
 from spindrift.llm.common import materialize, table
 
 _PLANES = 8
+#: Rows, in multiples of k, whose exact scores set a query's threshold.
+PROBES = 16
 
 
 def rotation(d: int, seed: int) -> np.ndarray:
@@ -78,8 +80,11 @@ def search(ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, scale: np.nd
             if m <= 0:
                 continue
             exact = lambda rows: (vectors[rows] * queries[at + i]).sum(axis=1) / (norms[rows] * qnorms[at + i])  # noqa: B023, E731
-            first = np.argpartition(-estimate[i], m - 1)[:m]
-            rows = np.flatnonzero(bound[i] >= exact(first).min() - 1e-12)
+            # the threshold is the m-th best exact score of the rows that look best
+            look = min(PROBES * k, n)
+            first = np.argpartition(-estimate[i], look - 1)[:look]
+            first = first[ids[first] != qids[at + i]]
+            rows = np.flatnonzero(bound[i] >= np.sort(exact(first))[-m] - 1e-12)
             rows = np.union1d(rows, first)
             score = exact(rows)
             best = np.lexsort((ids[rows], -score))[:m]
@@ -131,7 +136,7 @@ def _searched(seed: int, k: int, eps: float):
     return run
 
 
-def nearest(vectors: DataFrame, divisor: int = 50, k: int = 5, eps: float = 3.0, seed: int = 7, block: int = 8192) -> DataFrame:
+def nearest(vectors: DataFrame, divisor: int = 50, k: int = 5, eps: float = 1.9, seed: int = 7, block: int = 8192) -> DataFrame:
     """(query_id, rank, vec_id, score): ``k`` nearest by cosine of each row of ``vectors`` (vec_id, embedding) whose id ``divisor`` divides.
 
     Rows with a null id, and vectors null, empty, zero or holding null or non-finite
