@@ -15,6 +15,18 @@ _BLOCK = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
+#: Start tags that end an open element of the set, looked for up to an element of the second set.
+_SCOPES = set("div article section main body td th blockquote form aside nav table figure header footer dialog details button ul ol dl".split())
+_ENDS = {
+    **{t: ({"p"}, _SCOPES) for t in _BLOCK - set("body caption dd dt head html legend li optgroup option summary tbody td tfoot th thead tr".split())},
+    "li": ({"li"}, {"ul", "ol", "menu"}),
+    "dt": ({"dt", "dd"}, {"dl"}),
+    "dd": ({"dt", "dd"}, {"dl"}),
+    "option": ({"option"}, {"select", "datalist"}),
+    "tr": ({"tr", "td", "th"}, {"table"}),
+    "td": ({"td", "th"}, {"tr", "table"}),
+    "th": ({"td", "th"}, {"tr", "table"}),
+}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Elements whose text is never the article's.
 _SKIP = set("head script style noscript template nav footer aside form button select option textarea title iframe svg math object canvas dialog menu datalist audio video map xmp noembed noframes".split())
@@ -24,11 +36,18 @@ _NAMES = set(
     "cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription share sharing social comment comments reply replies respond disqus "
     "related recommended recommendations footer header masthead topbar toolbar pagination pager login signin signup search widget widgets skip copyright hidden".split()
 )
+_NAME_LIKE = re.compile(r"^(?:advert|adsby|sponsor|cookie|comment|sidebar|newsletter|breadcrumb|masthead|popup)|(?:nav|menu|navbar|sidebar|footer|comments)$")
+#: Class names that tell about a container's layout, not what it is.
+_LAYOUT = re.compile(r"^(?:has|with|no|is|js|hide|show)[-_]")
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NAME_PARTS = re.compile(r"[^A-Za-z0-9]+")
 
 
+#: Roots of blocks outside any article element.
+NOWHERE, MAIN = -1, -2
+
+
 @dataclass
 class Block:
     text: str
@@ -47,22 +66,28 @@ def _attributes(source: str) -> dict[str, str]:
 def _boilerplate(tag: str, source: str, in_root: bool) -> bool:
     if tag in _SKIP or tag == "header" and not in_root:
         return True
-    if tag in ("html", "body", "main", "article") and "comment" not in source and "hidden" not in source or not source.strip():
+    if not source.strip():
         return False
     at = _attributes(source)
-    if "hidden" in at or at.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", at.get("style", "")) or at.get("role", "").lower() in _ROLES:
+    if tag not in ("html", "body") and ("hidden" in at or at.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", at.get("style", "")) or at.get("role", "").lower() in _ROLES):
         return True
-    names = {x for x in _NAME_PARTS.split(f"{at.get('class', '')} {at.get('id', '')}".lower()) if x}
-    if tag in ("html", "body", "main"):
+    if tag in ("html", "body", "main") or at.get("role", "").lower() == "main":
         return False
-    return bool(names & ({"comment", "comments", "reply"} if tag == "article" else _NAMES))
+    names = [n for n in f"{at.get('class', '')} {at.get('id', '')}".lower().split() if not _LAYOUT.match(n)]
+    if tag == "article":
+        return any(n in ("comment", "comments", "reply") or n.startswith(("comment-", "comment_", "reply-")) for n in names)
+    return any(p in _NAMES or _NAME_LIKE.search(p) for n in names for p in _NAME_PARTS.split(n) if p)
+
+
+def _is_main(tag: str, source: str) -> bool:
+    return tag == "main" or "main" in source and _attributes(source).get("role", "").lower() == "main"
 
 
 def blocks(page: str | None) -> list[Block]:
     """Text blocks of a page in order; white space is one space, character references are decoded.
 
-    ``root`` numbers the outermost article, or else main, element a block is in
-    (-1: none).  ``skipped`` marks blocks in boilerplate elements.  Markup may be
+    ``root`` numbers the outermost article element a block is in, or is MAIN in the
+    main element outside articles, or NOWHERE.  ``skipped`` marks blocks in boilerplate elements.  Markup may be
     cut or badly nested: an end tag closes up to its nearest open element, one
     without an open element is ignored.
     """
@@ -70,7 +95,7 @@ def blocks(page: str | None) -> list[Block]:
     buffer: list[str] = []
     # tag, skipped, root, and of an article's header: 1 in it, 2 in a heading of it
     stack: list[tuple[str, bool, int, int]] = []
-    skipped, root, header, roots = False, -1, 0, 0
+    skipped, root, header, roots = False, NOWHERE, 0, 0
 
     def flush() -> None:
         text = " ".join("".join(buffer).split())
@@ -103,21 +128,30 @@ def blocks(page: str | None) -> list[Block]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
                     del stack[k:]
-                    skipped, root, header = stack[-1][1:] if stack else (False, -1, 0)
+                    skipped, root, header = stack[-1][1:] if stack else (False, NOWHERE, 0)
                     break
             continue
         if tag in _RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             at = end.end() if end else n
             continue
+        ends, scope = _ENDS.get(tag, (set(), set()))
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k][0] in ends:
+                del stack[k:]
+                skipped, root, header = stack[-1][1:] if stack else (False, NOWHERE, 0)
+            elif not ends or stack[k][0] in scope:
+                break
         attributes = m[3].removesuffix("/")
-        skipped = skipped or _boilerplate(tag, attributes, root >= 0)
+        skipped = skipped or _boilerplate(tag, attributes, root != NOWHERE)
         if root < 0 and tag == "article" and not skipped:
             root, roots = roots, roots + 1
+        elif root == NOWHERE and not skipped and _is_main(tag, attributes):
+            root = MAIN
         # of a header inside the article only headings are the article's
-        header = 1 if tag == "header" and root >= 0 else 2 if header == 1 and tag in _HEADINGS else header
+        header = 1 if tag == "header" and root != NOWHERE else 2 if header == 1 and tag in _HEADINGS else header
         if m[3].endswith("/") and tag in ("svg", "math"):
-            skipped, root, header = stack[-1][1:] if stack else (False, -1, 0)
+            skipped, root, header = stack[-1][1:] if stack else (False, NOWHERE, 0)
             continue
         stack.append((tag, skipped, root, header))
     flush()
@@ -192,10 +226,12 @@ def shared_lines(a: list[int], b: list[int], most_bits: int = 1 << 26) -> list[b
 def article(texts: list[str], digests: list[int], skipped: list[bool], roots: list[int], partner: list[int] | None) -> list[str]:
     """Blocks of the main text, given the lines of the page nearest by URL (None: there is none).
 
-    Lines shared with the partner are template and go, save in an element that the
-    page itself declares its article: copies of a page, and passages that articles
-    share, would lose their text.  For the same reason a pair that shares over four
-    fifths of a page's remaining text, a copy, deletes nothing.
+    The text is the largest article element, else the main element, else the page,
+    without boilerplate elements.  Lines shared with the partner are template and
+    go, save in an article element, which the page itself declares: copies of a page,
+    and passages that articles share, would lose their text.  For the same reason a
+    pair that shares over four fifths of a page's remaining text, a copy, deletes
+    nothing.
     """
     sizes: dict[int, int] = {}
     for text, r, s in zip(texts, roots, skipped, strict=True):
@@ -205,8 +241,9 @@ def article(texts: list[str], digests: list[int], skipped: list[bool], roots: li
     if chosen is not None:
         return [t for t, r, s in zip(texts, roots, skipped, strict=True) if r == chosen and not s]
     shared = shared_lines(digests, partner) if partner else [False] * len(texts)
-    open_size = sum(len(t) for t, s in zip(texts, skipped, strict=True) if not s)
-    gone = sum(len(t) for t, s, x in zip(texts, skipped, shared, strict=True) if x and not s)
-    if 5 * gone > 4 * open_size:
-        shared = [False] * len(texts)
-    return [t for t, s, x in zip(texts, skipped, shared, strict=True) if not s and not x]
+    inside = any(r == MAIN and not s for r, s in zip(roots, skipped, strict=True))
+    left = [(t, x) for t, r, s, x in zip(texts, roots, skipped, shared, strict=True) if not s and (r == MAIN or not inside)]
+    gone = sum(len(t) for t, x in left if x)
+    if 5 * gone > 4 * sum(len(t) for t, _ in left):
+        return [t for t, _ in left]
+    return [t for t, x in left if not x]

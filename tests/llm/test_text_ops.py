@@ -65,6 +65,24 @@ def test_pages_without_an_article_lose_lines_shared_with_the_nearest(spark):
     assert got[12].startswith("Menu one\n\nMenu two\n\nalone")
 
 
+@pytest.mark.parametrize(
+    "page,expected",
+    [
+        ("<div class='layout with-sidebar'><article class='post comments-open'><p>text</p></article><div class=sidebar-left>s</div></div>", ["text"]),
+        ("<main><p>long enough text</p><div class=breadcrumbs>b</div></main><div>outside</div>", ["long enough text"]),
+        ("<div role=main><header><h1>H</h1><p>date</p></header><p>x</div><div id=topnav>n</div>", ["H", "x"]),
+        ("<article><p>main story of the page</p></article><div class=comments-area><article class=comment><p>c</p></article></div><article class='comment-1'>d</article>", ["main story of the page"]),
+        ("<p>a<div class=adsbygoogle>x</div><div class='cookie-bar'>y</div><p hidden>z<svg/><p>b", ["a", "b"]),
+        ("<body hidden><p>kept</p></body>", ["kept"]),
+    ],
+)
+def test_main_text_rules(page, expected):
+    from spindrift.llm.html_kernels import article
+
+    found = blocks(page)
+    assert article([b.text for b in found], [b.digest for b in found], [b.skipped for b in found], [b.root for b in found], None) == expected
+
+
 def test_neighbours_equal_a_sorted_scan(spark, tmp_path):
     rng = random.Random(4)
     rows = [(k, f"https://{rng.choice('ab')}.example/{rng.choice('xy')}/{rng.randrange(30)}{rng.choice(['', '/', '?q=1', '#f'])}") for k in range(120)]
