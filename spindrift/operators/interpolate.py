@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,17 +23,25 @@ _SUPPORT = "point_id long, cell_id long, nodes array<long>, weights array<double
 
 
 def _find(tolerance: float):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            out = []
-            for cell, group in rows.groupby("cell_id", sort=False):
-                first = group["pts"].iloc[0]
-                vertices = np.array([(p["x"], p["y"], p["z"]) for p in first])
-                ids = np.array([p["node_id"] for p in first])
-                for point, s in zip(group["point_id"], supports(group[["x", "y", "z"]].to_numpy(), vertices, tolerance), strict=True):
-                    if s is not None:
-                        out.append((point, cell, ids[list(s.local)].tolist(), s.weights.tolist(), s.error, s.condition, s.margin))
-            yield pd.DataFrame(out, columns=["point_id", "cell_id", "nodes", "weights", "error", "condition", "margin"])
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.float64(), pa.float64(), pa.float64()]
+    names = ["point_id", "cell_id", "nodes", "weights", "error", "condition", "margin"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            point, cell = batch.column("point_id").to_numpy(), batch.column("cell_id").to_numpy()
+            at = np.stack([batch.column(a).to_numpy() for a in "xyz"], axis=1)
+            corners, ids = batch.column("corners"), batch.column("ids")
+            order = np.argsort(cell, kind="stable")
+            out: list[tuple] = []
+            for rows in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
+                first = int(rows[0])
+                nodes = ids[first].values.to_numpy()
+                found = supports(at[rows], corners[first].values.to_numpy().reshape(-1, 3), tolerance)
+                out += [(point[k], cell[k], nodes[list(s.local)], s.weights, s.error, s.condition, s.margin) for k, s in zip(rows, found, strict=True) if s is not None]
+            columns = list(zip(*out, strict=True)) if out else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     return run
 
@@ -49,7 +57,8 @@ def located_supports(points: DataFrame, mesh: Mesh, grid: Grid | None = None, to
     eps = box_tolerance(grid.low(), [o + s * n for o, s, n in zip(grid.origin, grid.step, grid.dims, strict=True)])
     pairs = candidates(points, mesh.cells, grid, eps).select("point_id", "x", "y", "z", "cell_id")
     shapes = cell_points(mesh, pairs.select("cell_id"))
-    held = pairs.join(shapes, "cell_id").mapInPandas(_find(tolerance), _SUPPORT)
+    flat = shapes.select("cell_id", F.flatten(F.transform("pts", lambda p: F.array(p["x"], p["y"], p["z"]))).alias("corners"), F.col("pts.node_id").alias("ids"))
+    held = pairs.join(flat, "cell_id").select("point_id", "x", "y", "z", "cell_id", "corners", "ids").mapInArrow(_find(tolerance), _SUPPORT)
     order = F.struct("margin", (-F.col("condition")).alias("c"), (-F.col("cell_id")).alias("i"))
     best = held.groupBy("point_id").agg(F.max_by(F.struct("cell_id", "nodes", "weights", "error", "condition", "margin"), order).alias("s"))
     return pairs, best.select("point_id", "s.*")

@@ -37,13 +37,22 @@ class Grid:
         return list(self.origin)
 
 
-def grid_of(cells: DataFrame, dims: tuple[int, int, int] = (80, 80, 40)) -> Grid:
-    """Grid over the bounds of ``cells``; one row of bounds and widths reaches the driver."""
+#: Buckets of the stored locator grid and of the grid that orders first hits.
+LOCATOR, ORDERING = (80, 80, 40), (64, 64, 64)
+
+
+def grid_of(cells: DataFrame, dims: tuple[int, int, int] | None = None) -> Grid:
+    """Grid over the bounds of ``cells``, by default with buckets of the mean cell's size.
+
+    One row of bounds and widths reaches the driver.
+    """
     sides = [e for a in "xyz" for e in (F.min(f"{a}min").alias(f"{a}0"), F.max(f"{a}max").alias(f"{a}1"))]
-    widths = [e for a in "xyz" for e in (F.min(F.col(f"{a}max") - F.col(f"{a}min")).alias(f"{a}w"), F.max(F.col(f"{a}max") - F.col(f"{a}min")).alias(f"{a}W"))]
+    widths = [e for a in "xyz" for e in (F.min(F.col(f"{a}max") - F.col(f"{a}min")).alias(f"{a}w"), F.max(F.col(f"{a}max") - F.col(f"{a}min")).alias(f"{a}W"), F.avg(F.col(f"{a}max") - F.col(f"{a}min")).alias(f"{a}m"))]
     b = cells.agg(*sides, *widths).first()
     if b is None or b["x0"] is None:
         return Grid((0.0, 0.0, 0.0), (1.0, 1.0, 1.0), (1, 1, 1), (0, 0))
+    if dims is None:
+        dims = tuple(int(min(max(math.ceil((b[f"{a}1"] - b[f"{a}0"]) / max(b[f"{a}m"], 1e-12)), 1), 1 << DEEPEST)) for a in "xyz")  # type: ignore[assignment]
     step = tuple(max((b[f"{a}1"] - b[f"{a}0"]) / n, 1e-12) for a, n in zip("xyz", dims, strict=True))
     # a box of up to one bucket's width spans two at most, one of over two buckets' width at least three
     top = min(DEEPEST, max(n - 1 for n in dims).bit_length())
@@ -112,8 +121,8 @@ def locate_first(points: DataFrame, cells: DataFrame, grid: Grid | None = None,
 
     Cells whose centroid is further off come after these, by id.
     """
-    grid = grid or grid_of(cells, (64, 64, 64))
-    found = candidates(points, cells, grid, eps)
+    grid = grid or grid_of(cells, ORDERING)
+    found = candidates(points, cells, grid_of(cells), eps)
     mine = [grid.bucket(F.col(a), i) for i, a in enumerate("xyz")]
     theirs = [grid.bucket(F.col(f"c{a}"), i) for i, a in enumerate("xyz")]
     near = (F.abs(mine[0] - theirs[0]) <= 1) & (F.abs(mine[1] - theirs[1]) <= 1) & (F.abs(mine[2] - theirs[2]) <= 1)
@@ -124,7 +133,7 @@ def locate_first(points: DataFrame, cells: DataFrame, grid: Grid | None = None,
 
 def locate_nearest_in_bucket(points: DataFrame, cells: DataFrame, grid: Grid | None = None, misses: bool = True) -> DataFrame:
     """Cell with the nearest centroid in the point's own centroid bucket, whether or not it holds the point."""
-    grid = grid or grid_of(cells)
+    grid = grid or grid_of(cells, LOCATOR)
     centroids = cells.select("cell_id", "cx", "cy", "cz", *(grid.bucket(F.col(f"c{a}"), i).alias(f"i{a}") for i, a in enumerate("xyz")))
     probes = points.select("point_id", "x", "y", "z", *(grid.bucket(F.col(a), i).alias(f"i{a}") for i, a in enumerate("xyz")))
     off = minus([F.col(a) for a in "xyz"], [F.col(f"c{a}") for a in "xyz"])

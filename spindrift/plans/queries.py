@@ -184,12 +184,12 @@ def locate_nearest_in_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _on(
-    lambda m: locate.grid_buckets(m.cells, locate.grid_of(m.cells)),
+    lambda m: locate.grid_buckets(m.cells, locate.grid_of(m.cells, locate.LOCATOR)),
     f"SELECT ix, iy, iz, cell_id FROM (SELECT cell_id, {', '.join(f'unnest(range({_at(a + chr(109) + chr(105) + chr(110), a, n)}, {_at(a + chr(109) + chr(97) + chr(120), a, n)} + 1)) AS i{a}' if a == 'x' else f'{_at(a + chr(109) + chr(105) + chr(110), a, n)} AS {a}lo, {_at(a + chr(109) + chr(97) + chr(120), a, n)} AS {a}hi' for a, n in zip('xyz', (80, 80, 40), strict=True))} FROM cells, {_BOUNDS}), range(0, 80) AS ry(iy), range(0, 40) AS rz(iz) WHERE iy BETWEEN ylo AND yhi AND iz BETWEEN zlo AND zhi",
     "grid_buckets",
 )
 _on(
-    lambda m: locate.grid_buckets(m.cells, locate.grid_of(m.cells), "centroid").groupBy("ix", "iy", "iz").agg(F.count(F.lit(1)).alias("n_cells"), F.min("cell_id").alias("first_cell")),
+    lambda m: locate.grid_buckets(m.cells, locate.grid_of(m.cells, locate.LOCATOR), "centroid").groupBy("ix", "iy", "iz").agg(F.count(F.lit(1)).alias("n_cells"), F.min("cell_id").alias("first_cell")),
     f"SELECT {', '.join(f'{_at(chr(99) + a, a, n)} AS i{a}' for a, n in zip('xyz', (80, 80, 40), strict=True))}, count(*) AS n_cells, min(cell_id) AS first_cell FROM cells, {_BOUNDS} GROUP BY 1, 2, 3",
     "grid_buckets_centroid",
 )
