@@ -83,7 +83,7 @@ def discover_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discover(named).select("dataset", "zone", F.array_join(F.col("steps").cast("array<string>"), ",").alias("steps"), F.array_join("variables", ",").alias("variables"))
 
 
-#: A mesh of two tetrahedra and a square hull, as a Tecplot file of two zones.
+#: A mesh of two tetrahedra and a square hull, as a Tecplot file of two zones.
 TWO_ZONES = """TITLE ="two tetrahedra"
 VARIABLES ="X" "Y" "Z" "U" "V" "W" "P" "K" "E"
 ZONE  T="0_Fluid"
