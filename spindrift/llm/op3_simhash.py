@@ -29,6 +29,10 @@ from spindrift.llm.graph import connected_components
 from spindrift.llm.simhash_kernels import bucket_forest, fingerprint
 
 
+#: Parts in which a component's members meet its smallest id.
+SALTS = 16
+
+
 def index_triples() -> list[tuple[int, int, int]]:
     """20 triples of byte positions such that any 4 of the 8 positions contain one.
 
@@ -143,9 +147,14 @@ def simhash_components(docs: DataFrame, k: int = 4, seed: int = 42, max_bits: in
     # bounded buffers come from groupBy: a hot fingerprint is combined before the shuffle
     distinct, _ = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
     roots, _ = connected_components(fingerprint_links(distinct, max_bits, block))
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = rooted.join(smallest, "root").select("fp", "component_id")
+    linked = distinct.join(roots.withColumnRenamed("node", "fp"), "fp").select("fp", "first_id", "root", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).alias("salt"))
+    # a component may hold a large share of all fingerprints: its smallest id meets them in salted parts
+    smallest = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    spread = smallest.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    joined = linked.join(spread, ["root", "salt"]).select("fp", "component_id", F.lit(True).alias("linked"))
+    found = distinct.join(joined, "fp", "left")
+    # written, so that both sides of the last join are plain exchanges, which adaptive execution splits for hot fingerprints
+    classes, _ = materialize(found.select("fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("first_id")).alias("component_id")), "simhash-classes")
     return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
