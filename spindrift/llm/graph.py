@@ -27,12 +27,14 @@ def connected_components(edges: DataFrame) -> tuple[DataFrame, list[str]]:
     current, path = materialize(clean, "components")
     before = _signature(current)
     while before[0]:
+        # look-up tables are written first: a join of two plain exchanges is one whose hot hub adaptive execution can split
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        up = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        least = up.groupBy("a").agg(F.min("b").alias("m"))
-        down = up.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        nxt, nxt_path = materialize(down.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "components")
+        low, low_path = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m")), "components-low")
+        up, up_path = materialize(current.join(low, F.col("b") == F.col("u")).select("a", F.col("m").alias("b")), "components-up")
+        least, least_path = materialize(up.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m"), "components-least")
+        down = up.join(least, F.col("a") == F.col("u")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        nxt, nxt_path = materialize(down.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct(), "components")
+        forget(spark, low_path, up_path, least_path)
         forget(spark, path)
         current, path, after = nxt, nxt_path, _signature(nxt)
         if after == before:
