@@ -7,6 +7,9 @@ are grouped globally; the earliest occurrence by doc_id and position is kept.
 Runs of later occurrences are removed where they have at least ``min_words``
 words, so that a short phrase which happens to recur is left alone; removed spans
 keep their offsets in the original text.
+
+The query takes fine units, so that little is lost where a passage's edges fuse
+with the text around it, and looks up short ones with what follows them.
 """
 
 from __future__ import annotations
@@ -26,13 +29,17 @@ _UNIT = re.compile(r"[^\n]*?[.!?…][\"')\]]*[\x20\t]+|[^\n]+")
 _WORD = re.compile(r"\S+")
 #: A sentence of more words is cut after words whose own hash is a multiple of _CUT.
 _LONG, _CUT = 24, 8
+#: The same of fine units, and the least words that are looked up as one.
+_FINE_LONG, _FINE_CUT, _SHORT = 12, 4, 4
+#: Least words of a run of fine units: a passage of 50 words less what may be lost at its edges.
+_MIN_WORDS = 22
 
 
 def _digest(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def units(text: str) -> list[tuple[int, int, int, int]]:
+def units(text: str, long: int = _LONG, cut: int = _CUT) -> list[tuple[int, int, int, int]]:
     """(start, end, words, digest) of each unit with a word; offsets in code points, end exclusive."""
     out = []
     for m in _UNIT.finditer(text):
@@ -40,7 +47,7 @@ def units(text: str) -> list[tuple[int, int, int, int]]:
         words = raw.lower().split()
         if not words:
             continue
-        if len(words) <= _LONG:
+        if len(words) <= long:
             start = m.start() + len(raw) - len(raw.lstrip())
             out.append((start, m.start() + len(raw.rstrip()), len(words), _digest(" ".join(words))))
             continue
@@ -49,7 +56,7 @@ def units(text: str) -> list[tuple[int, int, int, int]]:
         for x in _WORD.finditer(raw):
             start = start if held else m.start() + x.start()
             held.append(x[0].lower())
-            if _digest(held[-1]) % _CUT == 0 or len(held) == len(words):
+            if _digest(held[-1]) % cut == 0 or len(held) == len(words):
                 out.append((start, m.start() + x.end(), len(held), _digest(" ".join(held))))
                 held = []
         if held:
@@ -57,6 +64,61 @@ def units(text: str) -> list[tuple[int, int, int, int]]:
     return out
 
 
+def keys(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """Fine units (start, end, words) of a text and its keys (first unit, last unit, digest).
+
+    A unit of fewer than _SHORT words is looked up with those after it that make up
+    so many, so that no phrase of few words counts as repeated by itself and text of
+    short lines is looked up too.
+    """
+    found = units(text, _FINE_LONG, _FINE_CUT)
+    out = []
+    for i, (start, end, words, digest) in enumerate(found):
+        j, size = i, words
+        while size < _SHORT and j + 1 < len(found):
+            j += 1
+            size += found[j][2]
+        out.append((i, j, _digest(" ".join(text[start : found[j][1]].lower().split())) if j > i else digest))
+    return [u[:3] for u in found], out
+
+
+def _looked_up_fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            count, order, again, digests = [], [], [], []
+            for t in part.column(2):
+                seen: dict[int, int] = {}
+                before = len(order)
+                for k, (i, j, d) in enumerate(keys(t.as_py())[1]):
+                    first = seen.setdefault(d, j)
+                    # an occurrence that overlaps the text's first one is part of it
+                    if first == j or first < i:
+                        order.append(k)
+                        again.append(first < i)
+                        digests.append(d)
+                count.append(len(order) - before)
+            take = pa.array(np.repeat(np.arange(part.num_rows), count))
+            columns = [pa.array(digests, pa.int64()), part.column(0).take(take), part.column(1).take(take), pa.array(order, pa.int32()), pa.array(again, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=["digest", "doc_id", "doc_digest", "n", "again"])
+
+
+def fine_spans(text: str, gone: set[int], min_words: int) -> tuple[list[dict], int]:
+    """Spans of ``text`` to remove, and their words, where the keys numbered ``gone`` are repeated."""
+    found, asked = keys(text)
+    held = np.zeros(len(found) + 1, bool)
+    for k in gone:
+        held[asked[k][0] : asked[k][1] + 1] = True
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], held)).astype(np.int8)))
+    out, total = [], 0
+    for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+        start, end, words = found[a][0], found[b - 1][1], sum(u[2] for u in found[a:b])
+        if words >= min_words:
+            out.append({"start": start, "end": end})
+            total += words
+    return out, total
+
+
 def _looked_up(min_unit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,7 +141,7 @@ def _looked_up(min_unit: int):
     return run
 
 
-def _cut(min_words: int, min_unit: int):
+def _cut(min_words: int, min_unit: int | None):
     def spans(text: str, gone: set[int]) -> tuple[list[dict], int]:
         out, total, run = [], 0, []
 
@@ -109,7 +171,7 @@ def _cut(min_words: int, min_unit: int):
                 part = batch.slice(at, 256)
                 texts, removed, words = [], [], []
                 for text, gone in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                    found, n = spans(text, set(gone)) if gone else ([], 0)
+                    found, n = ([], 0) if not gone else fine_spans(text, set(gone), min_words) if min_unit is None else spans(text, set(gone))
                     ends = [0, *(x["end"] for x in found)]
                     starts = [*(x["start"] for x in found), len(text)]
                     texts.append("".join(text[a:b] for a, b in zip(ends, starts, strict=True)) if found else text)
@@ -120,14 +182,16 @@ def _cut(min_words: int, min_unit: int):
     return run
 
 
-def later_units(docs: DataFrame, min_unit: int = 4) -> DataFrame:
+def later_units(docs: DataFrame, min_unit: int | None = 4) -> DataFrame:
     """(doc_id, doc_digest, gone): numbers of a document's units that an earlier document, or the document before, has.
 
+    With no ``min_unit`` they are numbers of its ``keys``.
+
     Only digests with ranks travel, no texts; a digest is combined with its smallest
     doc_id before the shuffle, so a line of a third of all documents is one row a task.
     """
     once = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).select("doc_id", F.xxhash64("text").alias("doc_digest"), "text")
-    found, _ = materialize(once.mapInArrow(_looked_up(min_unit), "digest long, doc_id long, doc_digest long, n int, again boolean"), "substring-units")
+    found, _ = materialize(once.mapInArrow(_looked_up_fine if min_unit is None else _looked_up(min_unit), "digest long, doc_id long, doc_digest long, n int, again boolean"), "substring-units")
     fresh = found.where("NOT again").select("digest", "doc_id", "doc_digest", "n")
     one = fresh.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n_rows"), F.count("doc_id").alias("n_ids"))
     first = one.where("first <> last OR (n_ids > 0 AND n_ids < n_rows)").select("digest", "first")
@@ -136,13 +200,13 @@ def later_units(docs: DataFrame, min_unit: int = 4) -> DataFrame:
     return both.groupBy("doc_id", "doc_digest").agg(F.collect_set("n").alias("gone"))
 
 
-def dedup_substrings(docs: DataFrame, min_words: int = 30, min_unit: int = 4) -> DataFrame:
+def dedup_substrings(docs: DataFrame, min_words: int = 30, min_unit: int | None = 4) -> DataFrame:
     """(doc_id, text, removed, n_removed_words) of every row of ``docs`` (doc_id, text).
 
     ``removed`` holds the spans' offsets in the original text, in code points
     (empty: none), and ``text`` what is left.  Units of fewer than ``min_unit``
-    words are not looked up; inside a removed run they go too.  A null text counts
-    as empty.  Rows of one doc_id rank alike: what only they share stays in each,
+    words are not looked up; inside a removed run they go too.  With no
+    ``min_unit`` units are finer, short ones are looked up with what follows.  A null text counts as empty.  Rows of one doc_id rank alike: what only they share stays in each,
     and each row is returned; null ids rank last.  An empty table gives no rows;
     other columns are ignored.
     """
@@ -154,4 +218,4 @@ def dedup_substrings(docs: DataFrame, min_words: int = 30, min_unit: int = 4) ->
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_substrings(table(spark, sf_dir, "documents"))
+    return dedup_substrings(table(spark, sf_dir, "documents"), min_words=_MIN_WORDS, min_unit=None)

@@ -243,3 +243,20 @@ def test_units_cover_words_and_cuts_agree():
     assert [text[a:b] for a, b, _, _ in found][:2] == ["One two.", "Three four five!"] and found[-1][2] == 1
     moved = op4.units("zero " + text)
     assert {u[3] for u in found[2:]} <= {u[3] for u in moved}
+
+
+def query_substrings(spark, tmp_path, rows):
+    docs(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    return {r["doc_id"]: r for r in op4.op4_substring_dedup(spark, str(tmp_path)).collect()}
+
+
+def test_every_repeated_passage_of_fifty_words_is_cut(spark, tmp_path):
+    rng = random.Random(8)
+    say = lambda n: " ".join(rng.choice("abcdefghij") + str(rng.randrange(900)) for _ in range(n))
+    made = [" ".join(say(n) + "." for n in sizes) for sizes in ((14, 13, 14, 14), (2, 3, 22, 3, 2, 3, 18), (3,) * 17, (52,), (20, 8, 3, 20))]
+    rows = [(k, f"{say(40)}. {p} {say(40)}.") for k, p in enumerate(made)]
+    rows += [(100 + k, f"{say(11)} {p} {say(7)}") for k, p in enumerate(made)] + [(200, f"{say(60)}.")]
+    got = query_substrings(spark, tmp_path, rows)
+    assert not any(got[k]["removed"] for k in (0, 1, 2, 3, 4, 200))
+    for k in range(len(made)):
+        assert 22 <= got[100 + k]["n_removed_words"] <= 70 and got[100 + k]["text"].startswith(rows[len(made) + k][1][:20])
