@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from spindrift.llm.common import materialize, table, text_or_empty
 
-_UNIT = re.compile(r"[^\n]*?[.!?…][\"')\]]*[\x20\t]+|[^\n]+")
+_UNIT = re.compile(r"[^\n]*?(?:[.!?…][\"')\]]*[\x20\t]+|[。！？])|[^\n]+")
 _WORD = re.compile(r"\S+")
 #: A sentence of more words is cut after words whose own hash is a multiple of _CUT.
 _LONG, _CUT = 24, 8
@@ -64,17 +64,24 @@ def units(text: str, long: int = _LONG, cut: int = _CUT) -> list[tuple[int, int,
     return out
 
 
+def _weight(part: str, words: int) -> int:
+    """Words of ``part``; a long word of a script without spaces counts one for each two characters."""
+    if part.isascii():
+        return words
+    return sum(1 if len(w) <= 24 or w.isascii() else len(w) // 2 for w in part.split())
+
+
 def keys(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Fine units (start, end, words) of a text and its keys (first unit, last unit, digest).
 
     A unit of fewer than _SHORT words is looked up with those after it that make up
     so many, so that no phrase of few words counts as repeated by itself and text of
-    short lines is looked up too.
+    short lines is looked up too.  The first key is the whole text.
     """
     found = units(text, _FINE_LONG, _FINE_CUT)
-    out = []
+    out = [(0, len(found) - 1, _digest("\n" + " ".join(text.lower().split())))] if found else []
     for i, (start, end, words, digest) in enumerate(found):
-        j, size = i, words
+        j, size = i, words if words >= _SHORT else _weight(text[start:end], words)
         while size < _SHORT and j + 1 < len(found):
             j += 1
             size += found[j][2]
@@ -106,6 +113,8 @@ def _looked_up_fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def fine_spans(text: str, gone: set[int], min_words: int) -> tuple[list[dict], int]:
     """Spans of ``text`` to remove, and their words, where the keys numbered ``gone`` are repeated."""
     found, asked = keys(text)
+    if 0 in gone:
+        return [{"start": found[0][0], "end": found[-1][1]}], sum(u[2] for u in found)
     held = np.zeros(len(found) + 1, bool)
     for k in gone:
         held[asked[k][0] : asked[k][1] + 1] = True
@@ -113,7 +122,7 @@ def fine_spans(text: str, gone: set[int], min_words: int) -> tuple[list[dict], i
     out, total = [], 0
     for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
         start, end, words = found[a][0], found[b - 1][1], sum(u[2] for u in found[a:b])
-        if words >= min_words:
+        if _weight(text[start:end], words) >= min_words:
             out.append({"start": start, "end": end})
             total += words
     return out, total
@@ -206,7 +215,8 @@ def dedup_substrings(docs: DataFrame, min_words: int = 30, min_unit: int | None
     ``removed`` holds the spans' offsets in the original text, in code points
     (empty: none), and ``text`` what is left.  Units of fewer than ``min_unit``
     words are not looked up; inside a removed run they go too.  With no
-    ``min_unit`` units are finer, short ones are looked up with what follows.  A null text counts as empty.  Rows of one doc_id rank alike: what only they share stays in each,
+    ``min_unit`` units are finer, short ones are looked up with what follows, and a
+    copy of a whole text goes whatever its length.  A null text counts as empty.  Rows of one doc_id rank alike: what only they share stays in each,
     and each row is returned; null ids rank last.  An empty table gives no rows;
     other columns are ignored.
     """

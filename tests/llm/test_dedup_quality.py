@@ -260,3 +260,17 @@ def test_every_repeated_passage_of_fifty_words_is_cut(spark, tmp_path):
     assert not any(got[k]["removed"] for k in (0, 1, 2, 3, 4, 200))
     for k in range(len(made)):
         assert 22 <= got[100 + k]["n_removed_words"] <= 70 and got[100 + k]["text"].startswith(rows[len(made) + k][1][:20])
+
+
+def test_text_of_short_units_and_short_copies_are_cut(spark, tmp_path):
+    rng = random.Random(9)
+    word = lambda: rng.choice("abcdefghij") + str(rng.randrange(900))
+    items = "\n".join(f"{word()} {word()}" for _ in range(40))
+    shout = " ".join(word().upper() + "!!" for _ in range(60))
+    plain = "\n".join("".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(60)) for _ in range(3))
+    loose = "\n".join(f"{rng.choice(['yes', 'no'])} {word()}" for _ in range(40))
+    rows = [(1, items), (2, shout), (3, plain), (4, "a copy of few words"), (5, loose), (6, "yes\nno\n" * 2)]
+    rows += [(11, f"head {word()}\n{items}\ntail {word()}"), (12, shout), (13, f"{plain}\nend"), (14, " A copy of\nfew words"), (15, "\n".join(sorted(loose.split("\n"))))]
+    got = query_substrings(spark, tmp_path, rows)
+    assert not any(got[k]["removed"] for k in range(1, 7)) and not got[15]["removed"]
+    assert got[11]["n_removed_words"] >= 77 and got[12]["text"] == "" and got[13]["text"].strip() == "end" and got[14]["text"].strip() == ""
