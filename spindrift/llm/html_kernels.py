@@ -223,27 +223,27 @@ def shared_lines(a: list[int], b: list[int], most_bits: int = 1 << 26) -> list[b
     return out
 
 
-def article(texts: list[str], digests: list[int], skipped: list[bool], roots: list[int], partner: list[int] | None) -> list[str]:
+def article(texts: list[str], digests: list[int], skipped: list[bool], roots: list[int], partner: list[int] | None, common: list[int] | None = None) -> list[str]:
     """Blocks of the main text, given the lines of the page nearest by URL (None: there is none).
 
-    The text is the largest article element, else the main element, else the page,
+    The text is that of the article elements, else the main element, else the page,
     without boilerplate elements.  Lines shared with the partner are template and
-    go, save in an article element, which the page itself declares: copies of a page,
-    and passages that articles share, would lose their text.  For the same reason a
+    go.  ``common`` holds shared lines that many pages of the host have: in an
+    article element, which the page itself declares, only these go, since copies of
+    a page, and passages that articles share, would lose their text.  Elsewhere a
     pair that shares over four fifths of a page's remaining text, a copy, deletes
     nothing.
     """
-    sizes: dict[int, int] = {}
-    for text, r, s in zip(texts, roots, skipped, strict=True):
-        if r >= 0 and not s:
-            sizes[r] = sizes.get(r, 0) + len(text)
-    chosen = max(sizes, key=lambda r: (sizes[r], -r)) if sizes else None
-    if chosen is not None:
-        return [t for t, r, s in zip(texts, roots, skipped, strict=True) if r == chosen and not s]
-    shared = shared_lines(digests, partner) if partner else [False] * len(texts)
+    declared = any(r >= 0 and not s for r, s in zip(roots, skipped, strict=True))
     inside = any(r == MAIN and not s for r, s in zip(roots, skipped, strict=True))
-    left = [(t, x) for t, r, s, x in zip(texts, roots, skipped, shared, strict=True) if not s and (r == MAIN or not inside)]
-    gone = sum(len(t) for t, x in left if x)
-    if 5 * gone > 4 * sum(len(t) for t, _ in left):
-        return [t for t, _ in left]
-    return [t for t, x in left if not x]
+    shared = shared_lines(digests, partner) if partner else [False] * len(texts)
+    often = set(common or ())
+    left = [(t, x, x and d in often) for t, d, r, s, x in zip(texts, digests, roots, skipped, shared, strict=True) if not s and (r >= 0 if declared else r == MAIN or not inside)]
+    story = [t for t, _, c in left if not c]
+    own = [t for t, x, _ in left if not x]
+    if declared:
+        return story or [t for t, *_ in left]
+    gone = sum(len(t) for t, x, _ in left if x)
+    if 5 * gone > 4 * sum(len(t) for t, *_ in left):
+        return [t for t, *_ in left]
+    return own

@@ -2,7 +2,8 @@
 
 Pages of a host are ordered by URL path; each is paired with the neighbour whose
 path has the longer common prefix with its own.  Text lines of both are aligned by
-longest common subsequence and shared lines deleted.  Elements that are no
+longest common subsequence and shared lines deleted; inside a declared article, and
+between copies, only those that many pages of the host share.  Elements that are no
 article by their tag, role or name (menus, notices, forms, comments, ...) go as
 well, shared or not, since such lines may differ between pages.
 
@@ -26,6 +27,8 @@ from spindrift.llm.common import materialize, table
 from spindrift.llm.html_kernels import article, blocks
 
 _PAGE = "page_id long, url string, row long"
+#: Parts in which a host's pages meet its frequent lines.
+SALTS = 16
 
 
 def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,8 +55,8 @@ def _articles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
-            rows = zip(part.column("pack").to_pylist(), part.column("partner").to_pylist(), strict=True)
-            texts = ["\n\n".join(article(*json.loads(loosen.decompress(pack)), partner)) for pack, partner in rows]
+            rows = zip(*(part.column(c).to_pylist() for c in ("pack", "partner", "common")), strict=True)
+            texts = ["\n\n".join(article(*json.loads(loosen.decompress(pack)), partner, common)) for pack, partner, common in rows]
             yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
@@ -66,7 +69,7 @@ def _common_prefix(a: str, b: str) -> str:
 
 
 def neighbours(pages: DataFrame) -> DataFrame:
-    """(row, partner) for ``pages`` (row, url): the row nearest by path in the same host.
+    """(row, partner, host) for ``pages`` (row, url): the row nearest by path in the same host.
 
     ``pages`` must be a written table, since it is read more than once.  Rows
     without a host, or alone in theirs, are left out.
@@ -85,9 +88,23 @@ def neighbours(pages: DataFrame) -> DataFrame:
     here = Window.partitionBy("part").orderBy(*order)
     beside = keys.select("part", *order, F.lag(me).over(here).alias("p"), F.lead(me).over(here).alias("n"))
     both = beside.join(ends, "part").select(*order, F.coalesce("p", "before").alias("p"), F.coalesce("n", "after").alias("n"))
-    mine = both.select("row", "path", F.when(F.col("p.host") == F.col("host"), F.col("p")).alias("p"), F.when(F.col("n.host") == F.col("host"), F.col("n")).alias("n"))
+    mine = both.select("row", "path", F.when(F.col("p.host") == F.col("host"), F.col("p")).alias("p"), F.when(F.col("n.host") == F.col("host"), F.col("n")).alias("n"), "host")
     nearer = F.expr(f"CASE WHEN p IS NULL THEN n.row WHEN n IS NULL THEN p.row WHEN {_common_prefix('path', 'n.path')} > {_common_prefix('path', 'p.path')} THEN n.row ELSE p.row END")
-    return mine.select("row", nearer.alias("partner")).where("partner IS NOT NULL")
+    return mine.select("row", nearer.alias("partner"), "host").where("partner IS NOT NULL")
+
+
+def with_common(paired: DataFrame, least: int = 4, share: int = 4) -> DataFrame:
+    """(row, partner, common) for ``paired`` (row, host, partner, shared): lines of ``shared`` that at least ``least`` pages and one of ``share`` pages of the host share.
+
+    ``paired`` must be a written table.  A host has at most ``share`` times the lines
+    of a page of such lines; they meet its pages in salted parts.
+    """
+    sizes = paired.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    lines = paired.select("host", F.explode("shared").alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    often = lines.join(sizes, "host").where(F.col("n") * share >= F.col("pages")).groupBy("host").agg(F.collect_list("line").alias("often"))
+    spread = often.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    salted = paired.withColumn("salt", F.pmod("row", F.lit(SALTS).cast("long")))
+    return salted.join(spread, ["host", "salt"], "left").select("row", "partner", F.array_intersect("shared", "often").alias("common"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -104,9 +121,11 @@ def main_text(pages: DataFrame) -> DataFrame:
     lines, _ = materialize(narrow.dropDuplicates(["row"]), "html-lines")
     pairs = neighbours(lines.select("row", "url"))
     other = lines.select(F.col("row").alias("partner_row"), F.col("digests").alias("partner"))
-    partners = pairs.join(other, pairs["partner"] == other["partner_row"]).select("row", other["partner"])
+    met = pairs.join(other, pairs["partner"] == other["partner_row"]).select("row", "host", other["partner"])
+    paired, _ = materialize(met.join(lines.select("row", "digests"), "row").select("row", "host", "partner", F.array_intersect("digests", "partner").alias("shared")), "html-pairs")
+    partners = with_common(paired)
     packed = rows.mapInArrow(_packed, f"{_PAGE}, pack binary")
-    return packed.join(partners, "row", "left").select("page_id", "url", "pack", "partner").mapInArrow(_articles, "page_id long, url string, text string")
+    return packed.join(partners, "row", "left").select("page_id", "url", "pack", "partner", "common").mapInArrow(_articles, "page_id long, url string, text string")
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -268,3 +268,15 @@ def test_redaction(spark):
 def test_personal_data_plan_is_native(spark, sf_dir):
     plan = op10.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def extracted(spark, rows):
+    return {r["page_id"]: r["text"] for r in op1.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_lines_that_a_host_shares_go_inside_articles_too(spark):
+    page = lambda k: f"<body><article><p>story {k} part one</p><p>Send this page to a friend</p></article><p>between</p><article><p>part two of {k}</p></article></body>"
+    rows = [(k, f"http://t.example/n/{k}", page(k)) for k in range(10)]
+    rows += [(20 + k, f"http://t.example/z/{k}", page(77)) for k in range(2)]
+    got = extracted(spark, rows)
+    assert got == {**{k: f"story {k} part one\n\npart two of {k}" for k in range(10)}, **{20 + k: "story 77 part one\n\npart two of 77" for k in range(2)}}
