@@ -230,9 +230,10 @@ def article(texts: list[str], digests: list[int], skipped: list[bool], roots: li
     without boilerplate elements.  Lines shared with the partner are template and
     go.  ``common`` holds shared lines that many pages of the host have: in an
     article element, which the page itself declares, only these go, since copies of
-    a page, and passages that articles share, would lose their text.  Elsewhere a
-    pair that shares over four fifths of a page's remaining text, a copy, deletes
-    nothing.
+    a page, and passages that articles share, would lose their text.  So it is with
+    a page of a pair of copies: one without a line of its own, or, where the
+    template is known, with fewer characters of its own than of other shared lines.
+    What would leave nothing deletes nothing.
     """
     declared = any(r >= 0 and not s for r, s in zip(roots, skipped, strict=True))
     inside = any(r == MAIN and not s for r, s in zip(roots, skipped, strict=True))
@@ -241,9 +242,7 @@ def article(texts: list[str], digests: list[int], skipped: list[bool], roots: li
     left = [(t, x, x and d in often) for t, d, r, s, x in zip(texts, digests, roots, skipped, shared, strict=True) if not s and (r >= 0 if declared else r == MAIN or not inside)]
     story = [t for t, _, c in left if not c]
     own = [t for t, x, _ in left if not x]
-    if declared:
+    alike = sum(len(t) for t, x, c in left if x and not c)
+    if declared or not own or partner and set(partner) <= set(digests) or often and alike > sum(map(len, own)):
         return story or [t for t, *_ in left]
-    gone = sum(len(t) for t, x, _ in left if x)
-    if 5 * gone > 4 * sum(len(t) for t, *_ in left):
-        return [t for t, *_ in left]
     return own

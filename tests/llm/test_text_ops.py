@@ -280,3 +280,14 @@ def test_lines_that_a_host_shares_go_inside_articles_too(spark):
     rows += [(20 + k, f"http://t.example/z/{k}", page(77)) for k in range(2)]
     got = extracted(spark, rows)
     assert got == {**{k: f"story {k} part one\n\npart two of {k}" for k in range(10)}, **{20 + k: "story 77 part one\n\npart two of 77" for k in range(2)}}
+
+
+def test_short_text_in_a_large_template_stays_alone_and_copies_stay_whole(spark):
+    menus = "".join(f"<div>Menu entry number {k} of the site's long template</div>" for k in range(40))
+    page = lambda own: f"<body>{menus}<div>{own}</div></body>"
+    told = "a story told twice " * 9
+    rows = [(k, f"http://u.example/n/{k}", page(f"short {k}")) for k in range(16)]
+    rows += [(30, "http://u.example/z/1", page(told)), (31, "http://u.example/z/2", page(told)), (32, "http://u.example/zz/1", page(f"{told}</div><div>seen 1")), (33, "http://u.example/zz/2", page(f"{told}</div><div>seen 2"))]
+    got = extracted(spark, rows)
+    assert [got[k] for k in range(16)] == [f"short {k}" for k in range(16)]
+    assert all(got[k].startswith(told.strip()) and "Menu" not in got[k] for k in (30, 31, 32, 33))
