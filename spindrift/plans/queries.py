@@ -398,7 +398,7 @@ ORACLE["advect_w4"] = with_lattice("").rstrip() + _advect_sql()
 @query()
 def streamline_w5(spark: SparkSession, sf_dir: str) -> DataFrame:
     mesh = lattice_mesh(spark, sf_dir)
-    return rounded(trace.streamlines(probe_points(spark, sf_dir), mesh, STEP, dt=0.05, max_steps=6))
+    return rounded(trace.streamlines(probe_points(spark, sf_dir), mesh, STEP, dt=0.05))
 
 
 def _affine(m: Mesh) -> DataFrame:

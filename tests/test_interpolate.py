@@ -107,3 +107,37 @@ def test_alignment_as_columns_and_zone_choice(spark):
         alignment_zone(["0_Fluid"])
     with pytest.raises(ValueError):
         align(np.zeros((3, 3)), np.zeros((9, 3)))
+
+
+def test_registered_streamlines_run_to_their_ends(spark, sf_dir):
+    from spindrift.plans.queries import STEP, lattice_mesh, probe_points, streamline_w5
+
+    m = lattice_mesh(spark, sf_dir)
+    boxes = [(r["cell_id"], (r["xmin"], r["xmax"]), (r["ymin"], r["ymax"]), (r["zmin"], r["zmax"]), (r["cx"], r["cy"], r["cz"])) for r in m.cells.collect()]
+    flow = {}
+    for r in m.cell_scalar.where(f"step = {STEP} AND var IN ('U', 'V', 'W')").collect():
+        flow.setdefault(r["cell_id"], {})[r["var"]] = r["value"]
+
+    def cell(p):
+        held = [(sum((a - b) ** 2 for a, b in zip(p, c)), i) for i, *box, c in boxes if all(lo <= a <= hi for a, (lo, hi) in zip(p, box))]
+        return min(held)[1] if held else None
+
+    slow = {}
+    for r in probe_points(spark, sf_dir).where("point_id % 7 = 0").collect():
+        p, moves = (r["x"], r["y"], r["z"]), 0
+        at = cell(p)
+        while at is not None:
+            v = [flow.get(at, {}).get(k) for k in "UVW"]
+            if any(x is None for x in v) or sum(x * x for x in v) ** 0.5 <= 1e-15:
+                slow[r["point_id"]] = (moves, at, "still")
+                break
+            p = tuple(a + x * 0.05 for a, x in zip(p, v))
+            nxt = cell(p)
+            if nxt is None:
+                slow[r["point_id"]] = (moves, at, "left")
+                break
+            at, moves = nxt, moves + 1
+    rows = streamline_w5(spark, sf_dir).collect()
+    assert {r["reason"] for r in rows} <= {"still", "left"}
+    got = {r["point_id"]: (r["moves"], r["cell_id"], r["reason"]) for r in rows if r["point_id"] % 7 == 0}
+    assert got == slow and max(n for n, *_ in slow.values()) > 6
