@@ -4,10 +4,10 @@ Base spans (email, ip, card, phone) are the seed entities.  Each seed, and each
 other digit-bearing or @-bearing token as an unknown instance, stands in lexical
 contexts: the two words before it, and the words at both sides.  Contexts and
 instances form a bipartite graph for each kind.  Rounds of DataFrame aggregation
-score a context by the share of its distinct instances believed to be of the kind
-and an instance by a noisy-or of its contexts.  Unknown instances in a context
-that stays above the confidence threshold, with enough distinct seeds behind it,
-become spans of that kind.
+score a context by its seeds of the kind against the instances that contradict it.
+Unknown instances of the kind's shape in a context above the confidence threshold,
+with enough distinct seeds behind it, become spans of that kind and seeds of the
+next round.
 
 Everything runs in DataFrame expressions.  The patterns are written with
 possessive loops, which match as the plain forms do but in linear time and without
@@ -34,6 +34,12 @@ PATTERNS = {
 _NEEDS = {"email": "instr(t, '@') > 0", "ip": r"t RLIKE '[0-9]\\.[0-9]'", "card": r"t RLIKE '[0-9][\\x20-]?[0-9][\\x20-]?[0-9][\\x20-]?[0-9]'", "phone": r"t RLIKE '\\+[0-9]'"}
 #: Tokens with a digit or an @, the unknown instances.
 _TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+#: A run of tokens of digits with few other signs, as spaced numbers are, is one instance.
+_NUMBERS = r"(?<![^\x20\x09-\x0D])[(+]*+[0-9][0-9().-]*+(?:\x20[(]?[0-9][0-9().-]*+)++(?=[\x20\x09-\x0D\"'`)\]<>,;:.!?]|$)"
+_TOKENS = rf"{_NUMBERS}[^\x20\x09-\x0D]*+|{_TOKEN}"
+#: Shapes of unknown instances.
+_MAIL = "(inst LIKE '%@%')"
+_NUMBER = "(length(regexp_replace(inst, '[^0-9]', '')) >= 7)"
 _EDGE = r"[\"'`(){}\[\]<>,;:.!?|*#$%&=]"
 _SPAN = "array<struct<start:int,ord:int,`end`:int>>"
 CONTEXT_CHARS = 64
@@ -89,7 +95,7 @@ def _tokens_sql() -> str:
     lead = f"length(e.m) - length(regexp_replace(e.m, {_lit('^' + _EDGE + '++')}, ''))"
     core = f"regexp_replace(regexp_replace(e.m, {_lit('^' + _EDGE + '++')}, ''), {_lit(_EDGE + '++$')}, '')"
     each = f"struct(e.p + {lead} AS start, -1 AS ord, e.p + {lead} + length({core}) AS `end`)"
-    found = _located(_TOKEN, each, _SPAN)
+    found = _located(_TOKENS, each, _SPAN)
     free = f"filter({found}, s -> s.`end` > s.start AND NOT exists(b, o -> o.start < s.`end` AND s.start < o.`end`))"
     return f"CASE WHEN t RLIKE '[0-9@]' THEN {free} ELSE cast(array() AS {_SPAN}) END"
 
@@ -108,38 +114,44 @@ def scan(docs: DataFrame) -> DataFrame:
     return spans.select("doc_id", "digest", "b", F.expr(f"transform(concat(b, {_tokens_sql()}), s -> {shown})").alias("seen"))
 
 
-def discover(scanned: DataFrame, rounds: int = 3, min_seeds: int = 4, confidence: float = 0.85) -> DataFrame:
+def discover(scanned: DataFrame, rounds: int = 20, min_seeds: int = 4, confidence: float = 0.85) -> DataFrame:
     """Spans (doc_id, digest, start, ord, end) of unknown instances in high-confidence contexts.
 
-    ``scanned`` is a table as ``scan`` makes, written and read again.  A context's
-    score for a kind is sum(instance scores) / (distinct instances + 1); it needs
-    ``min_seeds`` distinct seeds.  Seeds score 1 for their kind and 0 for others.
+    ``scanned`` is a table as ``scan`` makes, written and read again.  A context is
+    usable for a kind with ``min_seeds`` distinct seeds of it; its score is
+    (seeds + 1) / (seeds + contradicting instances + 1), where seeds of other kinds
+    and unknown instances without the kind's shape contradict and other unknown ones
+    do not count.  Unknown instances of the shape in contexts of at least
+    ``confidence`` become seeds of the next round, whose contexts are counted anew;
+    rounds end when none is found.
     """
     occ = scanned.select("doc_id", "digest", F.explode("seen").alias("s")).select("doc_id", "digest", "s.*")
     contexts = F.explode(F.array(F.concat_ws("\x01", F.lit("L"), "l2", "l1"), F.concat_ws("\x01", F.lit("M"), "l1", "r1"))).alias("ctx")
     placed = occ.where("l1 <> ''").select("doc_id", "digest", "start", "ord", "end", "inst", contexts)
     # an instance string is of a kind if any of its occurrences is; distinct pairs are combined before the shuffle
     kinds = occ.groupBy("inst").agg(F.max("ord").alias("seed"))
-    pairs, _ = materialize(placed.groupBy("ctx", "inst").agg(F.max("ord").alias("ord")).select("ctx", "inst"), "pii-pairs")
-    size = pairs.groupBy("ctx").agg(F.count(F.lit(1)).alias("n"))
-    seeds = kinds.where("seed >= 0").select("inst", F.col("seed").alias("ord"))
-    backed = pairs.join(seeds, "inst").groupBy("ctx", "ord").agg(F.count(F.lit(1)).alias("n_seeds")).where(F.col("n_seeds") >= min_seeds)
-    usable, _ = materialize(backed.join(size, "ctx").select("ctx", "ord", "n"), "pii-contexts")
-    edges = pairs.join(usable, "ctx")
-    known = kinds.select("inst", "seed")
-    graph, _ = materialize(edges.join(known, "inst").select("ctx", "ord", "n", "inst", "seed", F.when(F.col("seed") == F.col("ord"), 1.0).otherwise(0.0).alias("score")), "pii-graph")
-    scores = graph
-    ranked = None
+    pairs = placed.groupBy("ctx", "inst").agg(F.max("ord").alias("ord")).select("ctx", "inst")
+    graph, _ = materialize(pairs.join(kinds, "inst").select("ctx", "inst", "seed", F.expr(_MAIL).alias("mail"), F.expr(_NUMBER).alias("number")), "pii-graph")
+    believed = None
+    strong = None
     for _ in range(rounds):
-        ranked = scores.groupBy("ctx", "ord").agg((F.sum("score") / (F.max("n") + 1)).alias("c"))
-        scored = graph.join(ranked, ["ctx", "ord"])
-        belief = scored.where("seed < 0").groupBy("inst", "ord").agg((1 - F.exp(F.sum(F.log(1 - F.least("c", F.lit(0.999)))))).alias("belief"))
-        fresh = graph.join(belief, ["inst", "ord"], "left").select("ctx", "ord", "n", "inst", "seed", F.when(F.col("seed") >= 0, F.col("score")).otherwise(F.coalesce("belief", F.lit(0.0)) * F.lit(0.5)).alias("score"))
-        scores, _ = materialize(fresh, "pii-scores")
-    strong = scores.groupBy("ctx", "ord").agg((F.sum("score") / (F.max("n") + 1)).alias("c")).where(F.col("c") >= confidence)
+        now = graph.withColumn("kind", F.col("seed")) if believed is None else graph.join(believed, "inst", "left").withColumn("kind", F.when(F.col("seed") >= 0, F.col("seed")).otherwise(F.coalesce("found", F.lit(-1))))
+        of = lambda k: F.count(F.when(F.col("kind") == k, 1))
+        counted = now.groupBy("ctx").agg(*(of(k).alias(f"s{k}") for k in range(len(KINDS))), F.count(F.when(F.col("kind") >= 0, 1)).alias("all"), F.count(F.when((F.col("kind") < 0) & ~F.col("mail"), 1)).alias("no_mail"), F.count(F.when((F.col("kind") < 0) & ~F.col("number"), 1)).alias("no_number"))
+        each = F.explode(F.array(*(F.struct(F.lit(k).alias("ord"), F.col(f"s{k}").alias("n"), F.col("no_number" if k else "no_mail").alias("odd")) for k in range(len(KINDS)))))
+        rated = counted.select("ctx", "all", each.alias("e")).where(F.col("e.n") >= min_seeds).select("ctx", "e.ord", ((F.col("e.n") + 1) / (F.col("all") + F.col("e.odd") + 1)).alias("c"))
+        strong, _ = materialize(rated.where(F.col("c") >= confidence), "pii-contexts")
+        shaped = (F.col("ord") == 0) & F.col("mail") | (F.col("ord") > 0) & F.col("number")
+        found = graph.where("seed < 0").join(strong, "ctx").where(shaped).groupBy("inst").agg(F.max_by("ord", F.struct("c", -F.col("ord"))).alias("found"))
+        before = 0 if believed is None else believed.count()
+        believed, _ = materialize(found, "pii-believed")
+        if believed.count() == before:
+            break
+    if strong is None:
+        raise ValueError("at least one round is needed")
     unseen = placed.where("ord < 0").select("doc_id", "digest", "start", "end", "inst", "ctx")
-    shaped = "(ord = 0 AND inst LIKE '%@%') OR (ord > 0 AND length(regexp_replace(inst, '[^0-9]', '')) >= 7)"
-    best = unseen.join(strong, "ctx").where(shaped).groupBy("doc_id", "digest", "start", "end").agg(F.max_by("ord", F.struct("c", -F.col("ord"))).alias("ord"))
+    fits = f"ord = 0 AND {_MAIL} OR ord > 0 AND {_NUMBER}"
+    best = unseen.join(strong, "ctx").where(fits).groupBy("doc_id", "digest", "start", "end").agg(F.max_by("ord", F.struct("c", -F.col("ord"))).alias("ord"))
     return best.select("doc_id", "digest", "start", "ord", "end")
 
 

@@ -291,3 +291,16 @@ def test_short_text_in_a_large_template_stays_alone_and_copies_stay_whole(spark)
     got = extracted(spark, rows)
     assert [got[k] for k in range(16)] == [f"short {k}" for k in range(16)]
     assert all(got[k].startswith(told.strip()) and "Menu" not in got[k] for k in (30, 31, 32, 33))
+
+
+def test_found_identifiers_induce_contexts(spark):
+    rng = random.Random(12)
+    odd = lambda: "9" + "".join(rng.choice("0123456789") for _ in range(9))
+    rows = [(k, f"filler{k} card number: {card(rng)} thanks") for k in range(6)]
+    bridge = [odd() for _ in range(8)]
+    rows += [(100 + k, f"by card number: {x} thanks") for k, x in enumerate(bridge)]
+    rows += [(200 + k, f"we billed account {x} today") for k, x in enumerate(bridge)]
+    rows += [(300, f"we billed account {odd()} today"), (301, "by card number: 4111 1111 1111 1112 thanks"), (302, "in room 12345678 now")]
+    found = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in op10.find_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(found[100 + k] == [(16, 2, 26)] and found[200 + k] == [(18, 2, 28)] for k in range(8))
+    assert found[300] == [(18, 2, 28)] and found[301] == [(16, 2, 35)] and found[302] == []
