@@ -1,21 +1,24 @@
 """Substring dedup by hashing of lines and the sentences in them.
 
 Units are the sentences of each line (a line without inner sentence ends is one
-unit), normalised to lower-case words; a long sentence is cut further at words
-that their own hash chooses, so that the cuts of equal passages agree.  Digests
-are grouped globally; the earliest occurrence by doc_id and position is kept.
-Runs of later occurrences are removed where they have at least ``min_words``
-words, so that a short phrase which happens to recur is left alone; removed spans
-keep their offsets in the original text.
-
-The query takes fine units, so that little is lost where a passage's edges fuse
-with the text around it, and looks up short ones with what follows them.
+unit), normalised to lower-case words; a long sentence is cut further after words
+that their own hash chooses, so that the cuts of equal passages agree.  A unit of
+few words is looked up with those after it that make up enough, and so is each
+whole text.  Digests are grouped globally; the earliest occurrence by doc_id and
+position is kept.  Runs of later occurrences are removed where they have at least
+``min_words`` words, so that a short phrase which happens to recur is left alone;
+removed spans keep their offsets in the original text.
+
+The kernels work on arrays over a text's words.  The digest of any run of words is
+a difference of prefix sums of a polynomial in the words' hashes, so looking up
+units with what follows them costs no second pass over the text.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,154 +28,152 @@ from pyspark.sql import functions as F
 
 from spindrift.llm.common import materialize, table, text_or_empty
 
-_UNIT = re.compile(r"[^\n]*?(?:[.!?…][\"')\]]*[\x20\t]+|[。！？])|[^\n]+")
-_WORD = re.compile(r"\S+")
-#: A sentence of more words is cut after words whose own hash is a multiple of _CUT.
-_LONG, _CUT = 24, 8
-#: The same of fine units, and the least words that are looked up as one.
-_FINE_LONG, _FINE_CUT, _SHORT = 12, 4, 4
-#: Least words of a run of fine units: a passage of 50 words less what may be lost at its edges.
-_MIN_WORDS = 22
-
-
-def _digest(text: str) -> int:
-    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
-
-
-def units(text: str, long: int = _LONG, cut: int = _CUT) -> list[tuple[int, int, int, int]]:
-    """(start, end, words, digest) of each unit with a word; offsets in code points, end exclusive."""
-    out = []
-    for m in _UNIT.finditer(text):
-        raw = m[0]
-        words = raw.lower().split()
-        if not words:
-            continue
-        if len(words) <= long:
-            start = m.start() + len(raw) - len(raw.lstrip())
-            out.append((start, m.start() + len(raw.rstrip()), len(words), _digest(" ".join(words))))
-            continue
-        held: list[str] = []
-        start = 0
-        for x in _WORD.finditer(raw):
-            start = start if held else m.start() + x.start()
-            held.append(x[0].lower())
-            if _digest(held[-1]) % cut == 0 or len(held) == len(words):
-                out.append((start, m.start() + x.end(), len(held), _digest(" ".join(held))))
-                held = []
-        if held:
-            out.append((start, m.start() + len(raw.rstrip()), len(held), _digest(" ".join(held))))
+#: A sentence of more words is cut after words whose own hash is a multiple of CUT.
+LONG, CUT = 12, 4
+#: Least words that are looked up as one.
+SHORT = 4
+#: Least words of a removed run: a passage of 50 words less what may be lost at its edges.
+MIN_WORDS = 22
+#: A longer word with a character beyond ASCII, as in scripts without spaces, counts a word for each two characters.
+LONG_WORD = 24
+_SPACE, _ENDER, _CLOSER, _FULL, _LINE, _WIDE = (1 << k for k in range(6))
+_BASE, _SCRAMBLE = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _classes() -> np.ndarray:
+    """Bits of a code point's classes; those above the last entry are like it."""
+    out = np.full(1 << 16, _WIDE, np.uint8)
+    out[:128] = 0
+    for bit, chars in ((_SPACE, [chr(c) for c in range(0x3001) if chr(c).isspace()]), (_ENDER, ".!?…"), (_CLOSER, "\"')]"), (_FULL, "。！？"), (_LINE, "\n")):
+        out[[ord(c) for c in chars]] |= bit
     return out
 
 
-def _weight(part: str, words: int) -> int:
-    """Words of ``part``; a long word of a script without spaces counts one for each two characters."""
-    if part.isascii():
-        return words
-    return sum(1 if len(w) <= 24 or w.isascii() else len(w) // 2 for w in part.split())
-
-
-def keys(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Fine units (start, end, words) of a text and its keys (first unit, last unit, digest).
-
-    A unit of fewer than _SHORT words is looked up with those after it that make up
-    so many, so that no phrase of few words counts as repeated by itself and text of
-    short lines is looked up too.  The first key is the whole text.
-    """
-    found = units(text, _FINE_LONG, _FINE_CUT)
-    out = [(0, len(found) - 1, _digest("\n" + " ".join(text.lower().split())))] if found else []
-    for i, (start, end, words, digest) in enumerate(found):
-        j, size = i, words if words >= _SHORT else _weight(text[start:end], words)
-        while size < _SHORT and j + 1 < len(found):
-            j += 1
-            size += found[j][2]
-        out.append((i, j, _digest(" ".join(text[start : found[j][1]].lower().split())) if j > i else digest))
-    return [u[:3] for u in found], out
-
-
-def _looked_up_fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_CLASSES = _classes()
+
+
+def word_hash(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word)
+
+
+@lru_cache(maxsize=2)
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """First 2**bits powers of the polynomial's base and of its inverse, modulo 2**64."""
+    n, inverse = 1 << bits, pow(_BASE, -1, 1 << 64)
+    return tuple(np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(n - 1, b, np.uint64)))) for b in (_BASE, inverse))  # type: ignore[return-value]
+
+
+@dataclass
+class Units:
+    """Word offsets of a text, first and last word of its units, and the last unit of each unit's key."""
+
+    starts: np.ndarray
+    stops: np.ndarray
+    weights: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    to: np.ndarray
+    digests: np.ndarray
+
+
+def units(text: str) -> Units | None:
+    """Units and keys of ``text``; None without a word.  The first digest is the whole text's, then one a unit."""
+    # a lone surrogate cannot be hashed; it counts as a replacement character
+    text = text if text.isascii() else text.encode("utf-8", "replace").decode()
+    code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    kind = np.full(len(code) + 2, _SPACE, np.uint8)
+    kind[1:-1] = _CLASSES[np.minimum(code, len(_CLASSES) - 1)]
+    # a word also ends after a full stop of a script without spaces
+    space, part = kind & _SPACE > 0, kind & (_SPACE | _FULL) > 0
+    starts = np.flatnonzero(~space[1:-1] & part[:-2])
+    stops = np.flatnonzero(~space[1:-1] & (space[2:] | (kind[1:-1] & _FULL > 0))) + 1
+    n = len(starts)
+    if not n:
+        return None
+    words = text.lower().split()
+    if len(words) != n:
+        words = [text[a:b].lower() for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
+    hashes = np.array([*map(word_hash, words)], np.uint64)
+    # sentence ends: a full stop with closing marks before a blank, the end of a line
+    tail = stops.copy()
+    while (closing := (kind[tail] & _CLOSER > 0) & (tail > starts + 1)).any():
+        tail -= closing
+    blank = np.zeros(n, bool)
+    blank[stops < len(code)] = np.isin(code[stops[stops < len(code)]], (9, 32))
+    ends = (kind[tail] & _ENDER > 0) & blank | (kind[stops] & _FULL > 0)
+    line = np.searchsorted(np.flatnonzero(kind & _LINE), starts + 1)
+    ends[:-1] |= line[1:] != line[:-1]
+    ends[-1] = True
+    sizes = np.diff(np.flatnonzero(ends), prepend=-1)
+    ends |= (np.repeat(sizes, sizes) > LONG) & (hashes % np.uint64(CUT) == 0)
+    last = np.flatnonzero(ends)
+    first = np.concatenate(([0], last[:-1] + 1))
+    weights = np.arange(n + 1)
+    if not text.isascii():
+        lengths, wide = stops - starts, np.concatenate(([0], np.cumsum(kind[1:-1] & _WIDE > 0)))
+        weights[1:] = np.cumsum(np.where((lengths > LONG_WORD) & (wide[stops] > wide[starts]), lengths // 2, 1))
+    to = np.minimum(np.searchsorted(weights[last + 1], weights[first] + SHORT), len(last) - 1)
+    power, inverse = _powers(max(12, int(n).bit_length()))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * power[:n], dtype=np.uint64)))
+    a, b = np.concatenate(([0], first)), np.concatenate(([n], last[to] + 1))
+    mixed = (sums[b] - sums[a]) * inverse[a] + (b - a).astype(np.uint64)
+    mixed[:1] += np.uint64(1 << 63)
+    for _ in range(2):
+        mixed = (mixed ^ (mixed >> np.uint64(31))) * _SCRAMBLE
+    return Units(starts, stops, weights, first, last, to, mixed.view(np.int64))
+
+
+def _keys(found: Units) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the keys to look up, and which of them the text has before; key 0 is the whole text, key k unit k - 1's."""
+    number = np.arange(len(found.first))
+    _, at, back = np.unique(found.digests[1:], return_index=True, return_inverse=True)
+    own = at[back] == number
+    # an occurrence that overlaps the text's first one is part of it
+    again = ~own & (found.to[at[back]] < number)
+    asked = np.flatnonzero(own | again)
+    return np.concatenate(([0], asked + 1)), np.concatenate(([False], again[asked]))
+
+
+def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
-            count, order, again, digests = [], [], [], []
+            count, order, again, digests = [], [np.zeros(0, np.int64)], [np.zeros(0, bool)], [np.zeros(0, np.int64)]
             for t in part.column(2):
-                seen: dict[int, int] = {}
-                before = len(order)
-                for k, (i, j, d) in enumerate(keys(t.as_py())[1]):
-                    first = seen.setdefault(d, j)
-                    # an occurrence that overlaps the text's first one is part of it
-                    if first == j or first < i:
-                        order.append(k)
-                        again.append(first < i)
-                        digests.append(d)
-                count.append(len(order) - before)
+                found = units(t.as_py())
+                if found is None:
+                    count.append(0)
+                    continue
+                numbers, repeated = _keys(found)
+                order.append(numbers)
+                again.append(repeated)
+                digests.append(found.digests[numbers])
+                count.append(len(numbers))
             take = pa.array(np.repeat(np.arange(part.num_rows), count))
-            columns = [pa.array(digests, pa.int64()), part.column(0).take(take), part.column(1).take(take), pa.array(order, pa.int32()), pa.array(again, pa.bool_())]
+            columns = [pa.array(np.concatenate(digests)), part.column(0).take(take), part.column(1).take(take), pa.array(np.concatenate(order), pa.int32()), pa.array(np.concatenate(again))]
             yield pa.RecordBatch.from_arrays(columns, names=["digest", "doc_id", "doc_digest", "n", "again"])
 
 
-def fine_spans(text: str, gone: set[int], min_words: int) -> tuple[list[dict], int]:
+def removed_spans(text: str, gone: list[int], min_words: int) -> tuple[list[dict], int]:
     """Spans of ``text`` to remove, and their words, where the keys numbered ``gone`` are repeated."""
-    found, asked = keys(text)
+    found = units(text)
+    if found is None:
+        return [], 0
     if 0 in gone:
-        return [{"start": found[0][0], "end": found[-1][1]}], sum(u[2] for u in found)
-    held = np.zeros(len(found) + 1, bool)
-    for k in gone:
-        held[asked[k][0] : asked[k][1] + 1] = True
-    edges = np.flatnonzero(np.diff(np.concatenate(([False], held)).astype(np.int8)))
+        return [{"start": int(found.starts[0]), "end": int(found.stops[-1])}], len(found.starts)
+    unit = np.asarray(gone) - 1
+    edge = np.bincount(unit, minlength=len(found.first) + 1) - np.bincount(found.to[unit] + 1, minlength=len(found.first) + 1)
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], np.cumsum(edge) > 0)).astype(np.int8)))
     out, total = [], 0
     for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-        start, end, words = found[a][0], found[b - 1][1], sum(u[2] for u in found[a:b])
-        if _weight(text[start:end], words) >= min_words:
-            out.append({"start": start, "end": end})
-            total += words
+        one, end = found.first[a], found.last[b - 1] + 1
+        if found.weights[end] - found.weights[one] >= min_words:
+            out.append({"start": int(found.starts[one]), "end": int(found.stops[end - 1])})
+            total += int(end - one)
     return out, total
 
 
-def _looked_up(min_unit: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                count, order, again, digests = [], [], [], []
-                for t in part.column(2):
-                    seen: set[int] = set()
-                    rows = [(k, d) for k, (_, _, words, d) in enumerate(units(t.as_py())) if words >= min_unit]
-                    for k, d in rows:
-                        order.append(k)
-                        again.append(d in seen)
-                        seen.add(d)
-                        digests.append(d)
-                    count.append(len(rows))
-                take = pa.array(np.repeat(np.arange(part.num_rows), count))
-                columns = [pa.array(digests, pa.int64()), part.column(0).take(take), part.column(1).take(take), pa.array(order, pa.int32()), pa.array(again, pa.bool_())]
-                yield pa.RecordBatch.from_arrays(columns, names=["digest", "doc_id", "doc_digest", "n", "again"])
-
-    return run
-
-
-def _cut(min_words: int, min_unit: int | None):
-    def spans(text: str, gone: set[int]) -> tuple[list[dict], int]:
-        out, total, run = [], 0, []
-
-        def close() -> None:
-            nonlocal total
-            while run and run[-1][2] < min_unit:
-                run.pop()
-            size = sum(u[2] for u in run)
-            # short units between removed ones do not count towards the least size
-            if run and sum(u[2] for u in run if u[2] >= min_unit) >= min_words:
-                out.append({"start": run[0][0], "end": run[-1][1]})
-                total += size
-            run.clear()
-
-        for n, unit in enumerate(units(text)):
-            if n in gone or run and unit[2] < min_unit:
-                run.append(unit)
-            else:
-                close()
-        close()
-        return out, total
-
+def _cut(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
@@ -180,7 +181,7 @@ def _cut(min_words: int, min_unit: int | None):
                 part = batch.slice(at, 256)
                 texts, removed, words = [], [], []
                 for text, gone in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                    found, n = ([], 0) if not gone else fine_spans(text, set(gone), min_words) if min_unit is None else spans(text, set(gone))
+                    found, n = removed_spans(text, gone, min_words) if gone else ([], 0)
                     ends = [0, *(x["end"] for x in found)]
                     starts = [*(x["start"] for x in found), len(text)]
                     texts.append("".join(text[a:b] for a, b in zip(ends, starts, strict=True)) if found else text)
@@ -191,41 +192,40 @@ def _cut(min_words: int, min_unit: int | None):
     return run
 
 
-def later_units(docs: DataFrame, min_unit: int | None = 4) -> DataFrame:
-    """(doc_id, doc_digest, gone): numbers of a document's units that an earlier document, or the document before, has.
-
-    With no ``min_unit`` they are numbers of its ``keys``.
+def later_units(docs: DataFrame) -> DataFrame:
+    """(doc_id, doc_digest, gone): numbers of a document's keys that an earlier document, or the document before, has.
 
-    Only digests with ranks travel, no texts; a digest is combined with its smallest
-    doc_id before the shuffle, so a line of a third of all documents is one row a task.
+    Only digests with ranks travel, no texts.  A digest is combined with its least
+    and greatest doc_id before the shuffle; the repeated ones are written, so that
+    the look-up joins two plain exchanges, of which adaptive execution splits a
+    line of a third of all documents.  ``doc_digest`` tells rows of one doc_id apart.
     """
-    once = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).select("doc_id", F.xxhash64("text").alias("doc_digest"), "text")
-    found, _ = materialize(once.mapInArrow(_looked_up_fine if min_unit is None else _looked_up(min_unit), "digest long, doc_id long, doc_digest long, n int, again boolean"), "substring-units")
+    once = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).select("doc_id", F.hash("text").alias("doc_digest"), "text")
+    found, _ = materialize(once.mapInArrow(_looked_up, "digest long, doc_id long, doc_digest int, n int, again boolean"), "substring-units")
     fresh = found.where("NOT again").select("digest", "doc_id", "doc_digest", "n")
-    one = fresh.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n_rows"), F.count("doc_id").alias("n_ids"))
-    first = one.where("first <> last OR (n_ids > 0 AND n_ids < n_rows)").select("digest", "first")
-    later = fresh.join(first, "digest").where(~F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "doc_digest", "n")
+    one = fresh.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("nameless"))
+    # where only rows without doc_id have a digest, all stay
+    repeated, _ = materialize(one.where("first <> last OR (nameless AND first IS NOT NULL)").select(F.col("digest").alias("key"), "first"), "substring-first")
+    later = fresh.join(repeated, F.col("digest") == F.col("key")).where(~F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "doc_digest", "n")
     both = later.unionByName(found.where("again").select("doc_id", "doc_digest", "n"))
     return both.groupBy("doc_id", "doc_digest").agg(F.collect_set("n").alias("gone"))
 
 
-def dedup_substrings(docs: DataFrame, min_words: int = 30, min_unit: int | None = 4) -> DataFrame:
+def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, text, removed, n_removed_words) of every row of ``docs`` (doc_id, text).
 
     ``removed`` holds the spans' offsets in the original text, in code points
-    (empty: none), and ``text`` what is left.  Units of fewer than ``min_unit``
-    words are not looked up; inside a removed run they go too.  With no
-    ``min_unit`` units are finer, short ones are looked up with what follows, and a
-    copy of a whole text goes whatever its length.  A null text counts as empty.  Rows of one doc_id rank alike: what only they share stays in each,
-    and each row is returned; null ids rank last.  An empty table gives no rows;
-    other columns are ignored.
+    (empty: none), and ``text`` what is left.  A copy of a whole text goes whatever
+    its length.  A null text counts as empty.  Rows of one doc_id rank alike: what
+    only they share stays in each, and each row is returned; null ids rank last.  An
+    empty table gives no rows; other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    gone = later_units(docs, min_unit).select(F.col("doc_id").alias("__id"), F.col("doc_digest").alias("__digest"), "gone")
-    joined = rows.join(gone, rows["doc_id"].eqNullSafe(gone["__id"]) & (F.xxhash64(rows["text"]) == gone["__digest"]), "left")
+    gone = later_units(docs).select(F.col("doc_id").alias("__id"), F.col("doc_digest").alias("__digest"), "gone")
+    joined = rows.join(gone, rows["doc_id"].eqNullSafe(gone["__id"]) & (F.hash(rows["text"]) == gone["__digest"]), "left")
     schema = "doc_id long, text string, removed array<struct<start:int,end:int>>, n_removed_words long"
-    return joined.select("doc_id", "text", "gone").mapInArrow(_cut(min_words, min_unit), schema)
+    return joined.select("doc_id", "text", "gone").mapInArrow(_cut(min_words), schema)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_substrings(table(spark, sf_dir, "documents"), min_words=_MIN_WORDS, min_unit=None)
+    return dedup_substrings(table(spark, sf_dir, "documents"))

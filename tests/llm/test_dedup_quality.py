@@ -181,33 +181,63 @@ def test_clean_labelled_documents_stay_and_junk_goes(spark):
     assert all(r["kept"] == bool(r["quality"]) for r in got) and len(got) > 100
 
 
-def slow_substrings(rows, min_words=30, min_unit=4):
-    first = {}
+def slow_units(text):
+    """(start, end, words) of each unit, by a walk over the text that shares no code with the operator."""
+    out, held = [], []
+    sentence = []
+    tokens = [(m.start(), m.end()) for m in re.finditer(r"[^\s。！？]*[。！？]|[^\s。！？]+", text)]
+    for k, (a, b) in enumerate(tokens):
+        sentence.append((a, b, text[a:b].lower()))
+        gap = text[b : tokens[k + 1][0]] if k + 1 < len(tokens) else "\n"
+        if "\n" in gap or text[b - 1] in "。！？" or gap[:1] in (" ", "\t") and re.search(r"[.!?…][\"')\]]*$", text[a:b]):
+            for n, (x, y, w) in enumerate(sentence, 1):
+                held.append((x, y, w))
+                if n == len(sentence) or len(sentence) > 12 and xxhash.xxh3_64_intdigest(w) % 4 == 0:
+                    out.append((held[0][0], held[-1][1], [w for _, _, w in held]))
+                    held = []
+            sentence = []
+    return out
+
+
+def slow_keys(text):
+    """(first unit, last unit, words) of the whole text, then of each unit with what follows up to four words."""
+    found = slow_units(text)
+    weigh = lambda ws: sum(len(w) // 2 if len(w) > 24 and not w.isascii() else 1 for w in ws)
+    out = [(0, len(found) - 1, ("whole", *(w for u in found for w in u[2])))] if found else []
+    for i in range(len(found)):
+        j = i
+        while weigh(w for u in found[i : j + 1] for w in u[2]) < 4 and j + 1 < len(found):
+            j += 1
+        out.append((i, j, tuple(w for u in found[i : j + 1] for w in u[2])))
+    return found, out, weigh
+
+
+def slow_substrings(rows, min_words=22):
+    ids = {}
     for i, t in rows:
-        for u in op4.units(t or ""):
-            if u[2] >= min_unit:
-                a = first.setdefault(u[3], i)
-                first[u[3]] = i if a is None else a if i is None else min(a, i)
+        for _, _, ws in slow_keys(t or "")[1]:
+            ids.setdefault(ws, set()).add(i)
     out = []
     for i, t in rows:
-        t, seen, spans, run = t or "", set(), [], []
-
-        def close():
-            while run and run[-1][2] < min_unit:
-                run.pop()
-            if sum(u[2] for u in run if u[2] >= min_unit) >= min_words:
-                spans.append((run[0][0], run[-1][1]))
-            run.clear()
-
-        for u in op4.units(t):
-            gone = u[2] >= min_unit and (u[3] in seen or first[u[3]] != i)
-            if u[2] >= min_unit:
-                seen.add(u[3])
-            if gone or run and u[2] < min_unit:
-                run.append(u)
-            else:
-                close()
-        close()
+        t = t or ""
+        found, keys, weigh = slow_keys(t)
+        seen, gone = {}, [False] * len(found)
+        for a, b, ws in keys:
+            rest = [x for x in ids[ws] if x is not None]
+            earlier = any(i is None or x < i for x in rest)
+            overlapped = ws in seen and seen[ws] >= a
+            if ws in seen and seen[ws] < a or earlier and not overlapped:
+                gone[a : b + 1] = [True] * (b + 1 - a)
+            seen.setdefault(ws, b)
+        whole = bool(keys) and any(i is None or x < i for x in ids[keys[0][2]] if x is not None)
+        spans, k = [], 0
+        while k < len(found):
+            e = k
+            while e < len(found) and gone[e]:
+                e += 1
+            if e > k and (whole or weigh(w for u in found[k:e] for w in u[2]) >= min_words):
+                spans.append((found[k][0], found[e - 1][1]))
+            k = e + 1
         ends, starts = [0, *(b for _, b in spans)], [*(a for a, _ in spans), len(t)]
         out.append((i, "".join(t[a:b] for a, b in zip(ends, starts)), tuple(spans)))
     return out
@@ -236,13 +266,18 @@ def test_substring_dedup_equals_slow_code(spark):
     assert op4.dedup_substrings(docs(spark, [])).count() == 0
 
 
-def test_units_cover_words_and_cuts_agree():
-    text = "One two. Three four five!\n" + " ".join(f"w{k}" for k in range(200)) + "\n\n  end"
-    found = op4.units(text)
-    assert sum(u[2] for u in found) == len(text.split())
-    assert [text[a:b] for a, b, _, _ in found][:2] == ["One two.", "Three four five!"] and found[-1][2] == 1
-    moved = op4.units("zero " + text)
-    assert {u[3] for u in found[2:]} <= {u[3] for u in moved}
+def test_units_equal_a_walk_over_the_text():
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["word ", "a", "B. ", "c.\") ", "\n", "日本。", "！", " ", "\t", "é", ".x ", "\x1cq ", "İ ", "long" * 9 + "é "]) for _ in range(rng.randrange(120))) for _ in range(400)]
+    for text in [*texts, "One two. Three four five!\n" + " ".join(f"w{k}" for k in range(200)) + "\n\n  end"]:
+        found, slow = op4.units(text), slow_keys(text)
+        if found is None:
+            assert not slow[0]
+            continue
+        assert [(int(found.starts[a]), int(found.stops[b])) for a, b in zip(found.first, found.last)] == [u[:2] for u in slow[0]]
+        assert found.to.tolist() == [j for _, j, _ in slow[1][1:]]
+        same = {}
+        assert all(same.setdefault(d, ws) == ws for d, (_, _, ws) in zip(found.digests.tolist(), slow[1])) and len(same) == len({ws for _, _, ws in slow[1]})
 
 
 def query_substrings(spark, tmp_path, rows):
