@@ -7,7 +7,7 @@ import pytest
 
 from spindrift.functions.simplex import supports
 from spindrift.operators import interpolate, trace
-from spindrift.operators.align import align, alignment_zone
+from spindrift.operators import align
 from tests.meshes import CUBE, TETRA, mesh
 
 
@@ -85,28 +85,52 @@ def test_advection_over_frames(spark):
     assert rows[1]["moves"] == 3 and rows[1]["x"] == pytest.approx(0.7)
 
 
-def test_alignment_recovers_a_similarity():
+def cloud(spark, points):
+    return spark.createDataFrame([tuple(map(float, p)) for p in points], "x double, y double, z double")
+
+
+def test_alignment_recovers_a_similarity(spark):
     rng = np.random.default_rng(7)
     source = rng.uniform(-1, 1, (3000, 3)) * (5000, 1200, 700)
     a = math.radians(13)
     turn = np.array([[math.cos(a), -math.sin(a), 0], [math.sin(a), math.cos(a), 0], [0, 0, 1]])
     target = 0.001 * source @ turn.T + (1.3, -0.25, 0.6)
-    fit = align(source, target)
-    assert fit.transform.scale == pytest.approx(0.001, rel=1e-6) and fit.confidence == "high"
-    assert np.abs(fit.transform.rotation - turn).max() < 1e-6 and np.abs(fit.transform.translation - (1.3, -0.25, 0.6)).max() < 1e-6
+    odd = [(float("nan"), 0.0, 0.0), (9e9, 9e9, 9e9), tuple(source[0])]
+    fit = align.align_tables(cloud(spark, [*source, *odd]), cloud(spark, target))
+    assert fit.transform.scale == pytest.approx(0.001, rel=1e-7) and fit.confidence == "high"
+    assert np.abs(fit.transform.rotation - turn).max() < 1e-7 and np.abs(fit.transform.translation - (1.3, -0.25, 0.6)).max() < 1e-7
 
 
-def test_alignment_as_columns_and_zone_choice(spark):
-    from spindrift.operators.align import Similarity
+def test_nearest_points_and_paired_fit_equal_brute_force(spark):
+    rng = np.random.default_rng(3)
+    points, targets = rng.normal(size=(80, 3)) * (9, 3, 1), rng.normal(size=(60, 3))
+    rows = [(k, *map(float, p)) for k, p in enumerate(points)]
+    for step in (0.05, 2.0, 100.0):
+        got = align.nearest_points(spark.createDataFrame(rows, "id long, x double, y double, z double"), cloud(spark, targets), step, targets.min(axis=0)).collect()
+        best = {k: min(((p - t) ** 2).sum() for t in targets) for k, p in enumerate(points)}
+        assert len(got) == len(points) and all(r["d2"] == pytest.approx(best[r["id"]]) for r in got)
+    turn = np.linalg.qr(rng.normal(size=(3, 3)))[0]
+    turn *= np.linalg.det(turn)
+    pairs = [(*map(float, p), *map(float, 2.5 * turn @ p + (1, 2, 3))) for p in points]
+    fit = align.fit_pairs(spark.createDataFrame(pairs, "x double, y double, z double, tx double, ty double, tz double"))
+    assert fit.scale == pytest.approx(2.5) and np.allclose(fit.rotation, turn) and np.allclose(fit.translation, (1, 2, 3))
+
 
-    move = Similarity(2.0, np.array([[0, -1, 0], [1, 0, 0], [0, 0, 1.0]]), np.array([1.0, 0, 0]))
+def test_surface_of_a_solid_cloud(spark):
+    grid = np.stack(np.meshgrid(*[np.arange(7)] * 3), axis=-1).reshape(-1, 3)
+    got = {tuple(r) for r in align.surface_of(cloud(spark, grid), bins=7).collect()}
+    assert got == {tuple(map(float, p)) for p in grid if 0 in p or 6 in p}
+
+
+def test_alignment_as_columns_and_zone_choice(spark):
+    move = align.Similarity(2.0, np.array([[0, -1, 0], [1, 0, 0], [0, 0, 1.0]]), np.array([1.0, 0, 0]))
     r = move.transform(spark.createDataFrame([(9, 1.0, 2.0, 3.0)], "point_id long, x double, y double, z double")).first()
     assert (r["point_id"], r["x"], r["y"], r["z"]) == (9, -3, 2, 6)
-    assert alignment_zone(["0_Fluid", "1_Wall_hull"]) == "1_Wall_hull"
+    assert align.alignment_zone(["0_Fluid", "1_Wall_hull"]) == "1_Wall_hull"
     with pytest.raises(ValueError):
-        alignment_zone(["0_Fluid"])
+        align.alignment_zone(["0_Fluid"])
     with pytest.raises(ValueError):
-        align(np.zeros((3, 3)), np.zeros((9, 3)))
+        align.align_tables(cloud(spark, np.eye(3)), cloud(spark, np.zeros((9, 3))))
 
 
 def test_registered_streamlines_run_to_their_ends(spark, sf_dir):
