@@ -61,7 +61,7 @@ def range_var(cell_scalar: DataFrame, var: str, lower: float, upper: float, step
     if normalize:
         lower, upper = min(lower, upper), max(lower, upper)
     inside = F.col("value").between(lower, upper) & ~F.isnan("value")
-    return of(cell_scalar, var, step).where(inside).select("cell_id").distinct()
+    return of(cell_scalar, var, step).where(inside).select("cell_id")
 
 
 def range_coord(cells: DataFrame, lower: Sequence[float], upper: Sequence[float], mode: str = "aabb") -> DataFrame:
@@ -99,7 +99,9 @@ def frame_statistics(cell_scalar: DataFrame, node_scalar: DataFrame | None = Non
     if node_scalar is None:
         return at_cells
     at_nodes = _statistics(of(node_scalar, var, step), "node")
-    return at_nodes.unionByName(at_cells.join(at_nodes.select("step", "var"), ["step", "var"], "left_anti"))
+    # frames and variables with a finite nodal value, without computing their statistics again
+    nodal = of(node_scalar, var, step).where(finite(F.col("value")).isNotNull()).select("step", "var").distinct()
+    return at_nodes.unionByName(at_cells.join(nodal, ["step", "var"], "left_anti"))
 
 
 def nodal_extrema(requests: DataFrame, node_source: DataFrame, node_scalar: DataFrame, var: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from spindrift.functions.geometry import box_tolerance, finite, point_in_box
 from spindrift.functions.simplex import supports
+from spindrift.functions.storage import materialize
 from spindrift.operators.fields import node_projection
 from spindrift.operators.locate import Grid, candidates, grid_of
 from spindrift.operators.surface import cell_points
@@ -56,12 +57,14 @@ def located_supports(points: DataFrame, mesh: Mesh, grid: Grid | None = None, to
     grid = grid or grid_of(mesh.cells)
     eps = box_tolerance(grid.low(), [o + s * n for o, s, n in zip(grid.origin, grid.step, grid.dims, strict=True)])
     pairs = candidates(points, mesh.cells, grid, eps).select("point_id", "x", "y", "z", "cell_id")
+    # both tables are read several times: written, the join and the exact test run once
+    pairs = materialize(pairs, "couple-pairs")
     shapes = cell_points(mesh, pairs.select("cell_id"))
     flat = shapes.select("cell_id", F.flatten(F.transform("pts", lambda p: F.array(p["x"], p["y"], p["z"]))).alias("corners"), F.col("pts.node_id").alias("ids"))
     held = pairs.join(flat, "cell_id").select("point_id", "x", "y", "z", "cell_id", "corners", "ids").mapInArrow(_find(tolerance), _SUPPORT)
     order = F.struct("margin", (-F.col("condition")).alias("c"), (-F.col("cell_id")).alias("i"))
     best = held.groupBy("point_id").agg(F.max_by(F.struct("cell_id", "nodes", "weights", "error", "condition", "margin"), order).alias("s"))
-    return pairs, best.select("point_id", "s.*")
+    return pairs, materialize(best.select("point_id", "s.*"), "couple-supports")
 
 
 def couple(points: DataFrame, mesh: Mesh, variables: Sequence[str], step: int, grid: Grid | None = None, tolerance: float = 1e-9, node_values: DataFrame | None = None) -> DataFrame:

@@ -1,38 +1,49 @@
 """Point location: grid-bucketed equi-joins instead of theta joins.
 
-Cells enter a pyramid of grids: each at the finest level at which its box spans at
-most two buckets an axis, hence at most eight rows a cell however large it is.  A
-point probes its bucket at each level that boxes of the mesh's widths can be at.  Both sides meet on (level, ix, iy,
-iz), which hashes and splits like any equi-join.
+Buckets start at the width of the narrowest box and double with each level, axis by
+axis.  A cell enters the grid of the level whose buckets are at least its box's
+width, along each axis by itself, so it spans two buckets an axis at most, and a
+bucket holds few cells of its level, however the mesh is graded.  A point probes its
+bucket at each combination of levels that cells use.  Both sides meet on (levels,
+ix, iy, iz), which hashes and splits like any equi-join.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.functions.geometry import EPS, dot, minus, point_in_box
 
-DEEPEST = 12
+#: Most buckets an axis, as a power of two, and most combinations of levels that a point probes.
+DEEPEST, PROBES = 30, 64
 
 
 @dataclass(frozen=True)
 class Grid:
-    """Origin, bucket size and number of buckets by axis; the first and last level of the pyramid that cells use."""
+    """Origin, bucket size and number of buckets by axis; the combinations of levels that cells use, in multiples of ``quantum``."""
 
     origin: tuple[float, float, float]
     step: tuple[float, float, float]
     dims: tuple[int, int, int]
-    levels: tuple[int, int] = (0, DEEPEST)
+    levels: tuple[tuple[int, int, int], ...] = ((0, 0, 0),)
+    quantum: int = 1
 
     def bucket(self, value: Column, axis: int, level: int = 0) -> Column:
         """Bucket of a coordinate, clamped to the grid."""
         at = F.floor((value - self.origin[axis]) / (self.step[axis] * (1 << level)))
         return F.least(F.greatest(at, F.lit(0)), F.lit((self.dims[axis] - 1) >> level)).cast("long")
 
+    def level(self, axis: int, quantum: int | None = None) -> Column:
+        """Level of a cell along an axis: its buckets are at least as wide as the cell's box."""
+        a, q = "xyz"[axis], quantum or self.quantum
+        ratio = (F.col(f"{a}max") - F.col(f"{a}min")) / self.step[axis] * (1 - 1e-9)
+        exact = F.when(ratio > 1, F.ceil(F.log2(ratio))).otherwise(0)
+        return F.least(F.ceil(exact / q) * q, F.lit(max(self.dims[axis] - 1, 0).bit_length())).cast("int")
+
     def low(self) -> list[float]:
         return list(self.origin)
 
@@ -42,24 +53,28 @@ LOCATOR, ORDERING = (80, 80, 40), (64, 64, 64)
 
 
 def grid_of(cells: DataFrame, dims: tuple[int, int, int] | None = None) -> Grid:
-    """Grid over the bounds of ``cells``, by default with buckets of the mean cell's size.
+    """Grid over the bounds of ``cells``, by default with buckets of the narrowest box's width.
 
-    One row of bounds and widths reaches the driver.
+    A row of bounds and widths and the combinations of levels reach the driver, at
+    most DEEPEST to the third power; where they are over PROBES, levels are rounded up.
     """
     sides = [e for a in "xyz" for e in (F.min(f"{a}min").alias(f"{a}0"), F.max(f"{a}max").alias(f"{a}1"))]
-    widths = [e for a in "xyz" for e in (F.min(F.col(f"{a}max") - F.col(f"{a}min")).alias(f"{a}w"), F.max(F.col(f"{a}max") - F.col(f"{a}min")).alias(f"{a}W"), F.avg(F.col(f"{a}max") - F.col(f"{a}min")).alias(f"{a}m"))]
-    b = cells.agg(*sides, *widths).first()
+    width = {a: F.col(f"{a}max") - F.col(f"{a}min") for a in "xyz"}
+    b = cells.agg(*sides, *(F.min(F.when(w > 0, w)).alias(f"{a}w") for a, w in width.items())).first()
     if b is None or b["x0"] is None:
-        return Grid((0.0, 0.0, 0.0), (1.0, 1.0, 1.0), (1, 1, 1), (0, 0))
+        return Grid((0.0, 0.0, 0.0), (1.0, 1.0, 1.0), (1, 1, 1))
     if dims is None:
-        dims = tuple(int(min(max(math.ceil((b[f"{a}1"] - b[f"{a}0"]) / max(b[f"{a}m"], 1e-12)), 1), 1 << DEEPEST)) for a in "xyz")  # type: ignore[assignment]
+        span = [b[f"{a}1"] - b[f"{a}0"] for a in "xyz"]
+        dims = tuple(int(min(max(math.ceil(s / (b[f"{a}w"] or 1.0)), 1), 1 << DEEPEST)) for a, s in zip("xyz", span, strict=True))  # type: ignore[assignment]
     step = tuple(max((b[f"{a}1"] - b[f"{a}0"]) / n, 1e-12) for a, n in zip("xyz", dims, strict=True))
-    # a box of up to one bucket's width spans two at most, one of over two buckets' width at least three
-    top = min(DEEPEST, max(n - 1 for n in dims).bit_length())
-    last = max(b[f"{a}W"] / s for a, s in zip("xyz", step, strict=True)) * (1 + 1e-6)
-    first = max(b[f"{a}w"] / s for a, s in zip("xyz", step, strict=True)) / 2 * (1 - 1e-6)
-    level = lambda w: 0 if w <= 1 else min(top, math.ceil(math.log2(w)))
-    return Grid(tuple(b[f"{a}0"] for a in "xyz"), step, dims, (level(first), level(last)))  # type: ignore[arg-type]
+    grid = Grid(tuple(b[f"{a}0"] for a in "xyz"), step, dims)  # type: ignore[arg-type]
+    exact = [tuple(r) for r in cells.select(*(grid.level(i).alias(a) for i, a in enumerate("xyz"))).distinct().collect()]
+    tops = [max(n - 1, 0).bit_length() for n in dims]
+    for quantum in range(1, DEEPEST + 1):
+        used = sorted({tuple(min(-(-k // quantum) * quantum, top) for k, top in zip(levels, tops, strict=True)) for levels in exact})
+        if len(used) <= PROBES:
+            break
+    return replace(grid, levels=tuple(used), quantum=quantum)
 
 
 def grid_buckets(cells: DataFrame, grid: Grid, mode: str = "aabb") -> DataFrame:
@@ -72,45 +87,45 @@ def grid_buckets(cells: DataFrame, grid: Grid, mode: str = "aabb") -> DataFrame:
     return out.select("ix", "iy", "iz", "cell_id")
 
 
-def _levelled(cells: DataFrame, grid: Grid, eps: float) -> DataFrame:
-    """A row for each bucket of a cell at its level; at the last level any number of buckets is taken."""
-    low, high = grid.levels
-    spans = []
-    for level in range(low, high):
-        ok = [grid.bucket(F.col(f"{a}max") + eps, i, level) - grid.bucket(F.col(f"{a}min") - eps, i, level) <= 1 for i, a in enumerate("xyz")]
-        spans.append(F.when(ok[0] & ok[1] & ok[2], level))
-    placed = cells.withColumn("level", F.coalesce(*spans, F.lit(high)))
-    at = lambda e, i: F.coalesce(*(F.when(F.col("level") == k, grid.bucket(e, i, k)) for k in range(low, high + 1)))
+def bucketed(cells: DataFrame, grid: Grid, eps: float = 0.0) -> DataFrame:
+    """A row for each bucket that a cell's box, widened by ``eps``, overlaps at its levels."""
+    out = cells.select("cell_id", "cx", "cy", "cz", *(f"{a}{s}" for a in "xyz" for s in ("min", "max")), *(grid.level(i).alias(f"l{a}") for i, a in enumerate("xyz")))
     for i, a in enumerate("xyz"):
-        placed = placed.withColumn(f"i{a}", F.explode(F.sequence(at(F.col(f"{a}min") - eps, i), at(F.col(f"{a}max") + eps, i))))
-    return placed
+        used = sorted({levels[i] for levels in grid.levels})
+        at = lambda e: F.coalesce(*(F.when(F.col(f"l{a}") == k, grid.bucket(e, i, k)) for k in used))  # noqa: B023, E731
+        out = out.withColumn(f"i{a}", F.explode(F.sequence(at(F.col(f"{a}min") - eps), at(F.col(f"{a}max") + eps))))
+    return out
+
+
+_KEYS = [f"{k}{a}" for k in "li" for a in "xyz"]
 
 
-def candidates(points: DataFrame, cells: DataFrame, grid: Grid, eps: float = 0.0) -> DataFrame:
-    """Pairs of ``points`` (point_id, x, y, z) and cells whose box, widened by ``eps``, holds the point; each pair once."""
+def candidates(points: DataFrame, cells: DataFrame, grid: Grid, eps: float = 0.0, boxes: DataFrame | None = None) -> DataFrame:
+    """Pairs of ``points`` (point_id, x, y, z) and cells whose box, widened by ``eps``, holds the point; each pair once.
+
+    ``boxes`` are the cells as ``bucketed`` deals them, for callers that ask often.
+    """
     low, high = grid.low(), [o + s * n for o, s, n in zip(grid.origin, grid.step, grid.dims, strict=True)]
     slack = [1e-9 * max(1.0, abs(a), abs(b)) + eps for a, b in zip(low, high, strict=True)]
     at = [F.col(a) for a in "xyz"]
     inside = points.where(point_in_box(at, [a - s for a, s in zip(low, slack, strict=True)], [b + s for b, s in zip(high, slack, strict=True)]))
-    first, last = grid.levels
-    keys = [F.struct(F.lit(k).alias("level"), *(grid.bucket(F.col(a), i, k).alias(f"i{a}") for i, a in enumerate("xyz"))) for k in range(first, last + 1)]
+    keys = [F.struct(*(F.lit(k).cast("int").alias(f"l{a}") for a, k in zip("xyz", levels, strict=True)), *(grid.bucket(F.col(a), i, levels[i]).alias(f"i{a}") for i, a in enumerate("xyz"))) for levels in grid.levels]
     probes = inside.select("point_id", "x", "y", "z", F.inline(F.array(*keys)))
-    boxes = _levelled(cells.select("cell_id", "cx", "cy", "cz", *(f"{a}{s}" for a in "xyz" for s in ("min", "max"))), grid, eps)
-    joined = probes.join(boxes, ["level", "ix", "iy", "iz"])
-    return joined.where(point_in_box(at, [F.col(f"{a}min") for a in "xyz"], [F.col(f"{a}max") for a in "xyz"], eps)).drop("level", "ix", "iy", "iz")
+    joined = probes.join(bucketed(cells, grid, eps) if boxes is None else boxes, _KEYS)
+    return joined.where(point_in_box(at, [F.col(f"{a}min") for a in "xyz"], [F.col(f"{a}max") for a in "xyz"], eps)).drop(*_KEYS)
 
 
 def _with_misses(points: DataFrame, hits: DataFrame, misses: bool) -> DataFrame:
     return points.join(hits, "point_id", "left").select(*points.columns, "cell_id") if misses else hits.select("point_id", "cell_id")
 
 
-def locate_nearest(points: DataFrame, cells: DataFrame, grid: Grid | None = None, misses: bool = True) -> DataFrame:
+def locate_nearest(points: DataFrame, cells: DataFrame, grid: Grid | None = None, misses: bool = True, boxes: DataFrame | None = None) -> DataFrame:
     """Cell of each point: of the boxes that hold it, that of the nearest box centre, ties to the smaller id.
 
     Misses are rows with a NULL cell, or absent if not ``misses``.
     """
     grid = grid or grid_of(cells)
-    found = candidates(points, cells, grid)
+    found = candidates(points, cells, grid, boxes=boxes)
     off = minus([F.col(a) for a in "xyz"], [(F.col(f"{a}min") + F.col(f"{a}max")) * 0.5 for a in "xyz"])
     hits = found.groupBy("point_id").agg(F.min_by("cell_id", F.struct(dot(off, off).alias("d"), "cell_id")).alias("cell_id"))
     return _with_misses(points, hits, misses)

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spindrift.functions.geometry import box_in_box
 from spindrift.operators import fields, gradient, interpolate, locate, surface, topology, trace
 from spindrift.sources.lattice import lattice_mesh, probe_points, with_lattice
 from spindrift.sources.model import Mesh
@@ -62,16 +63,17 @@ _on(lambda m: m.cell_nodes.select("cell_id", F.explode("node_ids").alias("node_i
 _on(lambda m: m.boundary_faces.where("patch = 'hull'"), "SELECT * FROM boundary_faces WHERE patch = 'hull'", "scan_boundary_faces")
 _on(lambda m: fields.wide(m.cell_scalar, ["U", "V", "W", "P"]), "SELECT step, cell_id, U, V, W, P FROM scalar_wide", "scan_scalar_wide")
 _on(lambda m: fields.of(m.cell_scalar, "P", STEP).select("value"), f"SELECT value FROM cell_scalar WHERE var = 'P' AND step = {STEP}", "scan_one_variable")
-_on(lambda m: surface.extract_submesh(m, m.cells.where("cell_id < 40"))["nodes"], "SELECT * FROM nodes WHERE node_id IN (SELECT node_id FROM cell_node WHERE cell_id < 40)", "scan_node_subset")
+_on(lambda m: surface.extract_submesh(m, m.cells.where(box_in_box(BOX_LOW, BOX_HIGH)))["nodes"], f"SELECT * FROM nodes WHERE node_id IN (SELECT node_id FROM cell_node JOIN cells USING (cell_id) WHERE {_MEMBER})", "scan_node_subset")
 
 
 # --- lookups and ranges ------------------------------------------------------
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = F.col("event_id").cast("long")
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select(e.alias("ord"), (e * 13 % 2500).alias("cell_id"))
+    """A request for each event, over all cells and some ids past the last."""
+    e, past = F.col("event_id").cast("long"), spark.read.parquet(f"{sf_dir}/part.parquet").count() + 500
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(e.alias("ord"), (e * 13 % past).alias("cell_id"))
 
 
-_REQUESTS = "(SELECT CAST(event_id AS BIGINT) AS ord, CAST(event_id * 13 % 2500 AS BIGINT) AS cell_id FROM events) r"
+_REQUESTS = "(SELECT CAST(event_id AS BIGINT) AS ord, CAST(event_id * 13 % (SELECT count(*) + 500 FROM part) AS BIGINT) AS cell_id FROM events) r"
 
 
 @query(f"SELECT ord, r.cell_id AS cell_id, value FROM {_REQUESTS} LEFT JOIN (SELECT * FROM cell_scalar WHERE var = 'P' AND step = {STEP}) s ON r.cell_id = s.cell_id")
@@ -203,8 +205,8 @@ _on(
     "frame_statistics_nodal_cell",
 )
 _on(
-    lambda m: fields.nodal_extrema(m.node_source.where("node_id % 3 = 0"), m.node_source, m.node_scalar, "T"),
-    "SELECT source_label, min(value) AS min, max(value) AS max FROM node_scalar JOIN node_source USING (node_id) WHERE var = 'T' AND node_id % 3 = 0 GROUP BY 1",
+    lambda m: fields.nodal_extrema(m.node_source, m.node_source, m.node_scalar, "T"),
+    "SELECT source_label, min(value) AS min, max(value) AS max FROM node_scalar JOIN node_source USING (node_id) WHERE var = 'T' GROUP BY 1",
     "point_extrema_nodal",
 )
 _on(
@@ -214,8 +216,8 @@ _on(
 )
 _AGGREGATE = f"count(value) AS count, {_r('sum(value)', 4)} AS sum, {_r('avg(value)')} AS mean, min(value) AS min, max(value) AS max"
 _on(
-    lambda m: fields.selection_aggregate(m.cells.where("cell_id % 7 = 0"), m.cell_scalar, "P", [STEP]).select("count", (F.round("sum", 4) + 0.0).alias("sum"), (F.round("mean", 7) + 0.0).alias("mean"), "min", "max"),
-    f"SELECT {_AGGREGATE} FROM cell_scalar WHERE var = 'P' AND step = {STEP} AND cell_id % 7 = 0",
+    lambda m: fields.selection_aggregate(m.cells.where(box_in_box(BOX_LOW, BOX_HIGH)), m.cell_scalar, "P", [STEP]).select("count", (F.round("sum", 4) + 0.0).alias("sum"), (F.round("mean", 7) + 0.0).alias("mean"), "min", "max"),
+    f"SELECT {_AGGREGATE} FROM cell_scalar WHERE var = 'P' AND step = {STEP} AND cell_id IN (SELECT cell_id FROM cells WHERE {_MEMBER})",
     "selection_aggregate",
 )
 _on(lambda m: fields.value_range(m.cell_scalar), "SELECT step, var, min(value) AS min, max(value) AS max FROM cell_scalar GROUP BY 1, 2", "value_range")
@@ -235,8 +237,8 @@ _on(
     "node_projection",
 )
 _on(
-    lambda m: rounded(topology.nodal_to_cell(m.cell_nodes, fields.node_projection(m.cell_nodes.where("cell_id < 700"), fields.of(m.cell_scalar, "U", STEP)))),
-    f"SELECT step, var, cell_id, {_r('avg(value)')} AS value FROM cell_node JOIN (SELECT step, var, node_id, avg(value) AS value FROM cell_node JOIN cell_scalar USING (cell_id) WHERE var = 'U' AND step = {STEP} AND cell_id < 700 GROUP BY 1, 2, 3) USING (node_id) GROUP BY 1, 2, 3 HAVING count(*) = 8",
+    lambda m: rounded(topology.nodal_to_cell(m.cell_nodes, fields.node_projection(m.cell_nodes, fields.of(m.cell_scalar, "U", STEP)))),
+    f"SELECT step, var, cell_id, {_r('avg(value)')} AS value FROM cell_node JOIN (SELECT step, var, node_id, avg(value) AS value FROM cell_node JOIN cell_scalar USING (cell_id) WHERE var = 'U' AND step = {STEP} GROUP BY 1, 2, 3) USING (node_id) GROUP BY 1, 2, 3 HAVING count(*) = 8",
     "nodal_to_cell",
 )
 _on(

@@ -68,10 +68,10 @@ def w10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_session(spark, sf_dir).cfd_frame_statistics(step=STEP))
 
 
-@query(f"SELECT node_id + 1 AS point_id, {_r('min(v)')} AS min, {_r('max(v)')} AS max FROM (SELECT node_id, step, avg(value) AS v FROM cell_node JOIN cell_scalar USING (cell_id) WHERE var = 'U' AND node_id % 50 = 0 AND node_id < 1600 GROUP BY 1, 2) GROUP BY 1")
+@query(f"SELECT node_id + 1 AS point_id, {_r('min(v)')} AS min, {_r('max(v)')} AS max FROM (SELECT node_id, step, avg(value) AS v FROM cell_node JOIN cell_scalar USING (cell_id) WHERE var = 'U' GROUP BY 1, 2) GROUP BY 1")
 def w11_extrema(spark: SparkSession, sf_dir: str) -> DataFrame:
     mesh = lattice_mesh(spark, sf_dir)
-    ids = spark.range(0, 1600, 50).select((F.col("id") + 1).alias("point_id"))
+    ids = mesh.nodes.select((F.col("node_id") + 1).alias("point_id"))
     return rounded(fields.projected_extrema(ids, mesh.cell_nodes, mesh.cell_scalar, "U"))
 
 

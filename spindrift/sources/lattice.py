@@ -87,10 +87,10 @@ def _boundary(cells: DataFrame, last: DataFrame) -> DataFrame:
 
 
 def probe_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(point_id, x, y, z) from events, some outside, some on faces."""
-    e = F.col("event_id")
+    """(point_id, x, y, z) from events all over the lattice, some outside, some on faces."""
+    e, layers = F.col("event_id"), -(-_table(spark, sf_dir, "part").count() // (NX * NY))
     at = lambda k, n: (e * k % n).cast("double") / 100.0 - 0.5
-    return _table(spark, sf_dir, "events").select(e.cast("long").alias("point_id"), at(37, 2100).alias("x"), at(53, 1100).alias("y"), at(71, 1150).alias("z"))
+    return _table(spark, sf_dir, "events").select(e.cast("long").alias("point_id"), at(37, 2100).alias("x"), at(53, 1100).alias("y"), at(71, 100 * layers + 150).alias("z"))
 
 
 def _values(rows: list[tuple]) -> str:
@@ -134,7 +134,7 @@ node_scalar AS ({_unpivoted("node_wide", "node_id", NODE_FIELDS)}),
 boundary_faces AS ({_face_sql()}),
 cell_source AS (SELECT cell_id, cell_id + 5000 AS source_label FROM cells),
 node_source AS (SELECT node_id, node_id + 1000 AS source_label FROM nodes),
-points AS (SELECT CAST(event_id AS BIGINT) AS point_id, CAST(event_id * 37 % 2100 AS DOUBLE) / CAST(100 AS DOUBLE) - 0.5 AS x, CAST(event_id * 53 % 1100 AS DOUBLE) / CAST(100 AS DOUBLE) - 0.5 AS y, CAST(event_id * 71 % 1150 AS DOUBLE) / CAST(100 AS DOUBLE) - 0.5 AS z FROM events)"""
+points AS (SELECT CAST(event_id AS BIGINT) AS point_id, CAST(event_id * 37 % 2100 AS DOUBLE) / CAST(100 AS DOUBLE) - 0.5 AS x, CAST(event_id * 53 % 1100 AS DOUBLE) / CAST(100 AS DOUBLE) - 0.5 AS y, CAST(event_id * 71 % (SELECT CAST(100 * ceil(count(*) / {NX * NY}.0) + 150 AS BIGINT) FROM part) AS DOUBLE) / CAST(100 AS DOUBLE) - 0.5 AS z FROM events)"""
 
 
 def with_lattice(query: str) -> str:

@@ -66,9 +66,13 @@ def zone_token(name: str) -> str:
 def write_mesh(mesh: Mesh, root: str, dataset: str, zone: str) -> None:
     """Replace the zone's topology and the written frames; other zones and frames stay.
 
-    Scalars that are not finite become NULL here, so that every aggregate skips them.
-    Tables are sorted by entity id inside files, which lets id ranges skip row groups.
+    A table without rows leaves none of the zone's former rows, and a frame that one
+    scalar table has now is no longer read from the other's former rows.  Scalars that
+    are not finite become NULL here, so that every aggregate skips them.  Tables are
+    sorted by entity id inside files, which lets id ranges skip row groups.
     """
+    spark = mesh.cells.sparkSession
+    held = {name: {r[0] for r in getattr(mesh, name).select("step").distinct().collect()} for name in FRAMES}
     for name, df in mesh.tables().items():
         keyed = df.withColumn("dataset", F.lit(dataset)).withColumn("zone", F.lit(zone_token(zone)))
         parts = ["dataset", "zone"]
@@ -82,6 +86,19 @@ def write_mesh(mesh: Mesh, root: str, dataset: str, zone: str) -> None:
         elif "cell_id" in df.columns or "node_id" in df.columns:
             keyed = keyed.sortWithinPartitions("cell_id" if "cell_id" in df.columns else "node_id")
         keyed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(f"{root}/{name}")
+        # overwriting by partition leaves those alone that get no rows
+        if name in FRAMES:
+            stale = [{"step": s} for s in sorted(set().union(*held.values()) - held[name])]
+        else:
+            stale = [{}] if df.isEmpty() else []
+        for keys in stale:
+            _drop_partition(spark, f"{root}/{name}", {"dataset": dataset, "zone": zone_token(zone), **keys})
+
+
+def _drop_partition(spark: SparkSession, path: str, keys: dict[str, str | int]) -> None:
+    escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    where = spark._jvm.org.apache.hadoop.fs.Path("/".join([path, *(f"{k}={escape(str(v))}" for k, v in keys.items())]))
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import math
 
 import pytest
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from spindrift.functions.geometry import outside_axes, plane_hit, segment_entry
 from spindrift.operators import fields, locate
+from spindrift.sources.model import SCHEMAS
 from tests.meshes import box_cells, boxes
 
 
@@ -109,3 +112,25 @@ def test_outside_axes(spark):
     assert got[0]["s"] == [] and got[0]["d"] == 0
     assert got[1]["s"] == ["x-", "y+"] and got[1]["d"] == pytest.approx(math.sqrt(2))
     assert got[2]["s"] == []
+
+
+def test_buckets_stay_small_on_a_graded_mesh(spark):
+    """Thin layers beside wide cells: every axis has its own levels, so no bucket holds many cells."""
+    cells, top = [], 0.0
+    for k in range(40):
+        thick = 0.001 * 1.25**k
+        cells += [(len(cells), i + 0.5, j + 0.5, top + thick / 2, float(i), i + 1.0, float(j), j + 1.0, top, top + thick) for i in range(12) for j in range(12)]
+        top += thick
+    cells += [(len(cells) + k, 20.0 + k, 6.0, top / 2, 14.0 + 6 * k, 20.0 + 6 * k, 0.0, 12.0, 0.0, top) for k in range(3)]
+    table = spark.createDataFrame(cells, SCHEMAS["cells"])
+    grid = locate.grid_of(table)
+    assert 1 < len(grid.levels) <= locate.PROBES
+    dealt = locate.bucketed(table, grid)
+    most = dealt.groupBy("lx", "ly", "lz", "ix", "iy", "iz").count().agg({"count": "max"}).first()[0]
+    assert most <= 27 and dealt.count() <= 8 * len(cells)
+    rng = random.Random(2)
+    points = [(k, rng.uniform(-1, 33), rng.uniform(-1, 13), rng.uniform(0, 1) ** 4 * top * 1.1) for k in range(300)]
+    got = {r["point_id"]: r["cell_id"] for r in locate.locate_nearest(spark.createDataFrame(points, "point_id long, x double, y double, z double"), table, grid).collect()}
+    for k, *p in points:
+        held = [(sum((v - (c[4 + 2 * a] + c[5 + 2 * a]) / 2) ** 2 for a, v in enumerate(p)), c[0]) for c in cells if all(c[4 + 2 * a] <= v <= c[5 + 2 * a] for a, v in enumerate(p))]
+        assert got[k] == (min(held)[1] if held else None)

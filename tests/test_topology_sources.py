@@ -200,3 +200,22 @@ def test_coupling_export(spark, tmp_path):
     sinks.coupling_csv(spark.read.parquet(str(tmp_path / "c" / "points")), str(tmp_path / "csv"), ["P"])
     rows = {r["point_id"]: r for r in spark.read.option("header", True).csv(str(tmp_path / "csv")).collect()}
     assert rows["0"]["status"] == "PASS" and float(rows["0"]["x"]) == 0.1 and rows["1"]["x"] is None
+
+
+def test_a_zone_written_again_keeps_no_former_rows(spark, tmp_path):
+    from spindrift.sources.model import FRAMES, read_mesh, write_mesh
+    from tests.meshes import TETRA, mesh
+
+    root = str(tmp_path / "store")
+    full = mesh(spark, TETRA, [range(4)], scalars=[(1, "P", 0, 2.0), (2, "P", 0, 3.0)], node_scalars=[(1, "T", 0, 5.0), (2, "T", 0, 6.0)])
+    for zone in ("a:b", "other"):
+        write_mesh(full, root, "d", zone)
+    bare = mesh(spark, TETRA, [range(4)], scalars=[(1, "P", 0, 9.0)])
+    bare = type(bare)(**{**bare.tables(), "node_source": bare.node_source.where("false")})
+    write_mesh(bare, root, "d", "a:b")
+    got, kept = read_mesh(spark, root, "d", "a:b"), read_mesh(spark, root, "d", "other")
+    assert got.node_source.count() == 0 and kept.node_source.count() == 4
+    assert sorted(map(tuple, got.cell_scalar.select("step", "value").collect())) == [(1, 9.0), (2, 3.0)]
+    # frame 1 is written anew without nodal values, frame 2 is not written and stays
+    assert [tuple(r) for r in got.node_scalar.select("step", "value").collect()] == [(2, 6.0)]
+    assert all(getattr(kept, name).count() == 2 for name in FRAMES)
