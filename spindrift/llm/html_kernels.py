@@ -16,7 +16,7 @@ _BLOCK = set(
     "h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
 #: Start tags that end an open element of the set, looked for up to an element of the second set.
-_SCOPES = set("div article section main body td th blockquote form aside nav table figure header footer dialog details button ul ol dl".split())
+_SCOPES = set("noscript template svg math select object canvas audio video datalist div article section main body td th blockquote form aside nav table figure header footer dialog details button ul ol dl".split())
 _ENDS = {
     **{t: ({"p"}, _SCOPES) for t in _BLOCK - set("body caption dd dt head html legend li optgroup option summary tbody td tfoot th thead tr".split())},
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -37,6 +37,11 @@ _NAMES = set(
     "related recommended recommendations footer header masthead topbar toolbar pagination pager login signin signup search widget widgets skip copyright hidden".split()
 )
 _NAME_LIKE = re.compile(r"^(?:advert|adsby|sponsor|cookie|comment|sidebar|newsletter|breadcrumb|masthead|popup)|(?:nav|menu|navbar|sidebar|footer|comments)$")
+#: Words that name a part, place or number and leave open what of.
+_NEUTRAL = set(
+    "area articles bar block body bottom box button buttons center container content form group icon icons inline inner item items label left link links list main news outer panel posts right row section slot "
+    "small stories text thread title top unit wrap wrapper zone".split()
+)
 #: Class names that tell about a container's layout, not what it is.
 _LAYOUT = re.compile(r"^(?:has|with|no|is|js|hide|show)[-_]")
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S)
@@ -76,7 +81,15 @@ def _boilerplate(tag: str, source: str, in_root: bool) -> bool:
     names = [n for n in f"{at.get('class', '')} {at.get('id', '')}".lower().split() if not _LAYOUT.match(n)]
     if tag == "article":
         return any(n in ("comment", "comments", "reply") or n.startswith(("comment-", "comment_", "reply-")) for n in names)
-    return any(p in _NAMES or _NAME_LIKE.search(p) for n in names for p in _NAME_PARTS.split(n) if p)
+    if in_root and tag in _HEADINGS:
+        names = [n for n in at.get("class", "").lower().split() if not _LAYOUT.match(n)]
+    return any(_names_boilerplate(n) for n in names)
+
+
+def _names_boilerplate(name: str) -> bool:
+    """Whether all words of a class or id that say what it holds are words for boilerplate: "ad-box", but not "search-algorithms"."""
+    told = [p for p in _NAME_PARTS.split(name) if p and not p.isdigit() and p not in _NEUTRAL]
+    return bool(told) and all(p in _NAMES or _NAME_LIKE.search(p) for p in told)
 
 
 def _is_main(tag: str, source: str) -> bool:
@@ -92,16 +105,23 @@ def blocks(page: str | None) -> list[Block]:
     without an open element is ignored.
     """
     out: list[Block] = []
-    buffer: list[str] = []
+    # pieces of the open block's text with skipped and root: inline boilerplate neither leaks into it nor cuts it
+    buffer: list[tuple[str, bool, int]] = []
     # tag, skipped, root, and of an article's header: 1 in it, 2 in a heading of it
     stack: list[tuple[str, bool, int, int]] = []
     skipped, root, header, roots = False, NOWHERE, 0, 0
 
     def flush() -> None:
-        text = " ".join("".join(buffer).split())
+        for gone in (False, True):
+            pieces = [(t, r) for t, s, r in buffer if s == gone]
+            text = " ".join("".join(t for t, _ in pieces).split())
+            if text:
+                at_root = next(r for t, r in pieces if t.strip())
+                out.append(Block(text, xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63), gone, at_root))
         buffer.clear()
-        if text:
-            out.append(Block(text, xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63), skipped or header == 1, root))
+
+    def add(text: str) -> None:
+        buffer.append((text, skipped or header == 1, root))
 
     page = page or ""
     at, n = 0, len(page)
@@ -109,19 +129,19 @@ def blocks(page: str | None) -> list[Block]:
         m = _TOKEN.search(page, at)
         stop = m.start() if m else n
         if stop > at:
-            buffer.append(html.unescape(page[at:stop]))
+            add(html.unescape(page[at:stop]))
         if not m:
             break
         at = m.end()
         if not m[2]:
             if m[0].startswith("<![CDATA["):
-                buffer.append(m[0][9:].removesuffix("]]>"))
+                add(m[0][9:].removesuffix("]]>"))
             continue
         tag = m[2].lower()
-        if tag in _BLOCK or tag in _RAW:
+        if tag in _BLOCK or tag == "xmp":
             flush()
         elif tag == "br":
-            buffer.append(" ")
+            add(" ")
         if tag in _VOID:
             continue
         if m[1]:

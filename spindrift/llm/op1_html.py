@@ -15,6 +15,7 @@ paired by many tasks.
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -60,12 +61,19 @@ def _articles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
-def _common_prefix(a: str, b: str) -> str:
-    """SQL: number of leading '/'-parts that two paths share, then of leading characters of the next part, as a struct."""
-    parts = f"size(filter(sequence(1, greatest(size(split({a}, '/', -1)), size(split({b}, '/', -1)))), i -> slice(split({a}, '/', -1), 1, i) = slice(split({b}, '/', -1), 1, i)))"
-    # paths are compared up to 256 characters
-    chars = f"size(filter(sequence(1, least(256, greatest(length({a}), length({b}), 1))), i -> left({a}, i) = left({b}, i) AND length({a}) >= i))"
-    return f"struct({parts} AS p, {chars} AS c)"
+def _shared(a: str, b: str) -> tuple[int, int]:
+    """Number of leading '/'-parts that two paths share, and of leading characters."""
+    parts, other = a.split("/"), b.split("/")
+    same = next((i for i, (x, y) in enumerate(zip(parts, other)) if x != y), min(len(parts), len(other)))
+    return same, len(os.path.commonprefix((a, b)))
+
+
+def _nearer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, partner, host) from rows with the path and the neighbours before and after; the one before wins ties."""
+    for batch in batches:
+        rows = zip(*(batch.column(c).to_pylist() for c in ("path", "p_row", "p_path", "n_row", "n_path")), strict=True)
+        chosen = [n if p is None else p if n is None or _shared(path, before) >= _shared(path, after) else n for path, p, before, n, after in rows]
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(chosen, pa.int64()), batch.column("host")], names=["row", "partner", "host"])
 
 
 def neighbours(pages: DataFrame) -> DataFrame:
@@ -88,9 +96,9 @@ def neighbours(pages: DataFrame) -> DataFrame:
     here = Window.partitionBy("part").orderBy(*order)
     beside = keys.select("part", *order, F.lag(me).over(here).alias("p"), F.lead(me).over(here).alias("n"))
     both = beside.join(ends, "part").select(*order, F.coalesce("p", "before").alias("p"), F.coalesce("n", "after").alias("n"))
-    mine = both.select("row", "path", F.when(F.col("p.host") == F.col("host"), F.col("p")).alias("p"), F.when(F.col("n.host") == F.col("host"), F.col("n")).alias("n"), "host")
-    nearer = F.expr(f"CASE WHEN p IS NULL THEN n.row WHEN n IS NULL THEN p.row WHEN {_common_prefix('path', 'n.path')} > {_common_prefix('path', 'p.path')} THEN n.row ELSE p.row END")
-    return mine.select("row", nearer.alias("partner"), "host").where("partner IS NOT NULL")
+    p, n = F.col("p.host") == F.col("host"), F.col("n.host") == F.col("host")
+    mine = both.where(p | n).select("row", "host", "path", *(F.when(here, F.col(f"{side}.{c}")).alias(f"{side}_{c}") for side, here in (("p", p), ("n", n)) for c in ("row", "path")))
+    return mine.mapInArrow(_nearer, "row long, partner long, host string")
 
 
 def with_common(paired: DataFrame, least: int = 4, share: int = 4) -> DataFrame:
@@ -110,7 +118,8 @@ def with_common(paired: DataFrame, least: int = 4, share: int = 4) -> DataFrame:
 def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) of every row of ``pages`` (page_id, url, html).
 
-    A null or empty html has an empty text.  A page without a host, or the only one
+    A null or empty html has an empty text; an empty table gives no rows; a page of
+    any length is one row of one task.  A page without a host, or the only one
     of its host, is extracted by elements alone; repeated rows each get a row, and a
     copy as neighbour deletes nothing.  Other columns are ignored.
     """
