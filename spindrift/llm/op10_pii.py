@@ -5,7 +5,7 @@ other digit-bearing or @-bearing token as an unknown instance, stands in lexical
 contexts: the two words before it, and the words at both sides.  Contexts and
 instances form a bipartite graph for each kind.  Rounds of DataFrame aggregation
 score a context by its seeds of the kind against the instances that contradict it.
-Unknown instances of the kind's shape in a context above the confidence threshold,
+Unknown instances of a shape learned from the kind's seeds in a context above the confidence threshold,
 with enough distinct seeds behind it, become spans of that kind and seeds of the
 next round.
 
@@ -16,7 +16,7 @@ recursion on long runs.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.llm.common import materialize, table
@@ -37,12 +37,11 @@ _TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 #: A run of tokens of digits with few other signs, as spaced numbers are, is one instance.
 _NUMBERS = r"(?<![^\x20\x09-\x0D])[(+]*+[0-9][0-9().-]*+(?:\x20[(]?[0-9][0-9().-]*+)++(?=[\x20\x09-\x0D\"'`)\]<>,;:.!?]|$)"
 _TOKENS = rf"{_NUMBERS}[^\x20\x09-\x0D]*+|{_TOKEN}"
-#: Shapes of unknown instances.
-_MAIL = "(inst LIKE '%@%')"
-_NUMBER = "(length(regexp_replace(inst, '[^0-9]', '')) >= 7)"
 _EDGE = r"[\"'`(){}\[\]<>,;:.!?|*#$%&=]"
 _SPAN = "array<struct<start:int,ord:int,`end`:int>>"
-CONTEXT_CHARS = 64
+#: Characters beside an instance that are looked at first; where they cut a word, more are, at last all.
+_WINDOWS = (64, 2048)
+_WORD, _GAP = "[^\\\\x20\\\\x09-\\\\x0D]", "[\\\\x20\\\\x09-\\\\x0D]"
 
 
 def _lit(pattern: str) -> str:
@@ -100,6 +99,26 @@ def _tokens_sql() -> str:
     return f"CASE WHEN t RLIKE '[0-9@]' THEN {free} ELSE cast(array() AS {_SPAN}) END"
 
 
+def _left_words() -> str:
+    """SQL over ``t`` and span ``s``: the words before the span, the last two of them whole."""
+    words = lambda part: f"regexp_extract_all(lower({part}), '{_WORD}++', 0)"
+    out = words("substring(t, 1, s.start)")
+    for n in reversed(_WINDOWS):
+        # a window that does not reach the text's start may cut its first word
+        out = f"CASE WHEN s.start <= {n} THEN {words('substring(t, 1, s.start)')} ELSE {_bind(words(f'substring(t, s.start - {n} + 1, {n})'), f'w{n}', f'CASE WHEN size(w{n}) > 2 THEN w{n} ELSE {out} END')} END"
+    return out
+
+
+def _right_word() -> str:
+    """SQL over ``t`` and span ``s``: the word after the one that the span ends in, whole."""
+    rest = lambda n: f"lower(substring(t, s.`end` + 1{n}))"
+    found = lambda part, end: f"regexp_extract({part}, '^{_WORD}*+{_GAP}++({_WORD}++){end}', 1)"
+    out = found(rest(""), "")
+    for n in reversed(_WINDOWS):
+        out = f"CASE WHEN s.`end` + {n} >= length(t) THEN {found(rest(''), '')} ELSE {_bind(found(rest(f', {n}'), _GAP), f'r{n}', f"CASE WHEN r{n} <> '' THEN r{n} ELSE {out} END")} END"
+    return out
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, digest, base, tokens): base spans and unknown instances with their contexts.
 
@@ -108,8 +127,7 @@ def scan(docs: DataFrame) -> DataFrame:
     t = "coalesce(cast(text AS string), '')"
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.expr(t).alias("t")).withColumn("digest", F.xxhash64("t"))
     spans = base.select("doc_id", "digest", "t", F.expr(_base_sql()).alias("b"))
-    left = f"regexp_extract_all(lower(substring(t, greatest(s.start - {CONTEXT_CHARS}, 0) + 1, least(s.start, {CONTEXT_CHARS}))), '[^\\\\x20\\\\x09-\\\\x0D]++', 0)"
-    right = f"regexp_extract(lower(substring(t, s.`end` + 1, {CONTEXT_CHARS})), '^[^\\\\x20\\\\x09-\\\\x0D]*+[\\\\x20\\\\x09-\\\\x0D]++([^\\\\x20\\\\x09-\\\\x0D]++)', 1)"
+    left, right = _left_words(), _right_word()
     shown = _bind(left, "l", f"struct(s.start AS start, s.ord AS ord, s.`end` AS `end`, substring(t, s.start + 1, s.`end` - s.start) AS inst, coalesce(try_element_at(l, -2), '') AS l2, coalesce(try_element_at(l, -1), '') AS l1, {right} AS r1)")
     return spans.select("doc_id", "digest", "b", F.expr(f"transform(concat(b, {_tokens_sql()}), s -> {shown})").alias("seen"))
 
@@ -120,8 +138,8 @@ def discover(scanned: DataFrame, rounds: int = 20, min_seeds: int = 4, confidenc
     ``scanned`` is a table as ``scan`` makes, written and read again.  A context is
     usable for a kind with ``min_seeds`` distinct seeds of it; its score is
     (seeds + 1) / (seeds + contradicting instances + 1), where seeds of other kinds
-    and unknown instances without the kind's shape contradict and other unknown ones
-    do not count.  Unknown instances of the shape in contexts of at least
+    and unknown instances without the shape of the kind's seeds contradict and other
+    unknown ones do not count.  Unknown instances of the shape in contexts of at least
     ``confidence`` become seeds of the next round, whose contexts are counted anew;
     rounds end when none is found.
     """
@@ -131,36 +149,52 @@ def discover(scanned: DataFrame, rounds: int = 20, min_seeds: int = 4, confidenc
     # an instance string is of a kind if any of its occurrences is; distinct pairs are combined before the shuffle
     kinds = occ.groupBy("inst").agg(F.max("ord").alias("seed"))
     pairs = placed.groupBy("ctx", "inst").agg(F.max("ord").alias("ord")).select("ctx", "inst")
-    graph, _ = materialize(pairs.join(kinds, "inst").select("ctx", "inst", "seed", F.expr(_MAIL).alias("mail"), F.expr(_NUMBER).alias("number")), "pii-graph")
+    kinds, _ = materialize(kinds, "pii-kinds")
+    digits = F.length(F.regexp_replace("inst", "[^0-9]", "")).alias("digits")
+    graph, _ = materialize(pairs.join(kinds, "inst").select("ctx", "inst", "seed", digits, F.col("inst").contains("@").alias("at"), F.col("inst").contains(".").alias("dot")), "pii-graph")
+    # at most a row for each kind
+    learned = {r["seed"]: r for r in graph.where("seed >= 0").groupBy("seed").agg(F.min("digits").alias("least"), F.max("digits").alias("most"), F.bool_and("at").alias("at"), F.bool_and("dot").alias("dot")).collect()}
+    shaped = {k: _shape(learned[k]) if k in learned else F.lit(False) for k in range(len(KINDS))}
     believed = None
     strong = None
+    before = 0
     for _ in range(rounds):
         now = graph.withColumn("kind", F.col("seed")) if believed is None else graph.join(believed, "inst", "left").withColumn("kind", F.when(F.col("seed") >= 0, F.col("seed")).otherwise(F.coalesce("found", F.lit(-1))))
-        of = lambda k: F.count(F.when(F.col("kind") == k, 1))
-        counted = now.groupBy("ctx").agg(*(of(k).alias(f"s{k}") for k in range(len(KINDS))), F.count(F.when(F.col("kind") >= 0, 1)).alias("all"), F.count(F.when((F.col("kind") < 0) & ~F.col("mail"), 1)).alias("no_mail"), F.count(F.when((F.col("kind") < 0) & ~F.col("number"), 1)).alias("no_number"))
-        each = F.explode(F.array(*(F.struct(F.lit(k).alias("ord"), F.col(f"s{k}").alias("n"), F.col("no_number" if k else "no_mail").alias("odd")) for k in range(len(KINDS)))))
+        sums = [c for k in shaped for c in (F.count(F.when(F.col("kind") == k, 1)).alias(f"s{k}"), F.count(F.when((F.col("kind") < 0) & ~shaped[k], 1)).alias(f"odd{k}"))]
+        counted = now.groupBy("ctx").agg(*sums, F.count(F.when(F.col("kind") >= 0, 1)).alias("all"))
+        each = F.explode(F.array(*(F.struct(F.lit(k).alias("ord"), F.col(f"s{k}").alias("n"), F.col(f"odd{k}").alias("odd")) for k in shaped)))
         rated = counted.select("ctx", "all", each.alias("e")).where(F.col("e.n") >= min_seeds).select("ctx", "e.ord", ((F.col("e.n") + 1) / (F.col("all") + F.col("e.odd") + 1)).alias("c"))
         strong, _ = materialize(rated.where(F.col("c") >= confidence), "pii-contexts")
-        shaped = (F.col("ord") == 0) & F.col("mail") | (F.col("ord") > 0) & F.col("number")
-        found = graph.where("seed < 0").join(strong, "ctx").where(shaped).groupBy("inst").agg(F.max_by("ord", F.struct("c", -F.col("ord"))).alias("found"))
-        before = 0 if believed is None else believed.count()
-        believed, _ = materialize(found, "pii-believed")
-        if believed.count() == before:
+        fits = F.coalesce(*(F.when(F.col("ord") == k, shaped[k]) for k in shaped))
+        believed, _ = materialize(graph.where("seed < 0").join(strong, "ctx").where(fits).groupBy("inst").agg(F.max_by("ord", F.struct("c", -F.col("ord"))).alias("found")), "pii-believed")
+        after = believed.count()
+        if after == before:
             break
+        before = after
     if strong is None:
         raise ValueError("at least one round is needed")
-    unseen = placed.where("ord < 0").select("doc_id", "digest", "start", "end", "inst", "ctx")
-    fits = f"ord = 0 AND {_MAIL} OR ord > 0 AND {_NUMBER}"
-    best = unseen.join(strong, "ctx").where(fits).groupBy("doc_id", "digest", "start", "end").agg(F.max_by("ord", F.struct("c", -F.col("ord"))).alias("ord"))
+    unseen = placed.where("ord < 0").select("doc_id", "digest", "start", "end", "inst", "ctx", digits, F.col("inst").contains("@").alias("at"), F.col("inst").contains(".").alias("dot"))
+    best = unseen.join(strong, "ctx").where(F.coalesce(*(F.when(F.col("ord") == k, shaped[k]) for k in shaped))).groupBy("doc_id", "digest", "start", "end").agg(F.max_by("ord", F.struct("c", -F.col("ord"))).alias("ord"))
     return best.select("doc_id", "digest", "start", "ord", "end")
 
 
+def _shape(seen: Row) -> Column:
+    """Whether an instance (digits, at, dot) looks like a kind's seeds: the signs that all of them have, and from half of their fewest digits to twice their most."""
+    signs = [F.col(c) for c in ("at", "dot") if seen[c]]
+    fits = F.lit(True) if seen["at"] else F.col("digits").between(-(-seen["least"] // 2), 2 * seen["most"]) & ~F.col("at")
+    for sign in signs:
+        fits = fits & sign
+    return fits
+
+
 def find_spans(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, digest, base, spans) of every row of ``docs`` (doc_id, text).
 
     ``base`` and ``spans`` are arrays of (start, ord, end) in code points, ``ord``
     an index of KINDS; spans holds all of base.  Null or empty texts have none;
-    repeated rows get equal spans, each row its own; other columns are ignored.
+    repeated rows get equal spans, each row its own; of kinds that fit alike the better
+    context's counts, then the first in KINDS; a text of any length is scanned whole; an
+    empty table gives no rows; other columns are ignored.
     """
     scanned, _ = materialize(scan(docs), "pii-scan")
     more = discover(scanned, **options).groupBy(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).agg(F.collect_list(F.struct("start", "ord", "end")).alias("more"))
