@@ -192,26 +192,32 @@ def format_chats(turns: DataFrame, segment_turns: int = 1024) -> DataFrame:
 
     Turns are ordered by number, then role, then text; those without a number come
     last.  Repeated rows are turns of their own, so none is lost.  A null or unknown
-    role is relabelled, a null text is empty.  Rows without conv_id cannot be told
-    apart and are conversations of one turn each.  An empty table gives no rows;
-    other columns are ignored.
+    role is relabelled, a null text is empty; a text's own "<|im_" becomes "<| im_", so
+    that no text can close its turn.  Rows without conv_id cannot be told apart and are
+    conversations of one turn each.  An empty table gives no rows; other columns are
+    ignored.
     """
-    named = turns.select(
+    # a conversation without id is known by its content, so that a repeated task makes it again; equal ones are counted
+    nameless = turns.where("conv_id IS NULL").groupBy(F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")).agg(F.count(F.lit(1)).alias("copies"))
+    nameless = nameless.select(F.lit(None).cast("long").alias("conv_id"), F.sha2(F.to_json(F.struct("role", "text")), 256).alias("part"), F.lit(0).cast("long").alias("turn"), "role", "text", "copies")
+    named = turns.where("conv_id IS NOT NULL").select(
         F.col("conv_id").cast("long").alias("conv_id"),
-        F.when(F.col("conv_id").isNull(), F.expr("uuid()")).otherwise("").alias("part"),
+        F.lit("").alias("part"),
         F.col("turn").cast("long").alias("turn"),
         F.col("role").cast("string").alias("role"),
         F.col("text").cast("string").alias("text"),
-    )
+        F.lit(1).cast("long").alias("copies"),
+    ).unionByName(nameless)
     segment = F.coalesce(F.floor(F.col("turn") / segment_turns), F.lit((1 << 62))).cast("long")
-    listed = named.groupBy("conv_id", "part", segment.alias("segment")).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("turn", F.lit((1 << 62))).alias("turn"), "role", "text"))).alias("turns"))
+    listed = named.groupBy("conv_id", "part", segment.alias("segment")).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("turn", F.lit((1 << 62))).alias("turn"), "role", "text"))).alias("turns"), F.max("copies").alias("copies"))
     kept, _ = materialize(listed, "chat-segments")
     matrices = kept.select("conv_id", "part", "segment", F.col("turns.role").alias("roles")).mapInArrow(_matrices, f"{_SEGMENT}, costs array<long>")
     chains = matrices.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(F.struct("segment", "costs"))).alias("chain"))
     states = chains.mapInArrow(_states, "conv_id long, part string, states array<struct<segment:long,entry:int,exit:int,last:boolean>>")
     flat = states.select(F.col("conv_id").alias("__id"), F.col("part").alias("__part"), F.inline("states")).withColumnRenamed("segment", "__segment")
     joined = kept.join(flat, kept["conv_id"].eqNullSafe(flat["__id"]) & (kept["part"] == flat["__part"]) & (kept["segment"] == flat["__segment"]))
-    return joined.select("conv_id", "segment", "turns", "entry", "exit", "last").mapInArrow(_rendered, _RESULT)
+    each = joined.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return each.select("conv_id", "segment", "turns", "entry", "exit", "last").mapInArrow(_rendered, _RESULT)
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
