@@ -10,7 +10,8 @@ any slot.  Once a source is used up the others go on at renewed shares, so every
 row gets a place.
 
 The number of blocks is a parameter (``slots``), not a property of the data: block
-size follows the corpus, so the schedule stays one small table.  Ranks inside a
+size follows the corpus, so the schedule stays one small table, walked once for each
+slot and source.  Ranks inside a
 source come from counts of hash buckets, so that a source with a third of all rows
 is ranked by many tasks.
 """
@@ -23,6 +24,8 @@ from pyspark.sql import Window
 
 from spindrift.llm.common import materialize, table
 
+#: Rows that one task ranks, on average; more rows make more buckets.
+BUCKET_ROWS = 8192
 #: Weights and virtual times are whole numbers on this grid, so that ties and releases are exact.
 GRID = 1_000_000
 
@@ -65,19 +68,22 @@ def _ranked(rows: DataFrame, order: list[Column], buckets: int) -> tuple[DataFra
     return inside, starts
 
 
-def mix(docs: DataFrame, weights: DataFrame | None = None, temperature: float = 0.5, slots: int = 1024, buckets: int = 512, source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
+def mix(docs: DataFrame, weights: DataFrame | None = None, temperature: float = 0.5, slots: int = 1024, buckets: int | None = None, source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
     """``docs`` with __block and __slot of their source block and __place, the row's rank in its slot.
 
     ``weights`` has (source, weight); sources it lacks, or with a weight not above
     zero, get the smallest listed weight, so that no row is dropped.  Without it,
     weights are row counts to the power ``temperature``.  A null source is a source.
-    Rows are dealt to the blocks of their source by a hash of id and text, so equal
-    rows keep apart only by rank; an empty table gives no rows.
+    Rows are dealt to the blocks of their source by a hash of id and the other columns
+    (but for those that hold maps, which have no hash), so equal rows keep apart only
+    by rank; an empty table gives no rows.  Rows are ranked in ``buckets``, by default
+    as many as make BUCKET_ROWS rows each.
     """
     names = docs.columns
+    buckets = buckets or max(1, -(-docs.count() // BUCKET_ROWS))
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("__doc"))
     rows = packed.select("__doc", F.coalesce(F.col(f"__doc.`{source_col}`").cast("string"), F.lit("\x00")).alias("__source"))
-    keys = [F.col(f"__doc.`{id_col}`"), F.xxhash64(*(F.col(f"__doc.`{c}`") for c, t in docs.dtypes if not t.startswith("map")))]
+    keys = [F.col(f"__doc.`{id_col}`"), F.xxhash64(*(F.col(f"__doc.`{c}`") for c, t in docs.dtypes if "map<" not in t))]
     keys = [keys[0].cast("string"), keys[1]]
     inside, starts = _ranked(rows, keys, buckets)
     small, path = materialize(starts, "mix-starts")
@@ -97,8 +103,8 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, temperature: float =
     # bounded: at most one row for each source and bucket, and for each slot
     offset = small.join(plan.select("__source", "size"), "__source").select("__source", "__bucket", "__start", "size")
     ranked = inside.join(offset, ["__source", "__bucket"]).withColumn("__rank", F.col("__start") + F.col("__in"))
-    blocked = ranked.select("__doc", "__source", F.floor(F.col("__rank") / F.col("size")).cast("int").alias("__block"), F.pmod("__rank", "size").alias("__place"))
-    return blocked.join(slot, ["__source", "__block"]).select("__doc", "__block", "__slot", "__place")
+    blocked = ranked.select("__doc", "__source", F.floor(F.col("__rank") / F.col("size")).cast("int").alias("__block"), F.pmod("__rank", "size").alias("__place"), F.col("size").alias("__size"))
+    return blocked.join(slot, ["__source", "__block"]).select("__doc", "__block", "__slot", "__place", "__size")
 
 
 def in_training_order(docs: DataFrame, partitions: int | None = None, **options) -> DataFrame:
@@ -106,13 +112,14 @@ def in_training_order(docs: DataFrame, partitions: int | None = None, **options)
 
     The files that a writer makes of it, read by name, are the mixed sequence.
     Slots hold equal numbers of rows, a source's last excepted, so partition
-    bounds need no sampling.
+    bounds need no sampling; a slot is cut by place where there are more partitions.
     """
     mixed = mix(docs, **options)
     parts = partitions or max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     last = options.get("slots", 1024)
     # sources round their blocks up, so a few slots come after ``last``
-    to = F.least(F.floor(F.col("__slot") * parts / F.lit(last)), F.lit(parts - 1)).cast("int")
+    at = F.col("__slot") + F.col("__place") / F.col("__size")
+    to = F.least(F.floor(at * parts / F.lit(last)), F.lit(parts - 1)).cast("int")
     return mixed.repartitionById(parts, to).sortWithinPartitions("__slot", "__place").select("__doc.*")
 
 
