@@ -125,7 +125,8 @@ def fingerprint_links(prints: DataFrame, max_bits: int = 4, block: int = 8192) -
             key = F.shiftleft(key, 8).bitwiseOR(_byte(fp, position))
         keys.append(key)
     postings = prints.select("fp", F.explode(F.array(*keys)).alias("key"))
-    lengths = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # written, so that the join is one of plain exchanges and adaptive execution can split a long list before it is cut
+    lengths, _ = materialize(postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "simhash-lengths")
     blocks = F.ceil(F.col("n") / F.lit(float(block))).cast("int")
     cut = postings.join(lengths, "key").select("key", "fp", blocks.alias("nb")).select("key", "fp", "nb", F.pmod(F.xxhash64("fp"), F.col("nb").cast("long")).cast("int").alias("block"))
     other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
