@@ -238,3 +238,10 @@ def test_queries_with_sql(spark, sf_dir, name):
     theirs = pd.DataFrame(duck(sf_dir, ORACLE[name]))
     order = lambda d: d[sorted(d.columns)].astype(str).sort_values(sorted(d.columns)).reset_index(drop=True)
     pd.testing.assert_frame_equal(order(mine), order(theirs))
+
+
+def test_mixing_of_columns_that_hold_maps_and_finer_partitions(spark):
+    table = spark.range(90).selectExpr("id AS doc_id", "concat('s', id % 3) AS source", "array(named_struct('m', map('k', id))) AS held", "map('a', 1) AS m")
+    out = op2.in_training_order(table, 40, slots=6)
+    assert out.columns == table.columns and out.count() == 90 and out.rdd.getNumPartitions() == 40
+    assert max(len(p) for p in out.rdd.glom().collect()) < 10

@@ -304,3 +304,69 @@ def test_found_identifiers_induce_contexts(spark):
     found = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in op10.find_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(found[100 + k] == [(16, 2, 26)] and found[200 + k] == [(18, 2, 28)] for k in range(8))
     assert found[300] == [(18, 2, 28)] and found[301] == [(16, 2, 35)] and found[302] == []
+
+
+@pytest.mark.parametrize(
+    "page,expected",
+    [
+        ("<article><h1>T</h1><section id='search-algorithms'><p>a</p></section><p class='copyright-law'>b<p class='related-work'>c<div class='related-posts'>d</div><h2 id=notice>e</h2></article>", ["T", "a", "b", "c", "e"]),
+        ("<p>a <noscript>ns</noscript> b</p><p>x<svg><text>sv</text></svg>y</p>", ["a b", "xy"]),
+        ("<article><p>after <button>inline</button> text</p></article>", ["after text"]),
+        ("<p>keep <iframe>f</iframe><script>s</script> this</p>", ["keep this"]),
+        ("<article><p>1</p></article><article><p>2</p></article>", ["1", "2"]),
+        ("<p>x<noscript><p>in</p></noscript></p>", ["x"]),
+    ],
+)
+def test_inline_boilerplate_and_telling_names(page, expected):
+    from spindrift.llm.html_kernels import article
+
+    found = blocks(page)
+    assert article([b.text for b in found], [b.digest for b in found], [b.skipped for b in found], [b.root for b in found], None) == expected
+
+
+def slow_main_text(page):
+    """Text of the article elements of a well-formed page of the test tables, by patterns alone."""
+    import html
+
+    out = []
+    for part in re.findall(r"<article>(.*?)</article>", page or "", re.S):
+        part = re.sub(r"<!--.*?-->", "", part, flags=re.S)
+        for block in re.split(r"</?(?:p|h1|h2|h3|div|ul|ol|li|blockquote|section|figure|figcaption|table|tr|td)\b[^>]*>", part):
+            text = " ".join(html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br\s*/?>", " ", block))).split())
+            out += [text] if text else []
+    return "\n\n".join(out)
+
+
+def test_whole_query_equals_patterns_on_the_small_table(spark, sf_dir):
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in op1.op1_html_extraction(spark, sf_dir).collect()}
+    assert got == {k: (slow_main_text(h), len(slow_main_text(h))) for k, h in pages.items()}
+
+
+def test_paths_of_any_length_are_compared(spark):
+    stem = "x" * 400
+    rows = [(k, f"http://l.example/{stem}{name}") for k, name in enumerate(["aab", "abc", "abd"])]
+    got = {r["row"]: r["partner"] for r in op1.neighbours(spark.createDataFrame(rows, "row long, url string")).collect()}
+    assert got == {0: 1, 1: 2, 2: 1}
+
+
+def test_contexts_hold_whole_words(spark):
+    rng = random.Random(21)
+    far = "w" * 300
+    rows = [(k, f"{far}a number {card(rng)} {far}a. ") for k in range(6)] + [(50, f"{far}a number 9876543210 {far}b")]
+    # the words before agree, so one context of the two is enough; a longer first word is another context
+    rows += [(60 + k, f"{far}c card{far} {card(rng)} x") for k in range(6)] + [(70, f"{far}c dard{far} 9876543211 y")]
+    found = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in op10.find_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [k for _, k, _ in found[50]] == [2] and found[70] == []
+
+
+def test_shapes_come_from_seeds(spark):
+    rows = [(k, f"host at {10 + k}.2.3.{k} up") for k in range(6)] + [(20, "host at 300.1.2.3 up"), (21, "host at 5.6.7 up"), (22, "host at 77 up")]
+    found = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in op10.find_spans(spark.createDataFrame(rows, "doc_id long, text string"), confidence=0.8).collect()}
+    assert found[20] == [(8, 1, 17)] and found[21] == [(8, 1, 13)] and found[22] == []
+
+
+def test_turns_without_a_conversation_are_counted(spark):
+    rows = [(None, k % 3, "user", "x" if k % 2 else None) for k in range(10)] + [(None, 0, None, "x")]
+    got = Counter(r["rendered"] for r in op9.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect())
+    assert sum(got.values()) == 11 and sorted(got.values()) == [5, 6]
