@@ -24,8 +24,8 @@ from pyspark.sql import Window
 
 from spindrift.llm.common import materialize, table
 
-#: Rows that one task ranks, on average; more rows make more buckets.
-BUCKET_ROWS = 8192
+#: Rows of a bucket, on average, where there are more than the least number of buckets.
+BUCKET_ROWS, LEAST_BUCKETS = 8192, 512
 #: Weights and virtual times are whole numbers on this grid, so that ties and releases are exact.
 GRID = 1_000_000
 
@@ -77,10 +77,10 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, temperature: float =
     Rows are dealt to the blocks of their source by a hash of id and the other columns
     (but for those that hold maps, which have no hash), so equal rows keep apart only
     by rank; an empty table gives no rows.  Rows are ranked in ``buckets``, by default
-    as many as make BUCKET_ROWS rows each.
+    LEAST_BUCKETS, or as many as make BUCKET_ROWS rows each.
     """
     names = docs.columns
-    buckets = buckets or max(1, -(-docs.count() // BUCKET_ROWS))
+    buckets = buckets or max(LEAST_BUCKETS, -(-docs.count() // BUCKET_ROWS))
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("__doc"))
     rows = packed.select("__doc", F.coalesce(F.col(f"__doc.`{source_col}`").cast("string"), F.lit("\x00")).alias("__source"))
     keys = [F.col(f"__doc.`{id_col}`"), F.xxhash64(*(F.col(f"__doc.`{c}`") for c, t in docs.dtypes if "map<" not in t))]
