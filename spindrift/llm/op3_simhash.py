@@ -12,11 +12,18 @@ Copies collapse to one fingerprint before indexing.  A posting list longer than
 ``block`` is cut into blocks by hash and each pair of blocks is a group of its
 own, so no list has to fit one task.  A group emits a star forest, not its pairs:
 its links stay reachable, which is all that components need.
+
+For near copies of a lower similarity, whose short fingerprints differ in more bits
+than an index can guarantee matches for, ``near_components`` takes fingerprints of
+512 bits over sets of five-word shingles, the same index with keys of two of 64
+positional bytes, the same tally, and a verification of what the bits leave open on
+the shingle sets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -26,7 +33,7 @@ from pyspark.sql import functions as F
 
 from spindrift.llm.common import materialize, table
 from spindrift.llm.graph import connected_components
-from spindrift.llm.simhash_kernels import bucket_forest, fingerprint
+from spindrift.llm.simhash_kernels import SMALL, bucket_forest, fingerprint, large_bucket_links, shingle_set, small_bucket_links, wide_fingerprint
 
 
 #: Parts in which a component's members meet its smallest id.
@@ -159,17 +166,166 @@ def simhash_components(docs: DataFrame, k: int = 4, seed: int = 42, max_bits: in
     return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
+#: Of the wide search: 64-bit lanes, tables of index keys and positional bytes of a key.
+LANES, TABLES, KEY_BYTES = 8, 48, 2
+#: Agreeing positional bytes, of 64, that a candidate pair needs; at similarity 0.8 seventeen are expected.
+TALLY = 6
+
+
+def bit_limits(similarity: float, lanes: int = LANES) -> tuple[int, int]:
+    """Differing bits of wide fingerprints up to which sets are surely, and may be, of ``similarity`` or more.
+
+    Sets of Jaccard similarity J have an angle of acos(2 J / (1 + J)), of which each bit
+    differs with a probability of angle / pi; the limits lie three standard deviations
+    below and two and a half above what ``similarity`` itself makes.
+    """
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    middle, deviation = 64 * lanes * share, math.sqrt(64 * lanes * share * (1 - share))
+    return max(0, int(middle - 3 * deviation)), int(middle + 2.5 * deviation)
+
+
+def _wide_keys(tables: int, size: int, seed: int) -> list[list[int]]:
+    """Distinct byte positions of each table's key."""
+    rng = np.random.default_rng(seed)
+    return [sorted(rng.choice(8 * LANES, size, replace=False).tolist()) for _ in range(tables)]
+
+
+def _wide_postings(keys: list[list[int]]):
+    at = np.array(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1024):
+                part = batch.slice(k, 1024)
+                prints = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(-1, 8 * LANES)
+                key = np.broadcast_to(np.arange(len(at), dtype=np.int64), (len(prints), len(at))).copy()
+                for j in range(at.shape[1]):
+                    key = key << 8 | prints[:, at[:, j]]
+                take = pa.array(np.repeat(np.arange(len(prints)), len(at)))
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), part.column(0).take(take), part.column(1).take(take)], names=["key", "node", "fp"])
+
+    return run
+
+
+def _wide_links(sure_bits: int, max_bits: int):
+    """mapInArrow function over rows sorted by (key, lo, hi): links (a, b, sure) of each group, groups may span batches."""
+
+    def out(node: np.ndarray, found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
+        x, y, bits = node[found[0]], node[found[1]], found[2]
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y), pa.int64()), pa.array(np.minimum(x, y), pa.int64()), pa.array(bits <= sure_bits)], names=["a", "b", "sure"])
+
+    def solved(group: np.ndarray, node: np.ndarray, fp: np.ndarray, side: np.ndarray) -> Iterator[pa.RecordBatch]:
+        starts = np.flatnonzero(np.diff(group, prepend=group[0] - 1))
+        sizes = np.diff(np.append(starts, len(group)))
+        little = np.repeat((sizes > 1) & (sizes <= SMALL), sizes)
+        if little.any():
+            dense = np.cumsum(np.diff(group[little], prepend=group[little][0]) > 0)
+            yield out(node[little], small_bucket_links(dense, fp[little], side[little], TALLY, max_bits))
+        for s, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
+            yield out(node[s : s + n], large_bucket_links(fp[s : s + n], side[s : s + n], TALLY, sure_bits, max_bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        seen, last = 0, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, lo, hi, node, block = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "lo", "hi", "node", "block"))
+            fp = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint64).reshape(-1, LANES)
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+            new[0] = last != (key[0], lo[0], hi[0])
+            last = (key[-1], lo[-1], hi[-1])
+            group = seen + np.cumsum(new)
+            seen = int(group[-1])
+            held.append((group, node, fp, (block != lo).astype(np.uint8)))
+            if new.any():
+                columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+                done = int(np.searchsorted(columns[0], seen))
+                held = [tuple(c[done:] for c in columns)]
+                if done:
+                    yield from solved(*(c[:done] for c in columns))
+        if held:
+            yield from solved(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+    return run
+
+
+def _verified(uncertain: DataFrame, rows: DataFrame, classes: DataFrame, k: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of ``uncertain``, a written table, whose shingle sets are of ``similarity`` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = [np.unique(shingle_set(t.as_py(), k).astype(np.uint32)).view(np.int32) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int32()))], names=["node", "held"])
+
+    involved = uncertain.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    named = classes.join(involved, "node").select("node", F.col("first_id").alias("doc_id"), "text_hash")
+    texts = rows.withColumn("text_hash", F.xxhash64("text")).join(named, ["doc_id", "text_hash"]).select("node", "text")
+    sets, _ = materialize(texts.mapInArrow(run, "node long, held array<int>").dropDuplicates(["node"]), "near-sets")
+    one = uncertain.join(sets.select(F.col("node").alias("a"), F.col("held").alias("x")), "a")
+    both = one.join(sets.select(F.col("node").alias("b"), F.col("held").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
+
+
+def near_components(docs: DataFrame, k: int = 5, similarity: float = 0.8, block: int = 8192) -> DataFrame:
+    """(doc_id, fp binary, component_id) of every row of ``docs`` (doc_id, text): near copies by wide fingerprints.
+
+    Links are pairs whose sets of word ``k``-shingles have a Jaccard similarity of
+    ``similarity`` or more.  The index takes keys of positional bytes: a pair at 0.8
+    shares one of the 48 with a probability of 0.97.  Pairs whose fingerprints leave it
+    open are verified on the sets themselves.  Rows without doc_id are linked by their
+    fingerprints alone; other odd rows as in ``simhash_components``.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([wide_fingerprint(t.as_py(), k, LANES) for t in batch.column(1)], pa.binary()), batch.column(2)], names=["doc_id", "fp", "text_hash"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    marked, _ = materialize(rows.withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, fp binary, text_hash long"), "near-fp")
+    # classes of equal fingerprints are numbered in a written table, so the numbers stay
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash")).alias("l")
+    classes, _ = materialize(marked.groupBy("fp").agg(least).select("fp", F.col("l.doc_id").alias("first_id"), F.col("l.text_hash").alias("text_hash"), F.monotonically_increasing_id().alias("node")), "near-classes")
+    postings = classes.select("node", "fp").mapInArrow(_wide_postings(_wide_keys(TABLES, KEY_BYTES, 7)), "key long, node long, fp binary")
+    lists = classes.select("node", "fp").mapInArrow(_wide_postings(_wide_keys(TABLES, KEY_BYTES, 7)), "key long, node long, fp binary").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    # only lists that are cut: at most one for each ``block`` postings
+    long, _ = materialize(lists.where(F.col("n") > block).select(F.col("key").alias("long_key"), F.ceil(F.col("n") / F.lit(float(block))).cast("int").alias("parts")), "near-long")
+    nb = F.coalesce("parts", F.lit(1))
+    cut = postings.join(long, F.col("key") == F.col("long_key"), "left").select("key", "node", "fp", nb.alias("nb"), F.pmod(F.xxhash64("node"), nb.cast("long")).cast("int").alias("block"))
+    dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", "block", "fp")
+    found = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_wide_links(*bit_limits(similarity)), "a long, b long, sure boolean")
+    links, _ = materialize(found.groupBy("a", "b").agg(F.max("sure").alias("sure")), "near-links")
+    nameless = classes.where("first_id IS NULL").select("node")
+    open_pairs, _ = materialize(links.where("NOT sure").select("a", "b"), "near-open")
+    # a pair with a nameless end cannot be looked up; its fingerprints decide
+    unnamed = open_pairs.join(nameless, F.col("a") == F.col("node"), "left_semi").unionByName(open_pairs.join(nameless, F.col("b") == F.col("node"), "left_semi"))
+    verified = _verified(open_pairs, rows, classes, k, similarity)
+    roots, _ = connected_components(links.where("sure").select("a", "b").unionByName(verified).unionByName(unnamed))
+    linked = classes.join(roots, "node").select("fp", "first_id", "root", F.pmod("node", F.lit(SALTS)).alias("salt"))
+    smallest = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    spread = smallest.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    joined = linked.join(spread, ["root", "salt"]).select("fp", "component_id", F.lit(True).alias("linked"))
+    held = classes.join(joined, "fp", "left")
+    named, _ = materialize(held.select("fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("first_id")).alias("component_id")), "near-components")
+    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one_of_each(docs: DataFrame, components: Callable[..., DataFrame] = simhash_components, **options) -> DataFrame:
     """``docs`` with one document of each near-duplicate component: that of the smallest doc_id.
 
-    Columns are those of ``docs``; of rows that share this doc_id one stays.  A row
+    ``components`` is ``simhash_components`` or ``near_components``.  Columns are those of ``docs``; of rows that share this doc_id one stays.  A row
     with a null doc_id stays only if its component has no other id.
     """
-    found = simhash_components(docs, **options)
-    keep = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    found = components(docs, **options)
+    keep = found.where("doc_id <=> component_id").select(F.struct("doc_id").alias("kept_id")).distinct()
+    # the key is a struct, which equals another with a null id; one exchange of the documents serves both steps.
     # packed, so that no column of docs can clash with one of the join
-    packed = docs.select(F.col("doc_id").cast("long").alias("key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
-    held = packed.join(keep, packed["key"].eqNullSafe(keep["kept_id"]), "left_semi")
+    packed = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id")).alias("key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    held = packed.join(keep, packed["key"] == keep["kept_id"], "left_semi")
     return held.dropDuplicates(["key"]).select("doc.*")
 
 

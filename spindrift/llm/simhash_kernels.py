@@ -1,4 +1,9 @@
-"""NumPy kernels of SimHash: fingerprints of texts, links inside index buckets."""
+"""NumPy kernels of SimHash: fingerprints of texts, links inside index buckets.
+
+Short fingerprints have 64 bits and count every shingle; wide ones have several
+times 64 bits and count each distinct shingle once, so that their differing bits
+estimate the Jaccard similarity of the shingle sets.
+"""
 
 from __future__ import annotations
 
@@ -36,6 +41,95 @@ def fingerprint(text: str | None, k: int = 4, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * tally > total).tobytes(), "big")
 
 
+#: Increments that make one shingle hash into those of several lanes.
+_LANE, _MIX = 0x9E3779B97F4A7C15, (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+#: Buckets of up to so many fingerprints are compared many at a time.
+SMALL = 32
+#: Uncertain neighbours of other clusters that a fingerprint of a larger bucket names.
+NEAREST = 3
+
+
+def shingle_set(text: str | None, k: int = 5, seed: int = 42) -> np.ndarray:
+    """Sorted distinct hashes of a text's word ``k``-shingles; words as in ``fingerprint``, one shingle for fewer than ``k``."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    k = min(k, len(words))
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(joined[a:b], seed) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)], np.uint64))
+
+
+def wide_fingerprint(text: str | None, k: int = 5, lanes: int = 8) -> bytes:
+    """SimHash of ``64 * lanes`` bits of a text's set of word ``k``-shingles; all bits are zero without a word."""
+    hashes = shingle_set(text, k)
+    steps = np.array([_LANE * (i + 1) & (1 << 64) - 1 for i in range(lanes)], np.uint64)
+    tally = np.zeros(64 * lanes, np.int64)
+    for at in range(0, len(hashes), _SLAB >> 3):
+        x = hashes[at : at + (_SLAB >> 3), None] + steps[None, :]
+        x = (x ^ (x >> np.uint64(30))) * _MIX[0]
+        x = (x ^ (x >> np.uint64(27))) * _MIX[1]
+        x ^= x >> np.uint64(31)
+        tally += np.unpackbits(x.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * tally > len(hashes)).tobytes()
+
+
+def _pairs(x: np.ndarray, y: np.ndarray, tally_at_least: int, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows of two tables of words are candidates that differ in few bits, and their differing bits."""
+    differ = x ^ y
+    bits = np.bitwise_count(differ).sum(axis=1, dtype=np.int64)
+    near = np.flatnonzero(bits <= max_bits)
+    near = near[(differ[near].view(np.uint8) == 0).sum(axis=1) >= tally_at_least]
+    return near, bits[near]
+
+
+def small_bucket_links(group: np.ndarray, prints: np.ndarray, side: np.ndarray, tally_at_least: int, max_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, row, differing bits) of all links inside groups; rows of a ``group`` stand together."""
+    out = []
+    across = np.zeros(int(group[-1]) + 1, bool)
+    np.logical_or.at(across, group, side > 0)
+    for step in range(1, len(group)):
+        rows = np.flatnonzero(group[step:] == group[:-step])
+        if not len(rows):
+            break
+        rows = rows[~across[group[rows]] | (side[rows] != side[rows + step])]
+        near, bits = _pairs(prints[rows], prints[rows + step], tally_at_least, max_bits)
+        out.append((rows[near], rows[near] + step, bits))
+    return tuple(np.concatenate([np.zeros(0, np.int64), *c]) for c in (zip(*out, strict=True) if out else ((), (), ())))  # type: ignore[return-value]
+
+
+def large_bucket_links(prints: np.ndarray, side: np.ndarray, tally_at_least: int, sure_bits: int, max_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, row, differing bits) of links of one bucket, or of a pair of its blocks: a spanning forest of the sure ones, and few uncertain ones a row.
+
+    Each row that is reached is compared with those not reached yet, so a group of near
+    copies takes steps in proportion to its size.  Uncertain links are a row's nearest
+    in other clusters of sure ones.  Two blocks (``side``) are compared only across.
+    """
+    n, across, out = len(prints), bool(side.any()), []
+    cluster, rest = np.full(n, -1), np.arange(n)
+    while len(rest):
+        first, rest = int(rest[0]), rest[1:]
+        cluster[first], queue = first, [first]
+        while queue and len(rest):
+            at = queue.pop()
+            other = rest[side[rest] != side[at]] if across else rest
+            near, bits = _pairs(prints[other], prints[at], tally_at_least, sure_bits)
+            found = other[near]
+            if len(found):
+                out.append((np.full(len(found), at), found, bits))
+                cluster[found] = first
+                queue.extend(found.tolist())
+                rest = np.setdiff1d(rest, found, assume_unique=True)
+    for at in range(n):
+        other = np.flatnonzero((cluster != cluster[at]) & ((side != side[at]) | (not across)))
+        near, bits = _pairs(prints[other], prints[at], tally_at_least, max_bits)
+        chosen = np.argsort(bits, kind="stable")[:NEAREST]
+        out.append((np.full(len(chosen), at), other[near[chosen]], bits[chosen]))
+    return tuple(np.concatenate([np.zeros(0, np.int64), *c]) for c in (zip(*out, strict=True) if out else ((), (), ())))  # type: ignore[return-value]
+
+
 def _roots(parent: np.ndarray) -> np.ndarray:
     while True:
         nxt = parent[parent]

@@ -309,3 +309,86 @@ def test_text_of_short_units_and_short_copies_are_cut(spark, tmp_path):
     got = query_substrings(spark, tmp_path, rows)
     assert not any(got[k]["removed"] for k in range(1, 7)) and not got[15]["removed"]
     assert got[11]["n_removed_words"] >= 77 and got[12]["text"] == "" and got[13]["text"].strip() == "end" and got[14]["text"].strip() == ""
+
+
+def shingles(text, k=5):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def jaccard_components(texts, similarity=0.8):
+    """Smallest id reachable over pairs of texts of a Jaccard similarity, by all pairs."""
+    sets = {i: shingles(t) for i, t in texts.items()}
+    parent = {i: i for i in texts}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in combinations(sorted(texts), 2):
+        x, y = sets[a], sets[b]
+        if min(len(x), len(y)) >= similarity * max(len(x), len(y)) and len(x & y) >= similarity * len(x | y):
+            parent[max(find(a), find(b))] = min(find(a), find(b))
+    return {i: find(i) for i in texts}
+
+
+def near_rows():
+    rng = random.Random(31)
+    say = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    rows, k = [], 0
+    for changes in (0, 1, 3, 6, 8, 10, 12, 16, 30, 60):
+        base = say(400)
+        rows.append((k, " ".join(base)))
+        for copy in range(1, 5):
+            other = list(base)
+            for at in rng.sample(range(400), changes):
+                other[at] = f"x{rng.randrange(5000)}"
+            rows.append((k + copy, " ".join(other).upper() if copy == 2 else " ".join(other)))
+        k += 10
+    return rows
+
+
+def test_near_components_equal_all_pairs(spark):
+    rows = near_rows()
+    got = {r["doc_id"]: r["component_id"] for r in op3.near_components(docs(spark, [(i, t, 1, "x") for i, t in rows], ", fp int, node string")).collect()}
+    assert got == jaccard_components(dict(rows))
+    # lists cut into many blocks give the same classes
+    cut = {r["doc_id"]: r["component_id"] for r in op3.near_components(docs(spark, rows), block=2).collect()}
+    assert cut == got
+
+
+def test_large_buckets_link_what_small_ones_do():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, size=(3, 8), dtype=np.uint64)
+    prints = []
+    for k in range(90):
+        bits = np.unpackbits(base[k % 3].view(np.uint8))
+        bits[rng.choice(512, int(rng.integers(0, 40)), replace=False)] ^= 1
+        prints.append(np.packbits(bits).view(np.uint64))
+    prints = np.array(prints)
+    for side in (np.zeros(90, np.uint8), (np.arange(90) % 2).astype(np.uint8)):
+        a, b, bits = op3.small_bucket_links(np.zeros(90, np.int64), prints, side, 6, 97)
+        slow = {(i, j) for i, j in combinations(range(90), 2) if np.bitwise_count(prints[i] ^ prints[j]).sum() <= 97 and (not side.any() or side[i] != side[j])}
+        assert {(min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist())} == slow
+        x, y, few = op3.large_bucket_links(prints, side, 6, 53, 97)
+        assert len(x) < len(a) and {(min(p), max(p)) for p in zip(x.tolist(), y.tolist())} <= slow
+        parent = list(range(90))
+
+        def find(v):
+            while parent[v] != v:
+                v = parent[v]
+            return v
+
+        for p, q in zip(x.tolist(), y.tolist()):
+            parent[find(p)] = find(q)
+        assert len({find(v) for v in range(90)}) == 3
+
+
+def test_near_components_of_odd_rows(spark):
+    rows = ODD + [(20, "ONE"), (21, None), (None, "One")]
+    got = Counter((r["doc_id"], r["component_id"]) for r in op3.near_components(docs(spark, rows)).collect())
+    assert got == Counter([(1, 1), (2, 1), (3, 1), (21, 1), (4, 4), (20, 4), (None, 4), (5, 5), (6, 6), (6, 6), (None, None), (8, 8), (9, 9)])
+    kept = op3.keep_one_of_each(docs(spark, rows), op3.near_components)
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter([1, 4, 5, 6, None, 8, 9])
+    assert op3.near_components(docs(spark, [])).count() == 0

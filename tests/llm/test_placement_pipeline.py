@@ -167,22 +167,11 @@ def test_pipeline_equals_its_stages_in_plain_code(spark, sf_dir):
     rows = {r["doc_id"]: r for r in docs.collect()}
     judged = {r["doc_id"]: r["kept"] for r in duck(sf_dir, op5.ORACLE_SQL)}
     kept = {i for i in rows if judged[i]}
-    from spindrift.llm.simhash_kernels import fingerprint
-
-    prints = {i: fingerprint(rows[i]["text"]) for i in kept}
-    parent = {i: i for i in kept}
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    ids = sorted(kept)
-    for a in range(len(ids)):
-        for b in range(a):
-            if (prints[ids[a]] ^ prints[ids[b]]).bit_count() <= 4:
-                parent[max(find(ids[a]), find(ids[b]))] = min(find(ids[a]), find(ids[b]))
-    alone = {i for i in kept if find(i) == i}
+    # near copies: five-word shingles, similarity of 0.8 or more, by all pairs
+    from tests.llm.test_dedup_quality import jaccard_components
+
+    found = jaccard_components({i: rows[i]["text"] for i in kept})
+    alone = {i for i in kept if found[i] == i}
     out = corpus_pipeline.run(spark, sf_dir).collect()
     assert {r["doc_id"] for r in out} == alone and len(out) == len(alone)
     spans = {r["doc_id"]: r["spans"] for r in op10.find_spans(docs.where(docs["doc_id"].isin(*alone))).collect()}
@@ -225,10 +214,11 @@ def test_every_stage_takes_odd_tables(spark, tmp_path):
                 assert out.count() == 0
 
 
-def test_near_copies_leave_one(spark):
+@pytest.mark.parametrize("components", [op3.simhash_components, op3.near_components])
+def test_near_copies_leave_one(spark, components):
     base = " ".join(f"w{k}" for k in range(6000))
     rows = [(9, base), (3, base), (5, base.replace("w7 ", "z ")), (1, "quite another text " * 30)]
-    kept = op3.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    kept = op3.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), components)
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
 
 
