@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from spindrift.llm.common import materialize, table
 from spindrift.llm.graph import connected_components
-from spindrift.llm.simhash_kernels import SMALL, bucket_forest, fingerprint, large_bucket_links, shingle_set, small_bucket_links, wide_fingerprint
+from spindrift.llm.simhash_kernels import SMALL, bucket_forest, fingerprint, large_bucket_links, shingle_set, small_bucket_links, spanning, wide_fingerprint
 
 
 #: Parts in which a component's members meet its smallest id.
@@ -168,6 +168,8 @@ def simhash_components(docs: DataFrame, k: int = 4, seed: int = 42, max_bits: in
 
 #: Of the wide search: 64-bit lanes, tables of index keys and positional bytes of a key.
 LANES, TABLES, KEY_BYTES = 8, 48, 2
+#: Tables of the first pass, which joins most of a large group, so that the others need not name its links again.
+FIRST = 6
 #: Agreeing positional bytes, of 64, that a candidate pair needs; at similarity 0.8 seventeen are expected.
 TALLY = 6
 
@@ -184,25 +186,25 @@ def bit_limits(similarity: float, lanes: int = LANES) -> tuple[int, int]:
     return max(0, int(middle - 3 * deviation)), int(middle + 2.5 * deviation)
 
 
-def _wide_keys(tables: int, size: int, seed: int) -> list[list[int]]:
+def _wide_keys() -> list[list[int]]:
     """Distinct byte positions of each table's key."""
-    rng = np.random.default_rng(seed)
-    return [sorted(rng.choice(8 * LANES, size, replace=False).tolist()) for _ in range(tables)]
+    rng = np.random.default_rng(7)
+    return [sorted(rng.choice(8 * LANES, KEY_BYTES, replace=False).tolist()) for _ in range(TABLES)]
 
 
-def _wide_postings(keys: list[list[int]]):
-    at = np.array(keys)
+def _wide_postings(tables: range):
+    at = np.array([_wide_keys()[t] for t in tables])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 1024):
                 part = batch.slice(k, 1024)
-                prints = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(-1, 8 * LANES)
-                key = np.broadcast_to(np.arange(len(at), dtype=np.int64), (len(prints), len(at))).copy()
+                prints = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(-1, 8 * LANES)
+                key = np.broadcast_to(np.array(tables, np.int64), (len(prints), len(at))).copy()
                 for j in range(at.shape[1]):
                     key = key << 8 | prints[:, at[:, j]]
                 take = pa.array(np.repeat(np.arange(len(prints)), len(at)))
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), part.column(0).take(take), part.column(1).take(take)], names=["key", "node", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), *(c.take(take) for c in part.columns)], names=["key", "node", "root", "fp"])
 
     return run
 
@@ -210,19 +212,22 @@ def _wide_postings(keys: list[list[int]]):
 def _wide_links(sure_bits: int, max_bits: int):
     """mapInArrow function over rows sorted by (key, lo, hi): links (a, b, sure) of each group, groups may span batches."""
 
-    def out(node: np.ndarray, found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
-        x, y, bits = node[found[0]], node[found[1]], found[2]
-        return pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y), pa.int64()), pa.array(np.minimum(x, y), pa.int64()), pa.array(bits <= sure_bits)], names=["a", "b", "sure"])
-
-    def solved(group: np.ndarray, node: np.ndarray, fp: np.ndarray, side: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def solved(group: np.ndarray, node: np.ndarray, root: np.ndarray, fp: np.ndarray, side: np.ndarray) -> pa.RecordBatch:
         starts = np.flatnonzero(np.diff(group, prepend=group[0] - 1))
         sizes = np.diff(np.append(starts, len(group)))
-        little = np.repeat((sizes > 1) & (sizes <= SMALL), sizes)
-        if little.any():
-            dense = np.cumsum(np.diff(group[little], prepend=group[little][0]) > 0)
-            yield out(node[little], small_bucket_links(dense, fp[little], side[little], TALLY, max_bits))
+        found = []
+        little = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= SMALL), sizes))
+        if len(little):
+            dense = np.cumsum(np.diff(group[little], prepend=group[little[0]]) > 0)
+            x, y, bits = small_bucket_links(dense, fp[little], side[little], TALLY, max_bits)
+            found.append((little[x], little[y], bits))
         for s, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
-            yield out(node[s : s + n], large_bucket_links(fp[s : s + n], side[s : s + n], TALLY, sure_bits, max_bits))
+            x, y, bits = large_bucket_links(fp[s : s + n], side[s : s + n], TALLY, sure_bits, max_bits)
+            found.append((s + x, s + y, bits))
+        x, y, bits = (np.concatenate(c) for c in zip(*found, (np.zeros(0, np.int64),) * 3, strict=True))
+        new = root[x] != root[y]
+        x, y, sure = x[new], y[new], bits[new] <= sure_bits
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in spanning(node[x], node[y], root[x], root[y], sure)], names=["a", "b", "sure"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -230,7 +235,7 @@ def _wide_links(sure_bits: int, max_bits: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, lo, hi, node, block = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "lo", "hi", "node", "block"))
+            key, lo, hi, node, root, block = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "lo", "hi", "node", "root", "block"))
             fp = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint64).reshape(-1, LANES)
             new = np.ones(len(key), bool)
             new[1:] = (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
@@ -238,19 +243,33 @@ def _wide_links(sure_bits: int, max_bits: int):
             last = (key[-1], lo[-1], hi[-1])
             group = seen + np.cumsum(new)
             seen = int(group[-1])
-            held.append((group, node, fp, (block != lo).astype(np.uint8)))
+            held.append((group, node, root, fp, (block != lo).astype(np.uint8)))
             if new.any():
                 columns = [np.concatenate(c) for c in zip(*held, strict=True)]
                 done = int(np.searchsorted(columns[0], seen))
                 held = [tuple(c[done:] for c in columns)]
                 if done:
-                    yield from solved(*(c[:done] for c in columns))
+                    yield solved(*(c[:done] for c in columns))
         if held:
-            yield from solved(*(np.concatenate(c) for c in zip(*held, strict=True)))
+            yield solved(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
     return run
 
 
+def _pass(nodes: DataFrame, tables: range, similarity: float, block: int) -> DataFrame:
+    """Links (a, b, sure) over some tables of the index between ``nodes`` (node, root, fp) of different roots."""
+    kinds = "key long, node long, root long, fp binary"
+    postings = nodes.mapInArrow(_wide_postings(tables), kinds)
+    lists = nodes.mapInArrow(_wide_postings(tables), kinds).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    # only lists that are cut: at most one for each ``block`` postings
+    long, _ = materialize(lists.where(F.col("n") > block).select(F.col("key").alias("long_key"), F.ceil(F.col("n") / F.lit(float(block))).cast("int").alias("parts")), "near-long")
+    nb = F.coalesce("parts", F.lit(1))
+    cut = postings.join(long, F.col("key") == F.col("long_key"), "left").select("key", "node", "root", "fp", nb.alias("nb"), F.pmod(F.xxhash64("node"), nb.cast("long")).cast("int").alias("block"))
+    dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", "root", "block", "fp")
+    found = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_wide_links(*bit_limits(similarity)), "a long, b long, sure boolean")
+    return found.groupBy("a", "b").agg(F.max("sure").alias("sure"))
+
+
 def _verified(uncertain: DataFrame, rows: DataFrame, classes: DataFrame, k: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of ``uncertain``, a written table, whose shingle sets are of ``similarity`` or more."""
 
@@ -290,17 +309,15 @@ def near_components(docs: DataFrame, k: int = 5, similarity: float = 0.8, block:
     # classes of equal fingerprints are numbered in a written table, so the numbers stay
     least = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash")).alias("l")
     classes, _ = materialize(marked.groupBy("fp").agg(least).select("fp", F.col("l.doc_id").alias("first_id"), F.col("l.text_hash").alias("text_hash"), F.monotonically_increasing_id().alias("node")), "near-classes")
-    postings = classes.select("node", "fp").mapInArrow(_wide_postings(_wide_keys(TABLES, KEY_BYTES, 7)), "key long, node long, fp binary")
-    lists = classes.select("node", "fp").mapInArrow(_wide_postings(_wide_keys(TABLES, KEY_BYTES, 7)), "key long, node long, fp binary").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    # only lists that are cut: at most one for each ``block`` postings
-    long, _ = materialize(lists.where(F.col("n") > block).select(F.col("key").alias("long_key"), F.ceil(F.col("n") / F.lit(float(block))).cast("int").alias("parts")), "near-long")
-    nb = F.coalesce("parts", F.lit(1))
-    cut = postings.join(long, F.col("key") == F.col("long_key"), "left").select("key", "node", "fp", nb.alias("nb"), F.pmod(F.xxhash64("node"), nb.cast("long")).cast("int").alias("block"))
-    dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", "block", "fp")
-    found = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_wide_links(*bit_limits(similarity)), "a long, b long, sure boolean")
-    links, _ = materialize(found.groupBy("a", "b").agg(F.max("sure").alias("sure")), "near-links")
+    nodes = classes.select("node", F.col("node").alias("root"), "fp")
+    first, _ = materialize(_pass(nodes, range(FIRST), similarity, block), "near-links")
+    joined_up, _ = connected_components(first.where("sure").select("a", "b"))
+    placed = nodes.drop("root").join(joined_up, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "fp")
+    rooted, _ = materialize(placed, "near-rooted")
+    second, _ = materialize(_pass(rooted, range(FIRST, TABLES), similarity, block), "near-links")
+    links = first.unionByName(second)
     nameless = classes.where("first_id IS NULL").select("node")
-    open_pairs, _ = materialize(links.where("NOT sure").select("a", "b"), "near-open")
+    open_pairs, _ = materialize(links.where("NOT sure").select("a", "b").distinct(), "near-open")
     # a pair with a nameless end cannot be looked up; its fingerprints decide
     unnamed = open_pairs.join(nameless, F.col("a") == F.col("node"), "left_semi").unionByName(open_pairs.join(nameless, F.col("b") == F.col("node"), "left_semi"))
     verified = _verified(open_pairs, rows, classes, k, similarity)

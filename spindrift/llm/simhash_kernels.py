@@ -130,6 +130,25 @@ def large_bucket_links(prints: np.ndarray, side: np.ndarray, tally_at_least: int
     return tuple(np.concatenate([np.zeros(0, np.int64), *c]) for c in (zip(*out, strict=True) if out else ((), (), ())))  # type: ignore[return-value]
 
 
+def spanning(a: np.ndarray, b: np.ndarray, root_a: np.ndarray, root_b: np.ndarray, sure: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same classes by fewer links (a, b, sure): a star forest over the roots that sure links join, and each uncertain pair between different trees once."""
+    names, at = np.unique(np.concatenate((root_a, root_b)), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    parent = np.arange(len(names))
+    u, v = x[sure], y[sure]
+    while len(u):
+        ru, rv = parent[u], parent[v]
+        apart = ru != rv
+        u, v, ru, rv = u[apart], v[apart], ru[apart], rv[apart]
+        if len(u):
+            np.minimum.at(parent, np.maximum(ru, rv), np.minimum(ru, rv))
+            parent = _roots(parent)
+    moved = np.flatnonzero(parent != np.arange(len(names)))
+    left = ~sure & (parent[x] != parent[y])
+    pairs = np.unique(np.stack((np.maximum(a, b)[left], np.minimum(a, b)[left]), axis=1), axis=0)
+    return np.concatenate((names[moved], pairs[:, 0])), np.concatenate((names[parent[moved]], pairs[:, 1])), np.arange(len(moved) + len(pairs)) < len(moved)
+
+
 def _roots(parent: np.ndarray) -> np.ndarray:
     while True:
         nxt = parent[parent]
