@@ -16,6 +16,7 @@ from spindrift.operators.align import align_tables, alignment_zone
 from spindrift.plans import workloads
 from spindrift.plans.session import MeshSession
 from spindrift.sources import odbh5, sinks, tecplot
+from spindrift.sources.derived import store_max_diffs
 from spindrift.sources.model import discover, preferred_zone, read_mesh, read_table, write_mesh
 
 
@@ -46,7 +47,7 @@ def stored_session(spark: SparkSession, store: str, dataset: str, zone: str | No
         raise ValueError(f"zone {zone!r} is not stored")
     if step is not None and step not in row["steps"]:
         raise ValueError(f"step {step} is not stored; steps: {row['steps']}")
-    return MeshSession(read_mesh(spark, store, dataset, zone), row["steps"][0] if step is None else step, dataset, zone)
+    return MeshSession(read_mesh(spark, store, dataset, zone), row["steps"][0] if step is None else step, dataset, zone, store)
 
 
 def bounds_payload(session: MeshSession, points: Sequence[Sequence[float]] = ()) -> dict:
@@ -80,6 +81,7 @@ def _ingest(a: argparse.Namespace, spark: SparkSession) -> int:
     zones = [r["zone"] for r in tecplot.read_part(spark, a.path, "zones").select("zone").distinct().orderBy("zone").collect()]
     for zone in [z for z in zones if not a.zone or z in a.zone]:
         write_mesh(tecplot.read_tecplot(spark, a.path, zone), a.store, a.dataset, zone)
+        store_max_diffs(read_mesh(spark, a.store, a.dataset, zone), a.store, a.dataset, zone)
         print(f"stored {a.dataset}/{zone}")
     return 0
 
@@ -98,6 +100,7 @@ def _ingest_h5(a: argparse.Namespace, spark: SparkSession) -> int:
     print(json.dumps({"instance": plan.instance, "frames": [[s, f.path, m] for s, f, m in plan.frames], "skipped": plan.skipped}))
     if not a.dry_run:
         write_mesh(odbh5.read_odb(spark, tree, **options)[0], a.store, a.dataset, a.zone)
+        store_max_diffs(read_mesh(spark, a.store, a.dataset, a.zone), a.store, a.dataset, a.zone)
     return 0
 
 

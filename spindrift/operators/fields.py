@@ -116,21 +116,22 @@ def incidence(cell_nodes: DataFrame) -> DataFrame:
     return cell_nodes.select("cell_id", F.explode("node_ids").alias("node_id")).distinct()
 
 
-def node_projection(cell_nodes: DataFrame, cell_scalar: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+def node_projection(cell_nodes: DataFrame, cell_scalar: DataFrame, nodes: DataFrame | None = None, pairs: DataFrame | None = None) -> DataFrame:
     """(step, var, node_id, value): mean of the finite values of a node's cells.
 
-    ``nodes`` (node_id) restricts the incidence before scalars are joined.
+    ``nodes`` (node_id) restricts the incidence before scalars are joined; ``pairs``
+    is the incidence, for callers that keep it.
     """
-    pairs = incidence(cell_nodes)
+    pairs = incidence(cell_nodes) if pairs is None else pairs
     pairs = pairs if nodes is None else pairs.join(nodes.select("node_id").distinct(), "node_id", "left_semi")
     values = cell_scalar.select("step", "var", "cell_id", finite(F.col("value")).alias("v")).where("v IS NOT NULL")
     return pairs.join(values, "cell_id").groupBy("step", "var", "node_id").agg(F.avg("v").alias("value"))
 
 
-def projected_extrema(requests: DataFrame, cell_nodes: DataFrame, cell_scalar: DataFrame, var: str) -> DataFrame:
+def projected_extrema(requests: DataFrame, cell_nodes: DataFrame, cell_scalar: DataFrame, var: str, pairs: DataFrame | None = None) -> DataFrame:
     """(point_id, min, max) over frames of cell values projected to the requested 1-based points; unknown ids are omitted."""
     nodes = requests.select((F.col("point_id") - 1).alias("node_id"))
-    means = node_projection(cell_nodes, of(cell_scalar, var), nodes)
+    means = node_projection(cell_nodes, of(cell_scalar, var), nodes, pairs)
     return means.groupBy((F.col("node_id") + 1).alias("point_id")).agg(F.min("value").alias("min"), F.max("value").alias("max"))
 
 

@@ -87,6 +87,11 @@ def grid_buckets(cells: DataFrame, grid: Grid, mode: str = "aabb") -> DataFrame:
     return out.select("ix", "iy", "iz", "cell_id")
 
 
+def bucket_members(cells: DataFrame, grid: Grid, mode: str = "centroid") -> DataFrame:
+    """(ix, iy, iz, cell_ids): ids of each bucket, ascending; for grids whose buckets hold few cells."""
+    return grid_buckets(cells, grid, mode).groupBy("ix", "iy", "iz").agg(F.array_sort(F.collect_list("cell_id")).alias("cell_ids"))
+
+
 def bucketed(cells: DataFrame, grid: Grid, eps: float = 0.0) -> DataFrame:
     """A row for each bucket that a cell's box, widened by ``eps``, overlaps at its levels."""
     out = cells.select("cell_id", "cx", "cy", "cz", *(f"{a}{s}" for a in "xyz" for s in ("min", "max")), *(grid.level(i).alias(f"l{a}") for i, a in enumerate("xyz")))

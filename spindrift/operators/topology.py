@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -154,52 +155,119 @@ def vtk_cell_type(element_type: Column, n_nodes: Column) -> Column:
     return out.otherwise(41)
 
 
-def hull_triangles(points: np.ndarray) -> np.ndarray:
-    """Triangles of a small convex hull, outward; every three points with all others on one side.
+#: Numbers that one block of plane tests may hold, so that memory does not follow the cells' node counts.
+_BLOCK = 1 << 22
+
+
+def hull_faces(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Faces of many small convex hulls at once: (cell, outward unit normal, offset, whether each point lies on it).
 
-    Coplanar faces of more than three points are fanned around their first point.
+    ``points`` is (cells, n, 3).  A plane through three points is a face if all others
+    lie on one side; planes of several triples count once, by the points on them.
     """
-    p = np.asarray(points, float).reshape(-1, 3)
-    scale = max(float(np.ptp(p, axis=0).max()), 1e-300) if len(p) else 1.0
-    seen: set[tuple[int, ...]] = set()
-    out = []
-    for i in range(len(p)):
-        for j in range(i + 1, len(p)):
-            for k in range(j + 1, len(p)):
-                n = np.cross(p[j] - p[i], p[k] - p[i])
-                size = np.linalg.norm(n)
-                if size <= 1e-12 * scale * scale:
-                    continue
-                side = (p - p[i]) @ (n / size)
-                if side.max() > 1e-9 * scale and side.min() < -1e-9 * scale:
-                    continue
-                n = n / size if side.max() <= 1e-9 * scale else -n / size
-                flat = np.flatnonzero(np.abs(side) <= 1e-9 * scale)
-                if tuple(flat) in seen:
-                    continue
-                seen.add(tuple(flat))
-                centre = p[flat].mean(axis=0)
-                u = p[flat[0]] - centre
-                v = np.cross(n, u)
-                ring = flat[np.argsort(np.arctan2((p[flat] - centre) @ v, (p[flat] - centre) @ u), kind="stable")]
-                out += [(ring[0], ring[m], ring[m + 1]) for m in range(1, len(ring) - 1)]
-    return np.array(out, np.int64).reshape(-1, 3)
+    p = np.asarray(points, float)
+    n = p.shape[1]
+    triples = np.array([t for t in itertools.combinations(range(n), 3)], np.int64).reshape(-1, 3)
+    found = []
+    wide = max(1, min(len(p), _BLOCK // max(1, n * min(len(triples), 256))))
+    for first in range(0, len(p), wide):
+        q = p[first : first + wide]
+        scale = np.maximum(np.ptp(q, axis=1).max(axis=1), 1e-300)[:, None]
+        for at in range(0, len(triples), 256):
+            i, j, k = triples[at : at + 256].T
+            normal = np.cross(q[:, j] - q[:, i], q[:, k] - q[:, i])
+            size = np.linalg.norm(normal, axis=2)
+            sound = size > 1e-12 * scale * scale
+            normal = normal / np.where(sound, size, 1.0)[..., None]
+            offset = np.einsum("mtc,mtc->mt", normal, q[:, i])
+            side = np.einsum("mtc,mnc->mtn", normal, q) - offset[..., None]
+            eps = 1e-9 * scale
+            under, over = side.max(axis=2) <= eps, side.min(axis=2) >= -eps
+            cell, t = np.nonzero(sound & (under | over))
+            turn = np.where(under[cell, t], 1.0, -1.0)
+            found.append((cell + first, np.full(len(cell), at) + t, normal[cell, t] * turn[:, None], offset[cell, t] * turn, np.abs(side[cell, t]) <= eps[cell]))
+    cell, triple, normal, offset, flat = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 3)), np.zeros(0), np.zeros((0, n), bool))
+    order = np.lexsort((triple, cell))
+    cell, normal, offset, flat = cell[order], normal[order], offset[order], flat[order]
+    # a flat cell has its plane twice, once for each side
+    keys = np.concatenate([cell[:, None].view(np.uint8).reshape(len(cell), 8), np.packbits(flat, axis=1)], axis=1)
+    _, kept = np.unique(keys, axis=0, return_index=True)
+    kept.sort()
+    return cell[kept], normal[kept], offset[kept], flat[kept]
+
+
+def _fans(points: np.ndarray) -> Iterator[tuple[int, tuple[int, int, int]]]:
+    """(cell, triangle) of hulls; coplanar faces of more than three points are fanned around their first point."""
+    for cell, n, _, on in zip(*hull_faces(points), strict=True):
+        p, flat = points[cell], np.flatnonzero(on)
+        centre = p[flat].mean(axis=0)
+        u = p[flat[0]] - centre
+        v = np.cross(n, u)
+        ring = flat[np.argsort(np.arctan2((p[flat] - centre) @ v, (p[flat] - centre) @ u), kind="stable")]
+        for m in range(1, len(ring) - 1):
+            yield int(cell), (ring[0], ring[m], ring[m + 1])
+
+
+def hull_triangles(points: np.ndarray) -> np.ndarray:
+    """Triangles of a small convex hull, outward."""
+    p = np.asarray(points, float).reshape(1, -1, 3)
+    return np.array([t for _, t in _fans(p)], np.int64).reshape(-1, 3)
+
+
+def _alike(rows: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(cell ids, corners) of the batch's cells by node count; of a ten-node tetrahedron the four corners."""
+    corners = [np.array([(p["x"], p["y"], p["z"]) for p in pts[: 4 if ten else None]]) for ten, pts in zip(rows["ten"], rows["pts"], strict=True)]
+    sizes = np.array([len(c) for c in corners])
+    ids = rows["cell_id"].to_numpy()
+    for n in np.unique(sizes):
+        held = np.flatnonzero(sizes == n)
+        yield ids[held], np.stack([corners[k] for k in held])
 
 
 def _shells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for rows in batches:
-        out = []
-        for cell, ten, pts in zip(rows["cell_id"], rows["ten"], rows["pts"], strict=True):
-            xyz = np.array([(p["x"], p["y"], p["z"]) for p in pts])
-            for k, t in enumerate(hull_triangles(xyz[:4] if ten else xyz)):
-                out.append((cell, k, *xyz[t].ravel()))
+        out, count = [], {}
+        for ids, corners in _alike(rows):
+            for cell, t in _fans(corners):
+                k = count[ids[cell]] = count.get(ids[cell], -1) + 1
+                out.append((ids[cell], k, *corners[cell][list(t)].ravel()))
         yield pd.DataFrame(out, columns=["cell_id", "tri", *(f"{n}{c}" for n in "abc" for c in "xyz")])
 
 
+def _planes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for rows in batches:
+        out = []
+        for ids, corners in _alike(rows):
+            cell, normal, offset, flat = hull_faces(corners)
+            # every point on one plane: no inside
+            solid = ~np.isin(cell, cell[flat.all(axis=1)])
+            out.append(pd.DataFrame({"cell_id": ids[cell][solid], **{f"n{c}": normal[solid, i] for i, c in enumerate("xyz")}, "d": offset[solid]}))
+        yield pd.concat(out) if out else pd.DataFrame({c: [] for c in ("cell_id", "nx", "ny", "nz", "d")})
+
+
+def _typed(mesh: Mesh, element_types: DataFrame | None, selection: DataFrame | None = None) -> DataFrame:
+    from spindrift.operators.surface import cell_points
+
+    pts = cell_points(mesh, selection).where(F.size("pts") >= 4)
+    if element_types is None:
+        return pts.select("cell_id", F.lit(False).alias("ten"), "pts")
+    ten = element_types.select("cell_id", F.upper("element_type").startswith("C3D10").alias("ten"))
+    return pts.join(ten, "cell_id", "left").select("cell_id", F.coalesce("ten", F.lit(False)).alias("ten"), "pts")
+
+
 def cell_shells(mesh: Mesh, element_types: DataFrame | None = None) -> DataFrame:
     """(cell_id, tri, ax..cz): convex surface of each cell of four nodes or more; ten-node tetrahedra by their corners."""
-    from spindrift.operators.surface import cell_points
+    return _typed(mesh, element_types).mapInPandas(_shells, "cell_id long, tri int, " + ", ".join(f"{n}{c} double" for n in "abc" for c in "xyz"))
+
+
+def shell_planes(mesh: Mesh, element_types: DataFrame | None = None, selection: DataFrame | None = None) -> DataFrame:
+    """(cell_id, nx, ny, nz, d): outward planes of the convex surfaces; the cell is where n . p <= d for all of them.
+
+    Flat cells and cells of less than four nodes have no inside and no rows.
+    """
+    return _typed(mesh, element_types, selection).mapInPandas(_planes, "cell_id long, nx double, ny double, nz double, d double")
+
 
-    pts = cell_points(mesh).where(F.size("pts") >= 4)
-    typed = pts.withColumn("ten", F.lit(False)) if element_types is None else pts.join(element_types.select("cell_id", F.upper("element_type").startswith("C3D10").alias("ten")), "cell_id", "left").withColumn("ten", F.coalesce("ten", F.lit(False)))
-    return typed.select("cell_id", "ten", "pts").mapInPandas(_shells, "cell_id long, tri int, " + ", ".join(f"{n}{c} double" for n in "abc" for c in "xyz"))
+def cell_geometry(mesh: Mesh) -> DataFrame:
+    """(cell_id, node_ids, cx, cy, cz): every cell of the connectivity, centroids NULL where it has none."""
+    return mesh.cell_nodes.join(mesh.cells.select("cell_id", "cx", "cy", "cz"), "cell_id", "left").select("cell_id", "node_ids", "cx", "cy", "cz")

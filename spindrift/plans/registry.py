@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spindrift.plans import queries, workload_queries  # noqa: F401  (the latter registers more)
+from spindrift.plans import queries, shape_queries, workload_queries  # noqa: F401  (the latter two register more)
 
 QUERIES = dict(queries.QUERIES)
 ORACLE = dict(queries.ORACLE)

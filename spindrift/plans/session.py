@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.functions.geometry import plane_hit, segment_entry
-from spindrift.operators import fields, gradient, interpolate, locate, surface
-from spindrift.sources.model import Mesh, surface_zone_order
+from spindrift.functions.storage import materialize
+from spindrift.operators import fields, gradient, interpolate, locate, shells, surface
+from spindrift.sources.derived import read_derived
+from spindrift.sources.model import Mesh, discover, read_table, surface_zone_order, zone_token
 
 
 class MeshSession:
@@ -19,11 +21,12 @@ class MeshSession:
 
     Methods that return ids or rows give DataFrames; single numbers come as Python
     values.  ``h5`` methods use source labels and nodal values, ``cfd`` methods
-    1-based ids and cell values.
+    1-based ids and cell values.  ``store`` is the folder the mesh was read from, if
+    any: results stored there are read instead of computed again.
     """
 
-    def __init__(self, mesh: Mesh, step: int | None = None, dataset: str = "", zone: str = "0_Fluid") -> None:
-        self.mesh, self.step, self.dataset, self.zone = mesh, step, dataset, zone
+    def __init__(self, mesh: Mesh, step: int | None = None, dataset: str = "", zone: str = "0_Fluid", store: str | None = None) -> None:
+        self.mesh, self.step, self.dataset, self.zone, self.store = mesh, step, dataset, zone, store
 
     @property
     def spark(self):  # noqa: ANN201
@@ -47,6 +50,32 @@ class MeshSession:
     def grid(self) -> locate.Grid:
         return locate.grid_of(self.mesh.cells)
 
+    def _derived(self, name: str, step: int) -> DataFrame | None:
+        """Stored rows of a frame; None where the store has none."""
+        rows = None if self.store is None else read_derived(self.spark, self.store, name, self.dataset, self.zone)
+        rows = None if rows is None else rows.where(F.col("step") == step)
+        return None if rows is None or rows.isEmpty() else rows
+
+    @cached_property
+    def _zones(self) -> dict[str, list[str]]:
+        """Variables present in all frames of each zone of the data set; of this zone alone without a store."""
+        if self.store is None:
+            return {self.zone: self.cfd_variables()}
+        stored = read_table(self.spark, self.store, "cell_scalar").where(F.col("dataset") == self.dataset)
+        named = {r["zone"]: list(r["variables"]) for r in discover(stored).collect()}
+        shaped = read_table(self.spark, self.store, "cells").where(F.col("dataset") == self.dataset).select("zone").distinct().collect()
+        return {r["zone"]: named.get(r["zone"], []) for r in shaped}
+
+    def list_zones(self) -> list[str]:
+        return sorted(self._zones)
+
+    def variables_for_zone(self, zone: str | None = None) -> tuple[str, ...]:
+        return tuple(sorted(self._zones.get(self.zone if zone is None else zone_token(zone), ())))
+
+    def resolve_hull_zone(self, hint: str | None = None) -> str:
+        """The zone to integrate over the surface of."""
+        return surface_zone_order(self.list_zones(), self.zone, hint)[0]
+
     def is_h5_dataset(self) -> bool:
         return self.capabilities["node_source"]
 
@@ -87,12 +116,20 @@ class MeshSession:
         return self.spark.createDataFrame([(k, *map(float, p)) for k, p in enumerate(points)], "point_id long, x double, y double, z double")
 
     def point_intersection(self, points: Sequence[Sequence[float]] | DataFrame, mode: str = "nearest", misses: bool = False) -> DataFrame:
-        """Cells of points; misses are left out unless asked for.  Modes: nearest, first, nearest_in_bucket."""
+        """Cells of points; misses are left out unless asked for.
+
+        Modes: nearest, first and nearest_in_bucket decide by boxes, exact by the cells' convex shells.
+        """
         table = points if isinstance(points, DataFrame) else self.points(points)
+        if mode == "exact":
+            return shells.locate_exact(table, self.mesh, self.grid, misses).orderBy("point_id")
         found = {"nearest": locate.locate_nearest, "first": locate.locate_first, "nearest_in_bucket": locate.locate_nearest_in_bucket}[mode]
         return found(table, self.mesh.cells, misses=misses).orderBy("point_id")
 
-    def line_intersection(self, start: Sequence[float], end: Sequence[float]) -> DataFrame:
+    def line_intersection(self, start: Sequence[float], end: Sequence[float], mode: str = "box") -> DataFrame:
+        """(cell_id, t) along the segment of the cells whose box, or whose convex shell with ``exact``, it meets."""
+        if mode == "exact":
+            return shells.segment_cells(self.mesh, start, end).orderBy("t", "cell_id")
         return self.mesh.cells.select("cell_id", segment_entry(start, end).alias("t")).where("t IS NOT NULL").orderBy("t", "cell_id")
 
     def plane_intersection(self, origin: Sequence[float], normal: Sequence[float], zero_normal: str = "empty") -> DataFrame:
@@ -111,7 +148,23 @@ class MeshSession:
         return surface.surface_normals(self.mesh, selection) if selection is not None else surface.surface_cells_and_normals(self.mesh)
 
     def surface_cells_and_normals(self) -> DataFrame:
-        return surface.surface_cells_and_normals(self.mesh)
+        return self._prepared["normals"] if "normals" in self._prepared else surface.surface_cells_and_normals(self.mesh)
+
+    @cached_property
+    def _prepared(self) -> dict[str, DataFrame]:
+        return {}
+
+    def prepare_surface_force_query(self) -> bool:
+        """Write the surface normals once for the force queries that follow; False where there is no surface."""
+        if "normals" not in self._prepared:
+            self._prepared["normals"] = materialize(surface.surface_cells_and_normals(self.mesh), "session-normals")
+        return not self._prepared["normals"].isEmpty()
+
+    def prepare_cfd_point_queries(self) -> None:
+        """Write the nodes' cells once, dealt by node, for the point queries that follow."""
+        if "incidence" not in self._prepared:
+            pairs = fields.incidence(self.mesh.cell_nodes).repartition("node_id").sortWithinPartitions("node_id")
+            self._prepared["incidence"] = materialize(pairs, "session-incidence")
 
     def surface_force_query(self, var: str, step: int | None = None) -> tuple[float, float, float] | None:
         r = surface.surface_force(self.surface_cells_and_normals(), self.mesh.cell_scalar, var, self._step(step)).first()
@@ -121,7 +174,12 @@ class MeshSession:
         return gradient.q_criterion(self.mesh, lower, upper, self._step(step), tau, **options).orderBy("cell_id")
 
     def query_vortex_cells(self, tau: float, lower: Sequence[float], upper: Sequence[float], step: int | None = None, **options) -> DataFrame:
-        return gradient.vortex_cells(self.mesh, lower, upper, self._step(step), tau, **options)
+        """(cell_id, q), strongest first; of stored values where the frame has them and no option changes them."""
+        stored = None if options else self._derived("qcriterion", self._step(step))
+        if stored is None:
+            return gradient.vortex_cells(self.mesh, lower, upper, self._step(step), tau, **options)
+        inside = stored.where(F.col("q") >= tau).join(fields.range_coord(self.mesh.cells, lower, upper), "cell_id", "left_semi")
+        return inside.select("cell_id", "q").orderBy(F.desc("q"), "cell_id")
 
     def var_value_range(self, var: str, step: int | None = None) -> tuple[float, float]:
         """(0, 1) for a variable without finite values."""
@@ -129,8 +187,11 @@ class MeshSession:
         return (0.0, 1.0) if r is None or r["min"] is None else (r["min"], r["max"])
 
     def get_max_diffs(self, step: int | None = None) -> dict[str, float]:
-        scalars = fields.of(self.mesh.cell_scalar, step=self._step(step))
-        return {r["var"]: r["max_diff"] for r in fields.max_neighbor_diff(self.mesh.edges, scalars, "range").collect()}
+        """Stored differences, else computed ones, which are max - min where no neighbours have values."""
+        rows = self._derived("max_diffs", self._step(step))
+        if rows is None:
+            rows = fields.max_neighbor_diff(self.mesh.edges, fields.of(self.mesh.cell_scalar, step=self._step(step)), "range")
+        return {r["var"]: r["max_diff"] for r in rows.collect()}
 
     def h5_element_ids_in_coordinate_range(self, lower: Sequence[float], upper: Sequence[float]) -> DataFrame:
         return fields.element_ids_in_range(self.mesh.cells, lower, upper, self.mesh.cell_source).orderBy("element_id")
@@ -167,7 +228,7 @@ class MeshSession:
         return {r["source_label"]: (r["min"], r["max"]) for r in rows}
 
     def cfd_point_frame_extrema(self, ids: Sequence[int], var: str) -> dict[int, tuple[float, float]]:
-        rows = fields.projected_extrema(self._ids(ids, "point_id"), self.mesh.cell_nodes, self.mesh.cell_scalar, var).collect()
+        rows = fields.projected_extrema(self._ids(ids, "point_id"), self.mesh.cell_nodes, self.mesh.cell_scalar, var, self._prepared.get("incidence")).collect()
         return {r["point_id"]: (r["min"], r["max"]) for r in rows}
 
     def resolve_w6_scalar(self, candidates: Sequence[str] = ("P",)) -> str:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spindrift.operators import fields, surface
 from spindrift.plans import workloads
-from spindrift.plans.queries import _INSIDE, _MEMBER, _SIZE, _STATS, BOX_HIGH, BOX_LOW, ORACLE, PLANE, SEGMENT, STEP, _DISTANCE, _iso_sql, _r, _slabs, query, rounded
+from spindrift.plans.queries import _CENTRED, _INSIDE, _MEMBER, _SIZE, _STATS, BOX_HIGH, BOX_LOW, ORACLE, PLANE, SEGMENT, STEP, _DISTANCE, _iso_sql, _r, _slabs, query, rounded
 from spindrift.plans.session import MeshSession
 from spindrift.sources.lattice import lattice_mesh, probe_points, with_lattice
 
@@ -46,14 +46,47 @@ def w2_box_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _short(workloads.box_aggregate(_session(spark, sf_dir), BOX_LOW, BOX_HIGH, "P"))
 
 
+#: The cell whose value seeds W3.
+SEED_CELL = 100
+
+
 @query()
 def w3_seeded_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(workloads.seeded_surface(_session(spark, sf_dir), SEED_CELL, "P", STEP))
+
+
+def _seeded_sql() -> str:
+    """The surface's SQL at the seed's value, through cells within the largest neighbour difference of it."""
+    spread = f"SELECT max(abs(a.value - b.value)) FROM {_P} a JOIN edges USING (cell_id) JOIN {_P} b ON b.cell_id = neighbor_id"
+    seed = f"seed AS (SELECT value AS iso, value - ({spread}) AS low, value + ({spread}) AS high FROM {_P} WHERE cell_id = {SEED_CELL})"
+    sql = _iso_sql().replace("60000", "iso").replace("FROM tets WHERE", "FROM tets, seed WHERE")
+    sql = sql.replace("WHERE m >= 3", f"WHERE m >= 3 AND cell_id IN (SELECT cell_id FROM {_P}, seed WHERE value BETWEEN low AND high)")
+    return with_lattice("").rstrip() + f",\n{seed}" + sql
+
+
+ORACLE["w3_seeded_surface"] = _seeded_sql()
+
+
+@query()
+def w6_force(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _session(spark, sf_dir)
-    near = s.range_query_var(55_000.0, 65_000.0, "P", STEP)
-    return rounded(surface.isosurface(s.mesh, "P", 60_000.0, STEP, near))
+    return rounded(surface.surface_force(s.surface_cells_and_normals(), s.mesh.cell_scalar, s.resolve_w6_scalar(("none", "P")), STEP), 4)
+
+
+ORACLE["w6_force"] = ORACLE["surface_force"].replace("WHERE var = 'P'", f"WHERE var = 'P' AND step = {STEP}")
+
+
+@query()
+def w7_qcriterion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_session(spark, sf_dir).compute_qcriterion_roi(BOX_HIGH, BOX_LOW, deficient="drop"), 9)
+
+
+ORACLE["w7_qcriterion"] = ORACLE["qcriterion_roi"]
 
 
-ORACLE["w3_seeded_surface"] = with_lattice("").rstrip() + _iso_sql().replace("GROUP BY 1, 2", "GROUP BY 1, 2").replace("WHERE m >= 3", f"WHERE m >= 3 AND cell_id IN (SELECT cell_id FROM {_P} WHERE value BETWEEN 55000 AND 65000)")
+@query(f"SELECT cell_id + 1 AS element_id FROM cells WHERE {_CENTRED}")
+def w9_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _session(spark, sf_dir).cfd_element_ids_in_coordinate_range(BOX_LOW, BOX_HIGH)
 
 
 @query(f"SELECT cell_id FROM {_P}, (SELECT min(value) AS lo, max(value) AS hi FROM {_P}) WHERE value BETWEEN lo + 0.25 * (hi - lo) AND lo + 0.75 * (hi - lo)")

@@ -7,9 +7,12 @@ cell scalars (step = line number) and of nodal scalars; events are probe points.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spindrift.operators.topology import cells_from_nodes
 from spindrift.sources.model import Mesh
 
 NX, NY = 20, 10
@@ -69,6 +72,28 @@ def lattice_mesh(spark: SparkSession, sf_dir: str) -> Mesh:
     )
 
 
+#: The ways from a box's low corner to its high one, an axis at a time; each spans a tetrahedron.
+WAYS = tuple(itertools.permutations("xyz"))
+#: Slant of the tetrahedral mesh: x grows by this with z, y with the grown x.
+SLANT = (0.3, 0.25)
+
+
+def tetra_mesh(spark: SparkSession, sf_dir: str) -> Mesh:
+    """The lattice with each box cut into six tetrahedra along its diagonal, then slanted; no box fits its cell.
+
+    Cell ids are 6 * box + k of ``WAYS``; nodes and frames are the lattice's.
+    """
+    lattice = lattice_mesh(spark, sf_dir)
+    bit = {"x": 1, "y": 2, "z": 4}  # corner numbers of CORNERS
+    paths = [(0, bit[a], bit[a] + bit[b], 7) for a, b, _ in WAYS]
+    tets = F.posexplode(F.array(*(F.array(*(F.get("node_ids", F.lit(c)) for c in path)) for path in paths))).alias("k", "node_ids")
+    cell_nodes = lattice.cell_nodes.select("cell_id", tets).select((F.col("cell_id") * 6 + F.col("k")).alias("cell_id"), "node_ids")
+    x = F.col("x") + SLANT[0] * F.col("z")
+    nodes = lattice.nodes.select("node_id", x.alias("x"), (F.col("y") + SLANT[1] * x).alias("y"), "z")
+    frames = lattice.cell_scalar.select("step", "var", F.explode(F.array(*(F.col("cell_id") * 6 + k for k in range(6)))).alias("cell_id"), "value")
+    return Mesh.of(spark, cells=cells_from_nodes(cell_nodes, nodes), nodes=nodes, cell_nodes=cell_nodes, cell_scalar=frames, meta={"dataset": "tetra", "zone": "0_Fluid"})
+
+
 def _boundary(cells: DataFrame, last: DataFrame) -> DataFrame:
     """Outer faces with outward axis normals; areas vary by cell so that weighting shows."""
     at, top = [F.col("ix"), F.col("iy"), F.col("iz")], [F.lit(NX - 1), F.lit(NY - 1), F.floor(F.col("last") / float(NX * NY))]
