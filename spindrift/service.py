@@ -162,10 +162,11 @@ class Jobs:
                 while not self.queue:
                     self.ready.wait()
                 key = self.queue.pop(0)
+                # reads close before anyone can see the job run
+                self.running = key
                 job = self._put(self.get(key) | {"status": "running"})
                 log = open(os.path.join(self.root, key, "log.txt"), "w")  # noqa: SIM115
                 self.process = subprocess.Popen([*self.command, job["kind"], *job["arguments"]], stdout=log, stderr=log, start_new_session=True)
-                self.running = key
             code = self.process.wait()
             log.close()
             with self.ready:
