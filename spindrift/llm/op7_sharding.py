@@ -20,6 +20,8 @@ from spindrift.llm.common import table
 #: Production table: prime, and over 100 times the shards, for even shares.
 TABLE_SIZE = 16381
 SHARDS = 64
+#: Tables of more slots, some tens of megabytes, are joined without being broadcast.
+MOST_BROADCAST = 1 << 20
 
 
 def _is_prime(n: int) -> bool:
@@ -65,7 +67,7 @@ def key_number(key: Column) -> Column:
 
 
 def shard(rows: DataFrame, key_col: str, shards: list[str], size: int = TABLE_SIZE, salt_cols: tuple[str, ...] = ()) -> DataFrame:
-    """``rows`` with ``slot`` and ``shard``; nothing is shuffled.
+    """``rows`` with ``slot`` and ``shard``; nothing is shuffled for tables of up to MOST_BROADCAST slots.
 
     Equal keys have equal shards.  A key that may hold a large share of all rows can
     be spread by ``salt_cols``, whose texts then join the key.  Null keys are one
@@ -77,7 +79,8 @@ def shard(rows: DataFrame, key_col: str, shards: list[str], size: int = TABLE_SI
         key = F.concat_ws("\x1f", key.cast("string"), *(F.col(f"`{c}`").cast("string") for c in salt_cols))
     kept = [F.col(f"`{c}`") for c in rows.columns if c not in ("slot", "shard") or c == key_col]
     placed = rows.select(F.pmod(key_number(key), F.lit(size)).cast("int").alias("__slot"), *kept)
-    found = F.broadcast(lookup_table(rows.sparkSession, shards, size))
+    found = lookup_table(rows.sparkSession, shards, size)
+    found = F.broadcast(found) if size <= MOST_BROADCAST else found
     return placed.join(found, placed["__slot"] == found["slot"]).select(*(F.col(f"`{c}`") for c in rows.columns if c not in ("slot", "shard")), "slot", "shard")
 
 

@@ -118,6 +118,16 @@ def test_sharding_of_odd_rows(spark):
     assert op7.shard(table.where("false"), "doc_id", op7.shard_names(3), 101).count() == 0
 
 
+def test_large_sharding_tables_are_not_broadcast_by_hint(spark, monkeypatch):
+    rows, names = spark.range(50).withColumnRenamed("id", "doc_id"), op7.shard_names(3)
+    small = op7.shard(rows, "doc_id", names, 101)
+    monkeypatch.setattr(op7, "MOST_BROADCAST", 100)
+    large = op7.shard(rows, "doc_id", names, 101)
+    hinted = lambda df: "broadcast" in df._jdf.queryExecution().optimizedPlan().toString()
+    assert hinted(small) and not hinted(large)
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect()))
+
+
 def cosine(a, b):
     return (a * b).sum() / (np.sqrt((a * a).sum()) * np.sqrt((b * b).sum()))
 
