@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from spindrift.llm.common import materialize, table
 from spindrift.llm.graph import connected_components
-from spindrift.llm.simhash_kernels import SMALL, bucket_forest, fingerprint, large_bucket_links, shingle_set, small_bucket_links, spanning, wide_fingerprint
+from spindrift.llm.simhash_kernels import NEAREST, SMALL, bucket_forest, fingerprint, large_bucket_links, shingle_set, small_bucket_links, spanning, verified_links, wide_fingerprint
 
 
 #: Parts in which a component's members meet its smallest id.
@@ -172,6 +172,8 @@ LANES, TABLES, KEY_BYTES = 8, 48, 2
 FIRST = 6
 #: Agreeing positional bytes, of 64, that a candidate pair needs; at similarity 0.8 seventeen are expected.
 TALLY = 6
+#: Fingerprints of a block of a list whose open pairs are all verified; bounds the sets that a task holds.
+REST_BLOCK = 512
 
 
 def bit_limits(similarity: float, lanes: int = LANES) -> tuple[int, int]:
@@ -209,25 +211,61 @@ def _wide_postings(tables: range):
     return run
 
 
-def _wide_links(sure_bits: int, max_bits: int):
-    """mapInArrow function over rows sorted by (key, lo, hi): links (a, b, sure) of each group, groups may span batches."""
+def _wide_links(sure_bits: int, max_bits: int, most: int = NEAREST, small: int = SMALL):
+    """mapInArrow function over rows sorted by (key, lo, hi): links (a, b, sure) of each group, groups may span batches.
 
-    def solved(group: np.ndarray, node: np.ndarray, root: np.ndarray, fp: np.ndarray, side: np.ndarray) -> pa.RecordBatch:
+    A row (key, NULL, NULL) says that a bucket of over ``small`` may hold uncertain links beyond each row's nearest ``most``.
+    """
+
+    def solved(group: np.ndarray, key: np.ndarray, node: np.ndarray, root: np.ndarray, fp: np.ndarray, side: np.ndarray) -> pa.RecordBatch:
         starts = np.flatnonzero(np.diff(group, prepend=group[0] - 1))
         sizes = np.diff(np.append(starts, len(group)))
-        found = []
-        little = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= SMALL), sizes))
+        found, unfinished = [], set()
+        little = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= small), sizes))
         if len(little):
             dense = np.cumsum(np.diff(group[little], prepend=group[little[0]]) > 0)
             x, y, bits = small_bucket_links(dense, fp[little], side[little], TALLY, max_bits)
             found.append((little[x], little[y], bits))
-        for s, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
-            x, y, bits = large_bucket_links(fp[s : s + n], side[s : s + n], TALLY, sure_bits, max_bits)
+        large = sizes > max(small, 1)
+        for s, n in zip(starts[large].tolist(), sizes[large].tolist(), strict=True):
+            x, y, bits = large_bucket_links(fp[s : s + n], side[s : s + n], TALLY, sure_bits, max_bits, most, root[s : s + n])
             found.append((s + x, s + y, bits))
+            if np.bincount(x[bits > sure_bits], minlength=1).max() >= most:
+                unfinished.add(int(key[s]))
         x, y, bits = (np.concatenate(c) for c in zip(*found, (np.zeros(0, np.int64),) * 3, strict=True))
         new = root[x] != root[y]
         x, y, sure = x[new], y[new], bits[new] <= sure_bits
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in spanning(node[x], node[y], root[x], root[y], sure)], names=["a", "b", "sure"])
+        a, b, sure = (pa.array(c) for c in spanning(node[x], node[y], root[x], root[y], sure))
+        marks, nothing = pa.array(sorted(unfinished), pa.int64()), pa.nulls(len(unfinished))
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([a, marks]), pa.concat_arrays([b, nothing.cast(b.type)]), pa.concat_arrays([sure, nothing.cast(sure.type)])], names=["a", "b", "sure"])
+
+    return _by_group(solved)
+
+
+def _settled_links(sure_bits: int, max_bits: int, similarity: float):
+    """mapInArrow function over rows sorted by (key, lo, hi) with their sets: links (a, b) of each group that join different roots."""
+
+    def solved(group: np.ndarray, key: np.ndarray, node: np.ndarray, root: np.ndarray, fp: np.ndarray, side: np.ndarray, sets: np.ndarray) -> pa.RecordBatch:
+        starts = np.flatnonzero(np.diff(group, prepend=group[0] - 1))
+        found = [(np.zeros(0, np.int64),) * 2]
+        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(group)], strict=True):
+            x, y = verified_links(fp[s:e], side[s:e], root[s:e], list(sets[s:e]), TALLY, sure_bits, max_bits, similarity)
+            found.append((node[s + x], node[s + y]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["a", "b"])
+
+    return _by_group(solved)
+
+
+def _by_group(solved: Callable[..., pa.RecordBatch]):
+    """mapInArrow function that hands whole groups of rows sorted by (key, lo, hi) to ``solved``; groups may span batches."""
+
+    def sets_of(batch: pa.RecordBatch) -> np.ndarray:
+        lists = batch.column("held")
+        n = lists.value_lengths()
+        values, ends, out = lists.flatten().to_numpy(), np.cumsum(n.fill_null(0).to_numpy()), np.empty(len(lists), object)
+        for i, (e, m) in enumerate(zip(ends.tolist(), n.to_pylist(), strict=True)):
+            out[i] = None if m is None else values[e - m : e]
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -243,7 +281,8 @@ def _wide_links(sure_bits: int, max_bits: int):
             last = (key[-1], lo[-1], hi[-1])
             group = seen + np.cumsum(new)
             seen = int(group[-1])
-            held.append((group, node, root, fp, (block != lo).astype(np.uint8)))
+            extra = (sets_of(batch),) if "held" in batch.schema.names else ()
+            held.append((group, key, node, root, fp, (block != lo).astype(np.uint8), *extra))
             if new.any():
                 columns = [np.concatenate(c) for c in zip(*held, strict=True)]
                 done = int(np.searchsorted(columns[0], seen))
@@ -256,22 +295,46 @@ def _wide_links(sure_bits: int, max_bits: int):
     return run
 
 
-def _pass(nodes: DataFrame, tables: range, similarity: float, block: int) -> DataFrame:
-    """Links (a, b, sure) over some tables of the index between ``nodes`` (node, root, fp) of different roots."""
-    kinds = "key long, node long, root long, fp binary"
-    postings = nodes.mapInArrow(_wide_postings(tables), kinds)
-    lists = nodes.mapInArrow(_wide_postings(tables), kinds).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+KINDS = "key long, node long, root long, fp binary"
+
+
+def _dealt(postings: DataFrame, lists: DataFrame, block: int) -> DataFrame:
+    """``postings`` sorted by (key, lo, hi), a group for each pair of blocks of a list; ``lists`` are their lengths (key, n)."""
     # only lists that are cut: at most one for each ``block`` postings
     long, _ = materialize(lists.where(F.col("n") > block).select(F.col("key").alias("long_key"), F.ceil(F.col("n") / F.lit(float(block))).cast("int").alias("parts")), "near-long")
     nb = F.coalesce("parts", F.lit(1))
-    cut = postings.join(long, F.col("key") == F.col("long_key"), "left").select("key", "node", "root", "fp", nb.alias("nb"), F.pmod(F.xxhash64("node"), nb.cast("long")).cast("int").alias("block"))
-    dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", "root", "block", "fp")
-    found = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_wide_links(*bit_limits(similarity)), "a long, b long, sure boolean")
+    kept = [c for c in postings.columns if c != "key"]
+    cut = postings.join(long, F.col("key") == F.col("long_key"), "left").select("key", *kept, nb.alias("nb"), F.pmod(F.xxhash64("node"), nb.cast("long")).cast("int").alias("block"))
+    dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", *kept)
+    return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+
+
+def _pass(nodes: DataFrame, tables: range, similarity: float, block: int, most: int = NEAREST, small: int = SMALL) -> DataFrame:
+    """Links (a, b, sure) over some tables of the index between ``nodes`` (node, root, fp) of different roots, and marks (key, NULL, NULL) of unfinished lists."""
+    postings = nodes.mapInArrow(_wide_postings(tables), KINDS)
+    lists = nodes.mapInArrow(_wide_postings(tables), KINDS).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    found = _dealt(postings, lists, block).mapInArrow(_wide_links(*bit_limits(similarity), most, small), "a long, b long, sure boolean")
     return found.groupBy("a", "b").agg(F.max("sure").alias("sure"))
 
 
-def _verified(uncertain: DataFrame, rows: DataFrame, classes: DataFrame, k: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of ``uncertain``, a written table, whose shingle sets are of ``similarity`` or more."""
+def _settled(nodes: DataFrame, keys: DataFrame, rows: DataFrame, classes: DataFrame, k: int, similarity: float, block: int) -> DataFrame:
+    """Links (a, b) of the lists ``keys`` (key) between ``nodes`` of different roots: all open pairs are verified where they meet, only links leave."""
+    postings, _ = materialize(nodes.mapInArrow(_wide_postings(range(TABLES)), KINDS).join(keys, "key", "left_semi"), "near-rest")
+    # lists of one component by now have nothing left
+    lists, _ = materialize(postings.groupBy("key").agg(F.count(F.lit(1)).alias("n"), (F.min("root") < F.max("root")).alias("apart")).where("apart").select("key", "n"), "near-rest-lists")
+    held = postings.join(lists, "key", "left_semi")
+    sets = _shingle_sets(held.select("node").distinct(), rows, classes.where("first_id IS NOT NULL"), k)
+    return _dealt(held.join(sets, "node", "left"), lists, block).mapInArrow(_settled_links(*bit_limits(similarity), similarity), "a long, b long").distinct()
+
+
+def _rooted(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """``nodes`` (node, root, fp) with the roots of a written table of components (node, root), their own where it has none."""
+    placed = nodes.drop("root").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "fp")
+    return materialize(placed, "near-rooted")[0]
+
+
+def _shingle_sets(involved: DataFrame, rows: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """(node, held): sets of word ``k``-shingles of the nodes ``involved`` (node), as hashes in a written table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -280,24 +343,31 @@ def _verified(uncertain: DataFrame, rows: DataFrame, classes: DataFrame, k: int,
                 sets = [np.unique(shingle_set(t.as_py(), k).astype(np.uint32)).view(np.int32) for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int32()))], names=["node", "held"])
 
-    involved = uncertain.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     named = classes.join(involved, "node").select("node", F.col("first_id").alias("doc_id"), "text_hash")
     texts = rows.withColumn("text_hash", F.xxhash64("text")).join(named, ["doc_id", "text_hash"]).select("node", "text")
-    sets, _ = materialize(texts.mapInArrow(run, "node long, held array<int>").dropDuplicates(["node"]), "near-sets")
+    return materialize(texts.mapInArrow(run, "node long, held array<int>").dropDuplicates(["node"]), "near-sets")[0]
+
+
+def _verified(uncertain: DataFrame, rows: DataFrame, classes: DataFrame, k: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of ``uncertain``, a written table, whose shingle sets are of ``similarity`` or more."""
+    sets = _shingle_sets(uncertain.select(F.explode(F.array("a", "b")).alias("node")).distinct(), rows, classes, k)
     one = uncertain.join(sets.select(F.col("node").alias("a"), F.col("held").alias("x")), "a")
     both = one.join(sets.select(F.col("node").alias("b"), F.col("held").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
-def near_components(docs: DataFrame, k: int = 5, similarity: float = 0.8, block: int = 8192) -> DataFrame:
+def near_components(docs: DataFrame, k: int = 5, similarity: float = 0.8, block: int = 8192, nearest: int = NEAREST, small: int = SMALL) -> DataFrame:
     """(doc_id, fp binary, component_id) of every row of ``docs`` (doc_id, text): near copies by wide fingerprints.
 
     Links are pairs whose sets of word ``k``-shingles have a Jaccard similarity of
     ``similarity`` or more.  The index takes keys of positional bytes: a pair at 0.8
     shares one of the 48 with a probability of 0.97.  Pairs whose fingerprints leave it
-    open are verified on the sets themselves.  Rows without doc_id are linked by their
-    fingerprints alone; other odd rows as in ``simhash_components``.
+    open are verified on the sets themselves.  In lists of over ``small`` fingerprints a
+    row first names its ``nearest`` open pairs; once these are verified, lists where a row
+    may have more are searched again for all links between different components.  Rows without
+    doc_id are linked by their fingerprints alone; other odd rows as in
+    ``simhash_components``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,11 +380,9 @@ def near_components(docs: DataFrame, k: int = 5, similarity: float = 0.8, block:
     least = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash")).alias("l")
     classes, _ = materialize(marked.groupBy("fp").agg(least).select("fp", F.col("l.doc_id").alias("first_id"), F.col("l.text_hash").alias("text_hash"), F.monotonically_increasing_id().alias("node")), "near-classes")
     nodes = classes.select("node", F.col("node").alias("root"), "fp")
-    first, _ = materialize(_pass(nodes, range(FIRST), similarity, block), "near-links")
+    first, _ = materialize(_pass(nodes, range(FIRST), similarity, block, nearest, small), "near-links")
     joined_up, _ = connected_components(first.where("sure").select("a", "b"))
-    placed = nodes.drop("root").join(joined_up, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "fp")
-    rooted, _ = materialize(placed, "near-rooted")
-    second, _ = materialize(_pass(rooted, range(FIRST, TABLES), similarity, block), "near-links")
+    second, _ = materialize(_pass(_rooted(nodes, joined_up), range(FIRST, TABLES), similarity, block, nearest, small), "near-links")
     links = first.unionByName(second)
     nameless = classes.where("first_id IS NULL").select("node")
     open_pairs, _ = materialize(links.where("NOT sure").select("a", "b").distinct(), "near-open")
@@ -322,6 +390,10 @@ def near_components(docs: DataFrame, k: int = 5, similarity: float = 0.8, block:
     unnamed = open_pairs.join(nameless, F.col("a") == F.col("node"), "left_semi").unionByName(open_pairs.join(nameless, F.col("b") == F.col("node"), "left_semi"))
     verified = _verified(open_pairs, rows, classes, k, similarity)
     roots, _ = connected_components(links.where("sure").select("a", "b").unionByName(verified).unionByName(unnamed))
+    unfinished, _ = materialize(links.where("b IS NULL").select(F.col("a").alias("key")).distinct(), "near-unfinished")
+    if not unfinished.isEmpty():
+        rest = _settled(_rooted(nodes, roots), unfinished, rows, classes, k, similarity, min(block, REST_BLOCK))
+        roots, _ = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest))
     linked = classes.join(roots, "node").select("fp", "first_id", "root", F.pmod("node", F.lit(SALTS)).alias("salt"))
     smallest = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
     spread = smallest.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))

@@ -45,7 +45,7 @@ def fingerprint(text: str | None, k: int = 4, seed: int = 42) -> int:
 _LANE, _MIX = 0x9E3779B97F4A7C15, (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 #: Buckets of up to so many fingerprints are compared many at a time.
 SMALL = 32
-#: Uncertain neighbours of other clusters that a fingerprint of a larger bucket names.
+#: Uncertain neighbours of other clusters that a fingerprint of a larger bucket names at first; what is left follows in a pass of its own.
 NEAREST = 3
 
 
@@ -100,12 +100,16 @@ def small_bucket_links(group: np.ndarray, prints: np.ndarray, side: np.ndarray,
     return tuple(np.concatenate([np.zeros(0, np.int64), *c]) for c in (zip(*out, strict=True) if out else ((), (), ())))  # type: ignore[return-value]
 
 
-def large_bucket_links(prints: np.ndarray, side: np.ndarray, tally_at_least: int, sure_bits: int, max_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, row, differing bits) of links of one bucket, or of a pair of its blocks: a spanning forest of the sure ones, and few uncertain ones a row.
+def large_bucket_links(
+    prints: np.ndarray, side: np.ndarray, tally_at_least: int, sure_bits: int, max_bits: int, most: int = NEAREST, root: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, row, differing bits) of links of one bucket, or of a pair of its blocks: a spanning forest of the sure ones, and uncertain ones between its trees.
 
     Each row that is reached is compared with those not reached yet, so a group of near
-    copies takes steps in proportion to its size.  Uncertain links are a row's nearest
-    in other clusters of sure ones.  Two blocks (``side``) are compared only across.
+    copies takes steps in proportion to its size.  Uncertain links join different
+    clusters, of sure links and of ``root`` (known components); a row names its nearest
+    ``most``.  One that names fewer has no others; for the rest there is ``verified_links``.
+    Two blocks (``side``) are compared only across.
     """
     n, across, out = len(prints), bool(side.any()), []
     cluster, rest = np.full(n, -1), np.arange(n)
@@ -122,14 +126,63 @@ def large_bucket_links(prints: np.ndarray, side: np.ndarray, tally_at_least: int
                 cluster[found] = first
                 queue.extend(found.tolist())
                 rest = np.setdiff1d(rest, found, assume_unique=True)
+    if root is not None:
+        cluster = _merged(cluster, np.unique(root, return_inverse=True)[1])
     for at in range(n):
         other = np.flatnonzero((cluster != cluster[at]) & ((side != side[at]) | (not across)))
         near, bits = _pairs(prints[other], prints[at], tally_at_least, max_bits)
-        chosen = np.argsort(bits, kind="stable")[:NEAREST]
+        chosen = np.argsort(bits, kind="stable")[:most]
         out.append((np.full(len(chosen), at), other[near[chosen]], bits[chosen]))
     return tuple(np.concatenate([np.zeros(0, np.int64), *c]) for c in (zip(*out, strict=True) if out else ((), (), ())))  # type: ignore[return-value]
 
 
+def verified_links(prints: np.ndarray, side: np.ndarray, root: np.ndarray, sets: list[np.ndarray | None], tally_at_least: int, sure_bits: int, max_bits: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, row) of a spanning forest of all links of one bucket, or of a pair of its blocks, between the components ``root``.
+
+    Every pair of different components whose bits leave it open is decided, by the exact
+    similarity of its ``sets``; one with an unknown set by its bits.  Only links leave,
+    at most one a row.
+    """
+    across, out = bool(side.any()), []
+    cluster = np.unique(root, return_inverse=True)[1]
+    known = np.array([x is not None for x in sets])
+    size = np.array([0 if x is None else len(x) for x in sets])
+    ends = np.cumsum(size)
+    words, word = np.unique(np.concatenate([np.zeros(0, np.int32), *(x for x in sets if x is not None)]), return_inverse=True)
+    held = np.zeros(len(words), bool)
+    for at in range(len(prints)):
+        other = at + 1 + np.flatnonzero((cluster[at + 1 :] != cluster[at]) & ((side[at + 1 :] != side[at]) | (not across)))
+        near, bits = _pairs(prints[other], prints[at], tally_at_least, max_bits)
+        if not len(near):
+            continue
+        other = other[near]
+        own, n = word[ends[at] - size[at] : ends[at]], size[other]
+        held[own] = True
+        stop = np.cumsum(n)
+        seen = np.concatenate(([0], np.cumsum(held[word[np.repeat(ends[other] - stop, n) + np.arange(int(n.sum()))]])))
+        held[own] = False
+        shared = seen[stop] - seen[stop - n]
+        linked = (bits <= sure_bits) | ~(known[at] & known[other]) | (shared >= similarity * (size[at] + n - shared))
+        for to in other[linked].tolist():
+            if cluster[to] != cluster[at]:
+                out.append((at, to))
+                cluster[cluster == cluster[to]] = cluster[at]
+    return tuple(np.array(out, np.int64).reshape(-1, 2).T)  # type: ignore[return-value]
+
+
+def _merged(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Labels that rows share if a chain of equal ``x`` or equal ``y`` joins them; both hold numbers below their length."""
+    label = x
+    while True:
+        before = label
+        for part in (x, y):
+            low = np.full(len(x), len(x))
+            np.minimum.at(low, part, label)
+            label = low[part]
+        if np.array_equal(label, before):
+            return label
+
+
 def spanning(a: np.ndarray, b: np.ndarray, root_a: np.ndarray, root_b: np.ndarray, sure: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The same classes by fewer links (a, b, sure): a star forest over the roots that sure links join, and each uncertain pair between different trees once."""
     names, at = np.unique(np.concatenate((root_a, root_b)), return_inverse=True)

@@ -8,6 +8,7 @@ from itertools import combinations
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -392,3 +393,53 @@ def test_near_components_of_odd_rows(spark):
     kept = op3.keep_one_of_each(docs(spark, rows), op3.near_components)
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter([1, 4, 5, 6, None, 8, 9])
     assert op3.near_components(docs(spark, [])).count() == 0
+
+
+def crowded_pair():
+    """Two rows of 60 differing bits, and around each four rows that are nearer to it but in clusters of their own."""
+    rng = np.random.default_rng(11)
+    bits = np.unpackbits(rng.integers(0, 1 << 63, size=8, dtype=np.uint64).view(np.uint8))
+    spots = rng.permutation(512)
+
+    def moved(base, at):
+        out = base.copy()
+        out[at] ^= 1
+        return out
+
+    p, q = bits, moved(bits, spots[:60])
+    around = [moved(base, spots[60 + 55 * k : 115 + 55 * k]) for base, ks in ((p, range(4)), (q, range(4, 8))) for k in ks]
+    return np.array([np.packbits(x).view(np.uint64) for x in (p, q, *around)])
+
+
+def test_open_pairs_beyond_the_nearest_are_marked_and_then_named():
+    prints, none = crowded_pair(), np.zeros(10, np.uint8)
+    x, y, _ = op3.large_bucket_links(prints, none, 6, 53, 97)
+    assert (0, 1) not in {(min(p), max(p)) for p in zip(x.tolist(), y.tolist())}
+    ids = np.arange(10, dtype=np.int64)
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in (ids * 0 + 77, ids * 0, ids * 0, ids, ids, ids * 0)] + [pa.array([p.tobytes() for p in prints])], names=["key", "lo", "hi", "node", "root", "block", "fp"])
+    rows = lambda *a: [tuple(r.values()) for out in op3._wide_links(53, 97, *a)(iter([batch])) for r in out.to_pylist()]
+    assert (77, None, None) in rows(3, 4)
+    # in the second search the pair is decided by its sets: 0.8 links, less does not
+    for shared, linked in ((8, True), (7, False)):
+        sets = [np.arange(9, dtype=np.int32), np.append(np.arange(shared), 50).astype(np.int32), *(np.array([100 + i], np.int32) for i in range(8))]
+        x, y = op3.verified_links(prints, none, ids, sets, 6, 53, 97, 0.8)
+        assert ((0, 1) in zip(x.tolist(), y.tolist())) == linked
+        whole = pa.RecordBatch.from_arrays([*batch.columns, pa.array([s.tolist() for s in sets], pa.list_(pa.int32()))], names=[*batch.schema.names, "held"])
+        assert ({"a": 0, "b": 1} in [r for out in op3._settled_links(53, 97, 0.8)(iter([whole.slice(0, 3), whole.slice(3)])) for r in out.to_pylist()]) == linked
+        # known components leave out what they join
+        assert not op3.verified_links(prints[:2], none[:2], np.array([5, 5]), sets[:2], 6, 53, 97, 0.8)[0].size
+
+
+def test_near_components_of_crowded_lists_equal_all_pairs(spark):
+    rng = random.Random(77)
+    say = lambda n: [f"w{rng.randrange(9000)}" for _ in range(n)]
+    rows = []
+    for group in range(3):
+        base = say(300)
+        for copy in range(16):
+            other = list(base)
+            for at in rng.sample(range(300), 5 + copy // 4):
+                other[at] = f"x{rng.randrange(9000)}"
+            rows.append((group * 100 + copy, " ".join(other)))
+    got = {r["doc_id"]: r["component_id"] for r in op3.near_components(docs(spark, rows), nearest=1, small=1).collect()}
+    assert got == {r["doc_id"]: r["component_id"] for r in op3.near_components(docs(spark, rows), small=64).collect()}
