@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.functions.geometry import box_in_box, finite, ordered, point_in_box
+from spindrift.functions.joins import large
 
 VELOCITY = ("U", "V", "W")
 
@@ -123,9 +124,9 @@ def node_projection(cell_nodes: DataFrame, cell_scalar: DataFrame, nodes: DataFr
     is the incidence, for callers that keep it.
     """
     pairs = incidence(cell_nodes) if pairs is None else pairs
-    pairs = pairs if nodes is None else pairs.join(nodes.select("node_id").distinct(), "node_id", "left_semi")
+    pairs = pairs if nodes is None else pairs.join(large(nodes.select("node_id").distinct()), "node_id", "left_semi")
     values = cell_scalar.select("step", "var", "cell_id", finite(F.col("value")).alias("v")).where("v IS NOT NULL")
-    return pairs.join(values, "cell_id").groupBy("step", "var", "node_id").agg(F.avg("v").alias("value"))
+    return pairs.join(large(values), "cell_id").groupBy("step", "var", "node_id").agg(F.avg("v").alias("value"))
 
 
 def projected_extrema(requests: DataFrame, cell_nodes: DataFrame, cell_scalar: DataFrame, var: str, pairs: DataFrame | None = None) -> DataFrame:

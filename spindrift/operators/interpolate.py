@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.functions.geometry import box_tolerance, finite, point_in_box
+from spindrift.functions.joins import large
 from spindrift.functions.simplex import supports
 from spindrift.functions.storage import materialize
 from spindrift.operators.fields import node_projection
@@ -61,7 +62,7 @@ def located_supports(points: DataFrame, mesh: Mesh, grid: Grid | None = None, to
     pairs = materialize(pairs, "couple-pairs")
     shapes = cell_points(mesh, pairs.select("cell_id"))
     flat = shapes.select("cell_id", F.flatten(F.transform("pts", lambda p: F.array(p["x"], p["y"], p["z"]))).alias("corners"), F.col("pts.node_id").alias("ids"))
-    held = pairs.join(flat, "cell_id").select("point_id", "x", "y", "z", "cell_id", "corners", "ids").mapInArrow(_find(tolerance), _SUPPORT)
+    held = pairs.join(large(flat), "cell_id").select("point_id", "x", "y", "z", "cell_id", "corners", "ids").mapInArrow(_find(tolerance), _SUPPORT)
     order = F.struct("margin", (-F.col("condition")).alias("c"), (-F.col("cell_id")).alias("i"))
     best = held.groupBy("point_id").agg(F.max_by(F.struct("cell_id", "nodes", "weights", "error", "condition", "margin"), order).alias("s"))
     return pairs, materialize(best.select("point_id", "s.*"), "couple-supports")
@@ -82,11 +83,11 @@ def couple(points: DataFrame, mesh: Mesh, variables: Sequence[str], step: int, g
     used = best.select(F.explode("nodes").alias("node_id")).distinct()
     values = node_projection(mesh.cell_nodes, scalars, used) if node_values is None else node_values.where((F.col("step") == step) & F.col("var").isin(*variables))
     flat = best.select("point_id", F.explode(F.arrays_zip("nodes", "weights")).alias("z")).select("point_id", F.col("z.nodes").alias("node_id"), F.col("z.weights").alias("w"))
-    terms = flat.join(values.select("var", "node_id", finite(F.col("value")).alias("value")), "node_id").where("value IS NOT NULL")
+    terms = flat.join(large(values.select("var", "node_id", finite(F.col("value")).alias("value"))), "node_id").where("value IS NOT NULL")
     dots = terms.groupBy("point_id").agg(*(F.when(F.count(F.when(F.col("var") == v, 1)) == 4, F.sum(F.when(F.col("var") == v, F.col("w") * F.col("value")))).alias(f"v_{v}") for v in variables))
     tried = pairs.select("point_id").distinct().withColumn("tried", F.lit(True))
     named = best.select("point_id", F.col("cell_id"), "error", "nodes", "weights")
-    joined = points.join(tried, "point_id", "left").join(named, "point_id", "left").join(dots, "point_id", "left")
+    joined = points.join(large(tried), "point_id", "left").join(large(named), "point_id", "left").join(large(dots), "point_id", "left")
     complete = F.lit(True)
     for v in variables:
         complete = complete & finite(F.col(f"v_{v}")).isNotNull()

@@ -11,15 +11,22 @@ ix, iy, iz), which hashes and splits like any equi-join.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.functions.geometry import EPS, dot, minus, point_in_box
+from spindrift.functions.geometry import EPS, dot, finite, minus, point_in_box
+from spindrift.functions.joins import large
+from spindrift.functions.storage import materialize
 
 #: Most buckets an axis, as a power of two, and most combinations of levels that a point probes.
 DEEPEST, PROBES = 30, 64
+#: Points of a bucket that one task takes together.
+PART = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -116,12 +123,12 @@ def candidates(points: DataFrame, cells: DataFrame, grid: Grid, eps: float = 0.0
     inside = points.where(point_in_box(at, [a - s for a, s in zip(low, slack, strict=True)], [b + s for b, s in zip(high, slack, strict=True)]))
     keys = [F.struct(*(F.lit(k).cast("int").alias(f"l{a}") for a, k in zip("xyz", levels, strict=True)), *(grid.bucket(F.col(a), i, levels[i]).alias(f"i{a}") for i, a in enumerate("xyz"))) for levels in grid.levels]
     probes = inside.select("point_id", "x", "y", "z", F.inline(F.array(*keys)))
-    joined = probes.join(bucketed(cells, grid, eps) if boxes is None else boxes, _KEYS)
+    joined = probes.join(large(bucketed(cells, grid, eps) if boxes is None else boxes), _KEYS)
     return joined.where(point_in_box(at, [F.col(f"{a}min") for a in "xyz"], [F.col(f"{a}max") for a in "xyz"], eps)).drop(*_KEYS)
 
 
 def _with_misses(points: DataFrame, hits: DataFrame, misses: bool) -> DataFrame:
-    return points.join(hits, "point_id", "left").select(*points.columns, "cell_id") if misses else hits.select("point_id", "cell_id")
+    return points.join(large(hits), "point_id", "left").select(*points.columns, "cell_id") if misses else hits.select("point_id", "cell_id")
 
 
 def locate_nearest(points: DataFrame, cells: DataFrame, grid: Grid | None = None, misses: bool = True, boxes: DataFrame | None = None) -> DataFrame:
@@ -151,11 +158,79 @@ def locate_first(points: DataFrame, cells: DataFrame, grid: Grid | None = None,
     return _with_misses(points, hits, misses)
 
 
+def nearest_centroids(ids: np.ndarray, centres: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(id, squared distance) of the nearest of ``centres`` to each of ``points``; ties to the smaller id.
+
+    Along the longest axis a point looks at its neighbours on both sides, outwards, until
+    they are further off on that axis alone than the nearest one so far.
+    """
+    axis = int(np.ptp(centres, axis=0).argmax())
+    order = np.lexsort((ids, centres[:, axis]))
+    ids, centres = ids[order], centres[order]
+    along, n = centres[:, axis], len(ids)
+    best, chosen = np.full(len(points), np.inf), np.full(len(points), np.iinfo(np.int64).max)
+    start = np.searchsorted(along, points[:, axis])
+    sides = [(np.arange(len(points)), start - 1, -1), (np.arange(len(points)), start, 1)]
+    while any(len(rows) for rows, _, _ in sides):
+        nxt = []
+        for rows, at, way in sides:
+            held = (at >= 0) & (at < n)
+            rows, at = rows[held], at[held]
+            gap = points[rows, axis] - along[at]
+            near = gap * gap <= best[rows]
+            rows, at = rows[near], at[near]
+            off = points[rows] - centres[at]
+            d = off[:, 0] * off[:, 0] + off[:, 1] * off[:, 1] + off[:, 2] * off[:, 2]
+            better = (d < best[rows]) | ((d == best[rows]) & (ids[at] < chosen[rows]))
+            best[rows[better]], chosen[rows[better]] = d[better], ids[at[better]]
+            nxt.append((rows, at + way, way))
+        sides = nxt
+    return chosen, best
+
+
+def _nearest_of_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Nearest centroid of each point; rows are sorted by (ix, iy, iz, part, kind), centroids (kind 0) before points."""
+    last: tuple | None = None
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(c).to_numpy() for c in ("ix", "iy", "iz", "part")], axis=1)
+        kind, ids = batch.column("kind").to_numpy(), batch.column("id").to_numpy()
+        at = np.stack([batch.column(c).to_numpy() for c in "xyz"], axis=1)
+        cut = np.flatnonzero((key[1:] != key[:-1]).any(axis=1) | (kind[1:] != kind[:-1])) + 1
+        out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(kind)], strict=True):
+            if tuple(key[s]) != last:
+                last, held = tuple(key[s]), []
+            if kind[s] == 0:
+                held.append((ids[s:e], at[s:e]))
+            elif held:
+                held = [tuple(np.concatenate(c) for c in zip(*held, strict=True))]  # type: ignore[list-item]
+                out.append((ids[s:e], *nearest_centroids(*held[0], at[s:e])))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["point_id", "cell_id", "d"])
+
+
 def locate_nearest_in_bucket(points: DataFrame, cells: DataFrame, grid: Grid | None = None, misses: bool = True) -> DataFrame:
-    """Cell with the nearest centroid in the point's own centroid bucket, whether or not it holds the point."""
+    """Cell with the nearest centroid in the point's own centroid bucket, whether or not it holds the point; ties to the smaller id.
+
+    Points stream past their bucket's centroids, so no pairs are written.  A point that
+    is not finite is a miss.
+    """
     grid = grid or grid_of(cells, LOCATOR)
-    centroids = cells.select("cell_id", "cx", "cy", "cz", *(grid.bucket(F.col(f"c{a}"), i).alias(f"i{a}") for i, a in enumerate("xyz")))
-    probes = points.select("point_id", "x", "y", "z", *(grid.bucket(F.col(a), i).alias(f"i{a}") for i, a in enumerate("xyz")))
-    off = minus([F.col(a) for a in "xyz"], [F.col(f"c{a}") for a in "xyz"])
-    hits = probes.join(centroids, ["ix", "iy", "iz"]).groupBy("point_id").agg(F.min_by("cell_id", F.struct(dot(off, off).alias("d"), "cell_id")).alias("cell_id"))
+    whole = lambda p: finite(F.col(f"{p}x")).isNotNull() & finite(F.col(f"{p}y")).isNotNull() & finite(F.col(f"{p}z")).isNotNull()
+    placed = lambda df, kind, name, p: df.where(whole(p)).select(
+        *(grid.bucket(F.col(f"{p}{a}"), i).alias(f"i{a}") for i, a in enumerate("xyz")), F.lit(kind).alias("kind"), F.col(name).cast("long").alias("id"), *(F.col(f"{p}{a}").cast("double").alias(a) for a in "xyz")
+    )
+    probes, centroids = placed(points, 1, "point_id", ""), placed(cells, 0, "cell_id", "c")
+    at = ["ix", "iy", "iz"]
+    # buckets of many points are shared out; at most one row for each PART points
+    crowded = materialize(probes.groupBy(at).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PART).select(*at, F.ceil(F.col("n") / PART).alias("parts")), "locate-crowded")
+    parts = F.coalesce("parts", F.lit(1).cast("long"))
+    dealt = probes.join(crowded, at, "left").select(*at, F.pmod(F.xxhash64("id"), parts).alias("part"), "kind", "id", *"xyz").unionByName(
+        centroids.join(crowded, at, "left").select(*at, F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), "kind", "id", *"xyz")
+    )
+    grouped = dealt.repartition(*at, "part").sortWithinPartitions(*at, "part", "kind")
+    found = grouped.mapInArrow(_nearest_of_buckets, "point_id long, cell_id long, d double")
+    hits = found.groupBy("point_id").agg(F.min(F.struct("d", "cell_id")).alias("h")).select("point_id", F.col("h.cell_id").alias("cell_id"))
     return _with_misses(points, hits, misses)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.functions.geometry import EPS, columns, dot, segment_entry
+from spindrift.functions.joins import large
 from spindrift.functions.storage import materialize
 from spindrift.operators.locate import Grid, candidates, grid_of
 from spindrift.operators.topology import shell_planes
@@ -33,8 +34,8 @@ def locate_exact(points: DataFrame, mesh: Mesh, grid: Grid | None = None, misses
     planes = shell_planes(mesh, element_types, pairs)
     faces = planes.groupBy("cell_id").agg(F.collect_list(F.struct("nx", "ny", "nz", "d")).alias("faces"))
     beyond = F.exists("faces", lambda f: F.col("x") * f["nx"] + F.col("y") * f["ny"] + F.col("z") * f["nz"] - f["d"] > eps)
-    hits = pairs.join(faces, "cell_id").where(~beyond).groupBy("point_id").agg(F.min("cell_id").alias("cell_id"))
-    return points.join(hits, "point_id", "left").select(*points.columns, "cell_id") if misses else hits
+    hits = pairs.join(large(faces), "cell_id").where(~beyond).groupBy("point_id").agg(F.min("cell_id").alias("cell_id"))
+    return points.join(large(hits), "point_id", "left").select(*points.columns, "cell_id") if misses else hits
 
 
 def segment_cells(mesh: Mesh, start: Sequence[float], end: Sequence[float], eps: float = EPS, element_types: DataFrame | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.functions.geometry import cross, finite, length, minus
+from spindrift.functions.joins import large
 from spindrift.operators.fields import node_projection, of
 from spindrift.sources.model import Mesh
 
@@ -16,9 +17,9 @@ TINY = 1e-15
 def extract_submesh(mesh: Mesh, selection: DataFrame) -> dict[str, DataFrame]:
     """cells, cell_nodes and nodes of the selected ids; repeated, negative and unknown ids drop out."""
     ids = selection.where("cell_id >= 0").select("cell_id").distinct()
-    cell_nodes = mesh.cell_nodes.join(ids, "cell_id", "left_semi")
+    cell_nodes = mesh.cell_nodes.join(large(ids), "cell_id", "left_semi")
     used = cell_nodes.select(F.explode("node_ids").alias("node_id")).distinct()
-    return {"cells": mesh.cells.join(ids, "cell_id", "left_semi"), "cell_nodes": cell_nodes, "nodes": mesh.nodes.join(used, "node_id", "left_semi")}
+    return {"cells": mesh.cells.join(large(ids), "cell_id", "left_semi"), "cell_nodes": cell_nodes, "nodes": mesh.nodes.join(large(used), "node_id", "left_semi")}
 
 
 def tetrahedra(cell_nodes: DataFrame) -> DataFrame:
@@ -36,11 +37,11 @@ def isosurface(mesh: Mesh, var: str, iso: float, step: int, selection: DataFrame
     ``projected`` takes node values as means of the nodes' cells; ``cell`` gives all
     nodes of a cell its own value, which no surface crosses.
     """
-    cell_nodes = mesh.cell_nodes if selection is None else mesh.cell_nodes.join(selection.select("cell_id").distinct(), "cell_id", "left_semi")
+    cell_nodes = mesh.cell_nodes if selection is None else mesh.cell_nodes.join(large(selection.select("cell_id").distinct()), "cell_id", "left_semi")
     tets = tetrahedra(cell_nodes)
     scalars = of(mesh.cell_scalar, var, step)
     if node_values == "cell":
-        valued = tets.join(scalars.select("cell_id", finite(F.col("value")).alias("v")), "cell_id").where("v IS NOT NULL")
+        valued = tets.join(large(scalars.select("cell_id", finite(F.col("value")).alias("v"))), "cell_id").where("v IS NOT NULL")
         values = [F.col("v")] * 4
         corners = valued
     elif node_values == "projected":
@@ -49,11 +50,11 @@ def isosurface(mesh: Mesh, var: str, iso: float, step: int, selection: DataFrame
         corners, values = tets, [F.col(f"v{k}") for k in range(4)]
     else:
         raise ValueError(f"unknown node_values {node_values!r}")
-    place = mesh.nodes.join(cell_nodes.select(F.explode("node_ids").alias("node_id")).distinct(), "node_id", "left_semi")
+    place = mesh.nodes.join(large(cell_nodes.select(F.explode("node_ids").alias("node_id")).distinct()), "node_id", "left_semi")
     if node_values == "projected":
-        place = place.join(means, "node_id")
+        place = place.join(large(means), "node_id")
     # one shuffle by corner instead of one for each of the four
-    long = corners.select(*(c for c in corners.columns if c[0] != "n"), F.posexplode(F.array(*(F.col(f"n{k}") for k in range(4)))).alias("k", "node_id")).join(place, "node_id")
+    long = corners.select(*(c for c in corners.columns if c[0] != "n"), F.posexplode(F.array(*(F.col(f"n{k}") for k in range(4)))).alias("k", "node_id")).join(large(place), "node_id")
     pick = lambda c, k: F.max(F.when(F.col("k") == k, F.col(c))).alias(f"{c}{k}")
     names = ["x", "y", "z"] + (["v"] if node_values == "projected" else [])
     extra = [F.max("v").alias("v")] if node_values == "cell" else []
@@ -80,8 +81,8 @@ def triangle_normals(triangles: DataFrame) -> DataFrame:
 
 def cell_points(mesh: Mesh, selection: DataFrame | None = None) -> DataFrame:
     """(cell_id, pts): the cell's node coordinates in node order."""
-    cell_nodes = mesh.cell_nodes if selection is None else mesh.cell_nodes.join(selection.select("cell_id").distinct(), "cell_id", "left_semi")
-    placed = cell_nodes.select("cell_id", F.posexplode("node_ids").alias("k", "node_id")).join(mesh.nodes, "node_id")
+    cell_nodes = mesh.cell_nodes if selection is None else mesh.cell_nodes.join(large(selection.select("cell_id").distinct()), "cell_id", "left_semi")
+    placed = cell_nodes.select("cell_id", F.posexplode("node_ids").alias("k", "node_id")).join(large(mesh.nodes), "node_id")
     return placed.groupBy("cell_id").agg(F.array_sort(F.collect_list(F.struct("k", "node_id", "x", "y", "z"))).alias("pts"))
 
 
@@ -144,5 +145,5 @@ def surface_cells_and_normals(mesh: Mesh) -> DataFrame:
 
 def surface_force(normals: DataFrame, cell_scalar: DataFrame, var: str, step: int | None = None) -> DataFrame:
     """(step, fx, fy, fz): sum of scalar times normal over the surface cells."""
-    held = of(cell_scalar, var, step).select("step", "cell_id", finite(F.col("value")).alias("p")).where("p IS NOT NULL").join(normals, "cell_id")
+    held = of(cell_scalar, var, step).select("step", "cell_id", finite(F.col("value")).alias("p")).where("p IS NOT NULL").join(large(normals), "cell_id")
     return held.groupBy("step").agg(*(F.sum(F.col("p") * F.col(f"n{c}")).alias(f"f{c}") for c in "xyz"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.functions.geometry import dot, finite, minus
+from spindrift.functions.joins import large
 from spindrift.sources.model import Mesh
 
 # Local nodes of the faces of a ten-node tetrahedron.
@@ -28,7 +29,7 @@ def elements_from_faces(faces: DataFrame) -> DataFrame:
 
 def cells_from_nodes(cell_nodes: DataFrame, nodes: DataFrame) -> DataFrame:
     """Cells with centroids, the means of their nodes, and boxes."""
-    placed = cell_nodes.select("cell_id", F.explode("node_ids").alias("node_id")).join(nodes, "node_id")
+    placed = cell_nodes.select("cell_id", F.explode("node_ids").alias("node_id")).join(large(nodes), "node_id")
     return placed.groupBy("cell_id").agg(*(F.avg(a).alias(f"c{a}") for a in "xyz"), *(e for a in "xyz" for e in (F.min(a).alias(f"{a}min"), F.max(a).alias(f"{a}max"))))
 
 
@@ -119,7 +120,7 @@ def nodal_to_cell(cell_nodes: DataFrame, node_scalar: DataFrame) -> DataFrame:
     """(step, var, cell_id, value): mean of a cell's nodes, where all of them have finite values."""
     wanted = cell_nodes.select("cell_id", F.size("node_ids").alias("n"), F.explode("node_ids").alias("node_id"))
     values = node_scalar.select("step", "var", "node_id", finite(F.col("value")).alias("v")).where("v IS NOT NULL")
-    means = wanted.join(values, "node_id").groupBy("step", "var", "cell_id", "n").agg(F.avg("v").alias("value"), F.count("v").alias("held"))
+    means = wanted.join(large(values), "node_id").groupBy("step", "var", "cell_id", "n").agg(F.avg("v").alias("value"), F.count("v").alias("held"))
     return means.where("held = n").select("step", "var", "cell_id", "value")
 
 
@@ -252,7 +253,7 @@ def _typed(mesh: Mesh, element_types: DataFrame | None, selection: DataFrame | N
     if element_types is None:
         return pts.select("cell_id", F.lit(False).alias("ten"), "pts")
     ten = element_types.select("cell_id", F.upper("element_type").startswith("C3D10").alias("ten"))
-    return pts.join(ten, "cell_id", "left").select("cell_id", F.coalesce("ten", F.lit(False)).alias("ten"), "pts")
+    return pts.join(large(ten), "cell_id", "left").select("cell_id", F.coalesce("ten", F.lit(False)).alias("ten"), "pts")
 
 
 def cell_shells(mesh: Mesh, element_types: DataFrame | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spindrift.functions.joins import large
 from spindrift.operators import fields, surface, trace
 from spindrift.plans.session import MeshSession
 from spindrift.sources.sinks import ResultLog
@@ -67,7 +68,7 @@ class Inputs:
 def reduced(hits: DataFrame, session: MeshSession, var: str, step: int) -> DataFrame:
     values = fields.of(session.mesh.cell_scalar, var, step).select("cell_id", "value")
     v = F.col("value")
-    return hits.join(values, "cell_id").agg(F.count(v).alias("count"), F.sum(v).alias("sum"), F.avg(v).alias("mean"), F.max(v).alias("max"), F.min(v).alias("min"))
+    return hits.join(large(values), "cell_id").agg(F.count(v).alias("count"), F.sum(v).alias("sum"), F.avg(v).alias("mean"), F.max(v).alias("max"), F.min(v).alias("min"))
 
 
 def w1(s: MeshSession, i: Inputs, var: str, step: int) -> list[tuple[str, DataFrame]]:
