@@ -22,6 +22,7 @@ GATHERED = [
     "surface_normals",
     "w1_points",
     "point_extrema_projected",
+    "isosurface_projected",
 ]
 
 
