@@ -23,6 +23,7 @@ GATHERED = [
     "w1_points",
     "point_extrema_projected",
     "isosurface_projected",
+    "cell_shell_area",
 ]
 
 
