@@ -24,6 +24,7 @@ GATHERED = [
     "point_extrema_projected",
     "isosurface_projected",
     "cell_shell_area",
+    "couple_affine",
 ]
 
 
