@@ -25,6 +25,7 @@ GATHERED = [
     "isosurface_projected",
     "cell_shell_area",
     "couple_affine",
+    "line_hits_exact_tetra",
 ]
 
 
