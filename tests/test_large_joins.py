@@ -26,6 +26,7 @@ GATHERED = [
     "cell_shell_area",
     "couple_affine",
     "line_hits_exact_tetra",
+    "w3_seeded_surface",
 ]
 
 
