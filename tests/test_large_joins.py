@@ -27,6 +27,7 @@ GATHERED = [
     "couple_affine",
     "line_hits_exact_tetra",
     "w3_seeded_surface",
+    "cell_shells_tetra",
 ]
 
 
