@@ -28,6 +28,7 @@ GATHERED = [
     "line_hits_exact_tetra",
     "w3_seeded_surface",
     "cell_shells_tetra",
+    "couple",
 ]
 
 
