@@ -29,6 +29,7 @@ GATHERED = [
     "w3_seeded_surface",
     "cell_shells_tetra",
     "couple",
+    "couple_affine_tetra",
 ]
 
 
