@@ -30,6 +30,7 @@ GATHERED = [
     "cell_shells_tetra",
     "couple",
     "couple_affine_tetra",
+    "locate_exact_tetra",
 ]
 
 
