@@ -171,6 +171,27 @@ def test_codes_leave_few_vectors_to_rerank():
     assert hits >= 95
 
 
+def test_block_pairs_are_not_shuffled_and_thresholds_carry_over(spark):
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(600, 16)).astype(np.float32)
+    table = spark.createDataFrame([(k, row.tolist()) for k, row in enumerate(v)], "vec_id long, embedding array<float>")
+    found = op6.nearest(table, block=100)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    # each task reads its two blocks; a join by block would write every query once for each block
+    assert "CartesianProduct" in plan and "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan
+    assert found.count() == 60 and found.select("query_id", "vec_id").distinct().count() == 60
+    # blocks one after the other give what one block gives, and a vector that comes twice counts once
+    turn, ids = op6.rotation(16, 7), np.arange(600)
+    codes, scale = op6.encode(v.astype(float), turn)
+    best = op6.Best(10, 5)
+    for at in (0, 200, 400, 0):
+        part = slice(at, at + 200)
+        op6.meet(ids[part], v[part], op6.signs(codes[part], scale[part], 16, 9.0), ids[:10], v[:10], turn, best)
+    for i in range(10):
+        slow = sorted(((cosine(v[i].astype(float), v[k].astype(float)), k) for k in range(600) if k != i), key=lambda x: (-x[0], x[1]))[:5]
+        assert best.ids[i].tolist() == [k for _, k in slow] and best.score[i].tolist() == pytest.approx([x for x, _ in slow], abs=1e-12)
+
+
 def test_pipeline_equals_its_stages_in_plain_code(spark, sf_dir):
     """Each stage against brute force on the small table, then the last stage's digests."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
