@@ -6,7 +6,7 @@ import itertools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -197,53 +197,64 @@ def hull_faces(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return cell[kept], normal[kept], offset[kept], flat[kept]
 
 
-def _fans(points: np.ndarray) -> Iterator[tuple[int, tuple[int, int, int]]]:
-    """(cell, triangle) of hulls; coplanar faces of more than three points are fanned around their first point."""
-    for cell, n, _, on in zip(*hull_faces(points), strict=True):
-        p, flat = points[cell], np.flatnonzero(on)
-        centre = p[flat].mean(axis=0)
-        u = p[flat[0]] - centre
-        v = np.cross(n, u)
-        ring = flat[np.argsort(np.arctan2((p[flat] - centre) @ v, (p[flat] - centre) @ u), kind="stable")]
-        for m in range(1, len(ring) - 1):
-            yield int(cell), (ring[0], ring[m], ring[m + 1])
+def _fans(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(cell, corners of a triangle) of many hulls, by cell; coplanar faces of more than three points are fanned around their first point."""
+    faces, normal, _, on = hull_faces(points)
+    sizes = on.sum(axis=1)
+    found = []
+    for n in np.unique(sizes):
+        held = np.flatnonzero(sizes == n)
+        flat = np.nonzero(on[held])[1].reshape(-1, n)
+        p = points[faces[held][:, None], flat]
+        off = p - p.mean(axis=1, keepdims=True)
+        u = off[:, 0]
+        v = np.cross(normal[held], u)
+        turn = np.argsort(np.arctan2((off @ v[:, :, None])[..., 0], (off @ u[:, :, None])[..., 0]), axis=1, kind="stable")
+        ring = np.take_along_axis(flat, turn, axis=1)
+        fan = np.stack([np.repeat(ring[:, :1], n - 2, axis=1), ring[:, 1:-1], ring[:, 2:]], axis=2)
+        found.append((np.repeat(held, n - 2), fan.reshape(-1, 3)))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros((0, 3), np.int64)
+    face, corners = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.argsort(face, kind="stable")
+    return faces[face[order]], corners[order]
 
 
 def hull_triangles(points: np.ndarray) -> np.ndarray:
     """Triangles of a small convex hull, outward."""
-    p = np.asarray(points, float).reshape(1, -1, 3)
-    return np.array([t for _, t in _fans(p)], np.int64).reshape(-1, 3)
+    return _fans(np.asarray(points, float).reshape(1, -1, 3))[1]
 
 
-def _alike(rows: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _alike(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(cell ids, corners) of the batch's cells by node count; of a ten-node tetrahedron the four corners."""
-    corners = [np.array([(p["x"], p["y"], p["z"]) for p in pts[: 4 if ten else None]]) for ten, pts in zip(rows["ten"], rows["pts"], strict=True)]
-    sizes = np.array([len(c) for c in corners])
-    ids = rows["cell_id"].to_numpy()
+    ids, ten, pts = batch.column("cell_id").to_numpy(), batch.column("ten").to_numpy(zero_copy_only=False), batch.column("pts")
+    held, flat = np.diff(pts.offsets.to_numpy()), pts.flatten()
+    start = np.cumsum(held) - held
+    at = np.stack([flat.field(c).to_numpy(zero_copy_only=False) for c in "xyz"], axis=1)
+    sizes = np.where(ten, np.minimum(held, 4), held)
     for n in np.unique(sizes):
-        held = np.flatnonzero(sizes == n)
-        yield ids[held], np.stack([corners[k] for k in held])
+        rows = np.flatnonzero(sizes == n)
+        yield ids[rows], at[start[rows][:, None] + np.arange(n)]
 
 
-def _shells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for rows in batches:
-        out, count = [], {}
-        for ids, corners in _alike(rows):
-            for cell, t in _fans(corners):
-                k = count[ids[cell]] = count.get(ids[cell], -1) + 1
-                out.append((ids[cell], k, *corners[cell][list(t)].ravel()))
-        yield pd.DataFrame(out, columns=["cell_id", "tri", *(f"{n}{c}" for n in "abc" for c in "xyz")])
+def _shells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for ids, corners in _alike(batch):
+            cell, three = _fans(corners)
+            k = np.arange(len(cell)) - np.searchsorted(cell, cell)
+            at = corners[cell[:, None], three].reshape(-1, 9)
+            names = ["cell_id", "tri", *(f"{n}{c}" for n in "abc" for c in "xyz")]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[cell]), pa.array(k.astype(np.int32)), *(pa.array(at[:, i].copy()) for i in range(9))], names=names)
 
 
-def _planes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for rows in batches:
-        out = []
-        for ids, corners in _alike(rows):
+def _planes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for ids, corners in _alike(batch):
             cell, normal, offset, flat = hull_faces(corners)
             # every point on one plane: no inside
             solid = ~np.isin(cell, cell[flat.all(axis=1)])
-            out.append(pd.DataFrame({"cell_id": ids[cell][solid], **{f"n{c}": normal[solid, i] for i, c in enumerate("xyz")}, "d": offset[solid]}))
-        yield pd.concat(out) if out else pd.DataFrame({c: [] for c in ("cell_id", "nx", "ny", "nz", "d")})
+            columns = [ids[cell][solid], *(normal[solid, i].copy() for i in range(3)), offset[solid]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["cell_id", "nx", "ny", "nz", "d"])
 
 
 def _typed(mesh: Mesh, element_types: DataFrame | None, selection: DataFrame | None = None) -> DataFrame:
@@ -258,7 +269,7 @@ def _typed(mesh: Mesh, element_types: DataFrame | None, selection: DataFrame | N
 
 def cell_shells(mesh: Mesh, element_types: DataFrame | None = None) -> DataFrame:
     """(cell_id, tri, ax..cz): convex surface of each cell of four nodes or more; ten-node tetrahedra by their corners."""
-    return _typed(mesh, element_types).mapInPandas(_shells, "cell_id long, tri int, " + ", ".join(f"{n}{c} double" for n in "abc" for c in "xyz"))
+    return _typed(mesh, element_types).mapInArrow(_shells, "cell_id long, tri int, " + ", ".join(f"{n}{c} double" for n in "abc" for c in "xyz"))
 
 
 def shell_planes(mesh: Mesh, element_types: DataFrame | None = None, selection: DataFrame | None = None) -> DataFrame:
@@ -266,7 +277,7 @@ def shell_planes(mesh: Mesh, element_types: DataFrame | None = None, selection:
 
     Flat cells and cells of less than four nodes have no inside and no rows.
     """
-    return _typed(mesh, element_types, selection).mapInPandas(_planes, "cell_id long, nx double, ny double, nz double, d double")
+    return _typed(mesh, element_types, selection).mapInArrow(_planes, "cell_id long, nx double, ny double, nz double, d double")
 
 
 def cell_geometry(mesh: Mesh) -> DataFrame:

@@ -29,6 +29,27 @@ def test_hull_faces_of_many_cells_are_those_of_each():
     assert len(topology.hull_faces(np.zeros((2, 3, 3)))[0]) == 0
 
 
+def test_triangles_of_many_cells_are_those_of_each(spark):
+    rng = np.random.default_rng(6)
+    clouds = rng.integers(0, 3, size=(40, 8, 3)).astype(float)  # squares, flat cells, repeated points
+    clouds[:3] = np.array(CUBE, float) * 1.7
+    cell, corners = topology._fans(clouds)
+    for k, p in enumerate(clouds):
+        assert (corners[cell == k] == topology.hull_triangles(p)).all()
+    assert (np.bincount(cell)[:3] == 12).all()
+    nodes, cells, m = random_mesh(spark)
+    out = topology.cell_shells(m)
+    # whole Arrow batches: no Python loop over cells or triangles
+    assert "MapInArrow" in out._jdf.queryExecution().sparkPlan().toString()
+    got = {}
+    for r in out.orderBy("cell_id", "tri").collect():
+        got.setdefault(r["cell_id"], []).append([[r[f"{n}{c}"] for c in "xyz"] for n in "abc"])
+        assert r["tri"] == len(got[r["cell_id"]]) - 1
+    for k, ids in enumerate(cells):
+        want = topology.hull_triangles(nodes[list(ids)]) if len(ids) >= 4 else []
+        assert len(got.get(k, [])) == len(want) and (not len(want) or np.allclose(got[k], nodes[list(ids)][want]))
+
+
 def random_mesh(spark, n=12):
     rng = np.random.default_rng(8)
     nodes, cells = [], []
