@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from spindrift.functions.geometry import box_tolerance, finite, point_in_box
 from spindrift.functions.joins import large
-from spindrift.functions.simplex import supports
+from spindrift.functions.simplex import deepest
 from spindrift.functions.storage import materialize
 from spindrift.operators.fields import node_projection
 from spindrift.operators.locate import Grid, candidates, grid_of
@@ -25,8 +25,8 @@ _SUPPORT = "point_id long, cell_id long, nodes array<long>, weights array<double
 
 
 def _find(tolerance: float):
-    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.float64(), pa.float64(), pa.float64()]
     names = ["point_id", "cell_id", "nodes", "weights", "error", "condition", "margin"]
+    rows_of = lambda a: pa.ListArray.from_arrays(pa.array(np.arange(0, a.size + 1, 4, dtype=np.int32)), pa.array(a.ravel()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -34,16 +34,21 @@ def _find(tolerance: float):
                 continue
             point, cell = batch.column("point_id").to_numpy(), batch.column("cell_id").to_numpy()
             at = np.stack([batch.column(a).to_numpy() for a in "xyz"], axis=1)
-            corners, ids = batch.column("corners"), batch.column("ids")
-            order = np.argsort(cell, kind="stable")
-            out: list[tuple] = []
-            for rows in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
-                first = int(rows[0])
-                nodes = ids[first].values.to_numpy()
-                found = supports(at[rows], corners[first].values.to_numpy().reshape(-1, 3), tolerance)
-                out += [(point[k], cell[k], nodes[list(s.local)], s.weights, s.error, s.condition, s.margin) for k, s in zip(rows, found, strict=True) if s is not None]
-            columns = list(zip(*out, strict=True)) if out else [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=names)
+            ids, corners = batch.column("ids"), batch.column("corners").flatten().to_numpy(zero_copy_only=False).reshape(-1, 3)
+            start, nodes = ids.offsets.to_numpy(), ids.flatten().to_numpy()
+            start, size = start[:-1] - start[0], np.diff(start)
+            _, one, which = np.unique(cell, return_index=True, return_inverse=True)
+            # cells of as many vertices are one array
+            for n in np.unique(size[one]):
+                alike = np.flatnonzero(size[one] == n)
+                number = np.full(len(one), -1)
+                number[alike] = np.arange(len(alike))
+                rows = np.flatnonzero(number[which] >= 0)
+                first = start[one[alike]][:, None] + np.arange(n)
+                own = number[which[rows]]
+                k, local, *found = deepest(at[rows], own, corners[first], tolerance)
+                columns = [point[rows[k]], cell[rows[k]], nodes[first[own[k][:, None], local]], *found]
+                yield pa.RecordBatch.from_arrays([rows_of(c) if c.ndim == 2 else pa.array(c) for c in columns], names=names)
 
     return run
 

@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from spindrift.functions.simplex import supports
+from spindrift.functions.simplex import deepest, supports
 from spindrift.operators import interpolate, trace
 from spindrift.operators import align
 from tests.meshes import CUBE, TETRA, mesh
@@ -32,6 +32,27 @@ def test_support_does_not_depend_on_vertex_order():
     assert supports([p + 1e6], shifted)[0] is not None
 
 
+def test_supports_of_many_cells_are_those_of_each(monkeypatch):
+    rng = np.random.default_rng(7)
+    boxes = np.array(CUBE, float) + rng.integers(0, 9, (200, 1, 3))
+    boxes[50:60] = rng.normal(size=(10, 8, 3))
+    boxes[60], boxes[61, 3], boxes[62, :, 2] = 0, np.nan, 1  # one place, not finite, flat
+    cell = rng.integers(0, 200, 600)
+    points = boxes[cell].mean(axis=1) + rng.normal(size=(600, 3)) * 0.3
+    points[::7] = boxes[cell[::7], 0]  # corners: ties of margin
+    want = {k: s for k in range(600) if (s := supports([points[k]], boxes[cell[k]])[0]) is not None}
+    calls = []
+    svd = np.linalg.svd
+    monkeypatch.setattr(np.linalg, "svd", lambda a, **b: calls.append(a.shape) or svd(a, **b))
+    rows, local, w, error, condition, margin = deepest(points, cell, boxes)
+    assert sorted(rows.tolist()) == sorted(want) and 200 < len(want) < 600
+    for i, k in enumerate(rows.tolist()):
+        s = want[k]
+        assert tuple(local[i]) == s.local and (w[i] == s.weights).all() and (error[i], condition[i], margin[i]) == (s.error, s.condition, s.margin)
+    # one factoring for all cells, and one for all copies of a box
+    assert len(calls) == 1 and calls[0][0] < 20
+
+
 def test_outside_degenerate_and_bad_points():
     found = supports([(2, 2, 2), (float("nan"), 0, 0), (0.1, 0.1, 0.1)], TETRA)
     assert found[0] is None and found[1] is None and found[2] is not None
