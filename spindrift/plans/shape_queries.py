@@ -12,12 +12,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.functions.storage import shared_path
+from spindrift.functions.storage import materialize, shared_path
 from spindrift.operators import align, gradient, interpolate, locate, shells, topology
 from spindrift.plans.queries import ORACLE, SEGMENT, STEP, _BOUNDS, _DIFF, _at, _on, _r, query, rounded
 from spindrift.sources import derived
 from spindrift.sources.lattice import NX, NY, SLANT, WAYS, lattice_mesh, probe_points, tetra_mesh, with_lattice
-from spindrift.sources.model import read_mesh, write_mesh
+from spindrift.sources.model import Mesh, read_mesh, write_mesh
 
 EPS = 1e-9
 
@@ -40,9 +40,15 @@ _HOLDS = "least(" + ", ".join(f"CASE WHEN {' AND '.join(f'{g} >= -{EPS}' for g i
 _TET_HITS = f"SELECT point_id, min(cell_id * 6 + {_HOLDS}) AS cell_id FROM (SELECT point_id, {', '.join(f'CAST({e} AS DOUBLE) AS sx{v}' for v, e in _FLAT.items())} FROM points) s, cells WHERE {_NEAR_BOX} GROUP BY 1"
 
 
+def _located_mesh(spark: SparkSession, sf_dir: str) -> Mesh:
+    """The tetrahedra with their boxes written: bounds, levels and candidates read them, and each reading would join nodes and cells anew."""
+    m = tetra_mesh(spark, sf_dir)
+    return replace(m, cells=materialize(m.cells, "tetra-cells"))
+
+
 @query(f"SELECT p.point_id, x, y, z, coalesce(h.cell_id, -1) AS cell_id FROM points p LEFT JOIN ({_TET_HITS}) h ON p.point_id = h.point_id")
 def locate_exact_tetra(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = shells.locate_exact(probe_points(spark, sf_dir), tetra_mesh(spark, sf_dir))
+    found = shells.locate_exact(probe_points(spark, sf_dir), _located_mesh(spark, sf_dir))
     return found.withColumn("cell_id", F.coalesce("cell_id", F.lit(-1)))
 
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spindrift.operators import locate
+from spindrift.plans import shape_queries
 from spindrift.plans.registry import QUERIES
 from tests.meshes import box_cells
 
@@ -41,6 +42,14 @@ def test_no_large_table_is_broadcast(spark, sf_dir, name):
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
 
 
+def test_boxes_that_are_read_often_are_joined_once(spark, sf_dir, monkeypatch):
+    seen = []
+    monkeypatch.setattr(locate, "grid_of", lambda cells, *a, f=locate.grid_of: seen.append(cells) or f(cells, *a))
+    monkeypatch.setattr("spindrift.operators.shells.grid_of", locate.grid_of)
+    shape_queries.locate_exact_tetra(spark, sf_dir)
+    assert len(seen) == 1 and "Join" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_nearest_centroids_equal_brute_force():
     rng = np.random.default_rng(3)
     for n, span in ((1, 1), (40, 3), (300, 6)):
