@@ -81,7 +81,7 @@ def cell_shells_tetra(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT point_id, {_r('4 + x + 2 * y + 3 * z')} AS A FROM points JOIN ({_TET_HITS}) h USING (point_id) WHERE h.cell_id IS NOT NULL")
 def couple_affine_tetra(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = tetra_mesh(spark, sf_dir)
+    m = _located_mesh(spark, sf_dir)
     field = m.nodes.select(F.lit(STEP).alias("step"), F.lit("A").alias("var"), "node_id", (F.lit(4.0) + F.col("x") + 2 * F.col("y") + 3 * F.col("z")).alias("value"))
     out = interpolate.couple(probe_points(spark, sf_dir), m, ["A"], STEP, node_values=field)
     return rounded(out.where(F.col("status") == interpolate.PASS).select("point_id", "A"))

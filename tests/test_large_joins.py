@@ -46,8 +46,10 @@ def test_boxes_that_are_read_often_are_joined_once(spark, sf_dir, monkeypatch):
     seen = []
     monkeypatch.setattr(locate, "grid_of", lambda cells, *a, f=locate.grid_of: seen.append(cells) or f(cells, *a))
     monkeypatch.setattr("spindrift.operators.shells.grid_of", locate.grid_of)
+    monkeypatch.setattr("spindrift.operators.interpolate.grid_of", locate.grid_of)
     shape_queries.locate_exact_tetra(spark, sf_dir)
-    assert len(seen) == 1 and "Join" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    shape_queries.couple_affine_tetra(spark, sf_dir)
+    assert len(seen) == 2 and all("Join" not in c._jdf.queryExecution().optimizedPlan().toString() for c in seen)
 
 
 def test_nearest_centroids_equal_brute_force():
