@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from spindrift.functions.storage import materialize
 from spindrift.operators import locate
 from spindrift.plans import shape_queries
 from spindrift.plans.registry import QUERIES
@@ -42,6 +43,17 @@ def test_no_large_table_is_broadcast(spark, sf_dir, name):
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
 
 
+def test_coupling_broadcasts_nothing_on_the_way(spark, sf_dir, monkeypatch):
+    """The plan of the result starts at tables written before it; theirs are held here."""
+    written = {}
+    monkeypatch.setattr("spindrift.operators.interpolate.materialize", lambda df, label, f=materialize: written.update({label: df}) or f(df, label))
+    result = QUERIES["couple_affine"](spark, sf_dir)
+    assert list(written) == ["couple-pairs", "couple-supports"]
+    for df in (*written.values(), result):
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
 def test_boxes_that_are_read_often_are_joined_once(spark, sf_dir, monkeypatch):
     seen = []
     monkeypatch.setattr(locate, "grid_of", lambda cells, *a, f=locate.grid_of: seen.append(cells) or f(cells, *a))
